@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import neardup, packing
+from dpspark.llm import decontaminate, linededup, neardup, packing
 from dpspark.llm.common import table
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -19,7 +27,7 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_near_duplicates, op10_pack_windows)}
+    return {f.__name__: f for f in (op3_benchmark_leaks, op7_line_dedup, op8_near_duplicates, op10_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
