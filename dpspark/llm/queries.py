@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import decontaminate, linededup, neardup, packing
+from dpspark.llm import decontaminate, linededup, neardup, packing, toxicity
 from dpspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_leaks, op7_line_dedup, op8_near_duplicates, op10_pack_windows)}
+    return {f.__name__: f for f in (op3_benchmark_leaks, op4_toxicity, op7_line_dedup, op8_near_duplicates, op10_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
