@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import decontaminate, linededup, neardup, packing, toxicity
+from dpspark.llm import decontaminate, linededup, neardup, packing, secrets, toxicity
 from dpspark.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_leaks, op4_toxicity, op7_line_dedup, op8_near_duplicates, op10_pack_windows)}
+    return {f.__name__: f for f in (op3_benchmark_leaks, op4_toxicity, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
