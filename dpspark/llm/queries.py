@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import decontaminate, linededup, neardup, packing, secrets, toxicity
+from dpspark.llm import decontaminate, fingerprints, linededup, neardup, packing, secrets, toxicity
 from dpspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_leaks, op4_toxicity, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows)}
+    return {f.__name__: f for f in (op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
