@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import decontaminate, fingerprints, linededup, neardup, packing, secrets, toxicity
+from dpspark.llm import decontaminate, fingerprints, linededup, neardup, packing, secrets, toxicity, warc
 from dpspark.llm.common import table
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +43,7 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows)}
+    return {f.__name__: f for f in (op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
