@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import decontaminate, fingerprints, linededup, neardup, packing, secrets, toxicity, warc
+from dpspark.llm import decontaminate, extract, fingerprints, linededup, neardup, packing, preferences, secrets, toxicity, warc
 from dpspark.llm.common import table
 
 
+def op1_preference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.segments(*preferences.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -26,6 +30,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -42,9 +50,15 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows)}
+    return {f.__name__: f for f in (op1_preference_segments, op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op6_main_text, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_preference_segments": preferences.SQL}
