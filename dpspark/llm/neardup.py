@@ -9,7 +9,9 @@ key. At a Jaccard similarity of 0.8 a pair has no such chunk once in 10 million.
 Pairs that meet are held against the distance over all slots and then against
 the full sets. To keep hot keys cheap, only pairs that can still join two
 components are looked at: first each key's members against one centre, a few
-times with other centres, then all that is left of a key across components.
+times with other centres, then all that is left of a key across components. Of
+small keys these are plain pairs; the members of large ones are dealt into
+blocks, and a task holds two blocks against each other and returns links only.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SLOTS, CHUNKS, WIDTH = 96, 12, 5
 #: Slots in which a pair may differ. Of 96, a pair of similarity 0.8 differs in 19, and in more than 41 once in 10 million.
 DISTANCE = 41
 STARS = 3
+#: Keys with more members than FEW are worked off in blocks of about BLOCK.
+FEW, BLOCK = 16, 512
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(8)
 _MUL = _rng.integers(0, 1 << 32, (SLOTS, 1), np.uint32) | np.uint32(1)
@@ -77,10 +81,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(batch), 4096):
             part = batch.slice(i, 4096)
             sig = np.frombuffer(b"".join(part["sig"].to_pylist()), "<u2").reshape(len(part), SLOTS)
-            sig = sig[:, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH)
-            keys = [mix(np.ascontiguousarray(np.delete(sig, e, 2)).view(np.uint64)[:, :, 0] + _KEYS[:, e]) for e in range(WIDTH)]
             node = np.repeat(part["node"].to_numpy(zero_copy_only=False), CHUNKS * WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys_of(sig).reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
 
 def _sets(size: int):
@@ -102,6 +104,82 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array((u != v).sum(axis=1) <= DISTANCE)).select(["u", "v"])
 
 
+def _keys_of(sig: np.ndarray) -> np.ndarray:
+    """(signatures x 60) keys, the same ones as in the index."""
+    sig = sig[:, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH)
+    keys = [mix(np.ascontiguousarray(np.delete(sig, e, 2)).view(np.uint64)[:, :, 0] + _KEYS[:, e]) for e in range(WIDTH)]
+    return np.stack(keys, 1).reshape(len(sig), -1)
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every one of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    every, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    twice = np.bincount(at) > 1
+    column = np.cumsum(twice) - 1
+    side = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    side, at = side[twice[at]], column[at[twice[at]]]
+    order = np.argsort(at, kind="stable")
+    side, at = side[order], at[order]
+    for low in range(0, int(twice.sum()), 4096):
+        i, j = np.searchsorted(at, [low, low + 4096])
+        grid = np.zeros((len(a) + len(b), 4096), np.float32)
+        grid[side[i:j], at[i:j] - low] = 1
+        out += grid[: len(a)] @ grid[len(a) :].T
+    return out
+
+
+def _block_links(similarity: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between two blocks that join components; of links that join the same ones, the first."""
+        table = table.combine_chunks()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, SLOTS)
+        node, label, n, block = (table[c].to_numpy() for c in ("node", "label", "n", "block"))
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in table["shingles"]]
+        keys, parent, u, v = _keys_of(sig), {}, [], []
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        one, other = np.flatnonzero(block == table["one"][0].as_py()), np.flatnonzero(block == table["other"][0].as_py())
+        for lo in range(0, len(one), 64):
+            rows = one[lo : lo + 64]
+            maybe = (label[rows][:, None] != label[other]) & (np.minimum(n[rows][:, None], n[other]) * 100 >= np.maximum(n[rows][:, None], n[other]) * similarity)
+            i, j = np.nonzero(maybe)
+            i, j = rows[i], other[j]
+            near = (sig[i] != sig[j]).sum(axis=1) <= DISTANCE
+            i, j = i[near], j[near]
+            met = (keys[i] == keys[j]).any(axis=1)
+            i, j = i[met], j[met]
+            if len(i):
+                left, x = np.unique(i, return_inverse=True)
+                right, y = np.unique(j, return_inverse=True)
+                both = _common([sets[k] for k in left], [sets[k] for k in right])[x, y]
+                for a, b in zip(i[linked := both * 100 >= (n[i] + n[j] - both) * similarity], j[linked], strict=True):
+                    if root(int(label[a])) != root(int(label[b])):
+                        parent[root(int(label[a]))] = root(int(label[b]))
+                        u.append(int(node[a]))
+                        v.append(int(node[b]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _in_blocks(left: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, folder: str) -> DataFrame:
+    """Links across components among nodes that share a large key. left: (key, node, label)."""
+    first = left.groupBy("key").agg(F.min("node").alias("first"))
+    edges = left.join(first, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    group = components(edges, f"{folder}/groups").select("node", F.col("label").alias("group"))
+    size = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = group.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(left.select("node", "label").distinct(), "node").join(nodes, "node").join(sets, "node")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "node", "label", "n", "sig", "shingles")
+    return written(dealt.groupBy("group", "one", "other").applyInArrow(_block_links(similarity), "u long, v long"), folder, "blocks")
+
+
 def among(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is among ``ids``: broadcast if these are few, else shuffled."""
     ids = ids.withColumnRenamed(name, key)
@@ -156,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     sketched = written(rows.mapInArrow(_sketched(shingle), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), folder, "sketched")
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one node: the smallest of their ids
-    nodes = written(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")).select("node", F.col("n_shingles").alias("n"), "set_a", "set_b", "sig"), folder, "nodes")
+    nodes = written(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).select("node", F.col("n_shingles").alias("n"), "set_a", "set_b", "sig"), folder, "nodes")
     index = nodes.select("node", "sig").mapInArrow(_indexed, "key long, node long")
     shared = index.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = written(index.join(shared, "key"), folder, "members")
@@ -168,15 +246,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         at = f"{folder}/{turn}"
         met = members.join(labels, "node")
         rank = F.xxhash64("node", F.lit(turn))
-        keys = met.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), F.col("node").alias("centre"), F.col("label").alias("own"))).alias("c")).where("lo < hi")
+        keys = met.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), F.col("node").alias("centre"), F.col("label").alias("own"))).alias("c")).where("lo < hi")
         if turn < STARS:
             pairs = met.join(keys.select("key", "c.centre", "c.own"), "key").where("label <> own").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
         else:
-            left = written(met.join(keys.select("key"), "key"), at, "left")
-            pairs = left.alias("x").join(left.alias("y"), "key").where("x.node < y.node AND x.label <> y.label").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+            left = written(met.join(keys.select("key", "size"), "key"), at, "left")
+            few, many = left.where(f"size <= {FEW}"), left.where(f"size > {FEW}").drop("size")
+            pairs = few.alias("x").join(few.alias("y"), "key").where("x.node < y.node AND x.label <> y.label").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         links = _linked(pairs.distinct(), sketch, sets, similarity, at, "")
-        if links.isEmpty():
-            if turn < STARS and keys.isEmpty():
+        if turn == STARS:
+            links = links.unionByName(_in_blocks(many, sketch, sets, similarity, at))
+        elif links.isEmpty():
+            if keys.isEmpty():
                 break
             continue
         by = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
