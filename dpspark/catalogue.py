@@ -1,15 +1,625 @@
-"""The registered queries of the engine and the SQL that they are held against."""
+"""The registered queries of the engine and the SQL that they are held against.
+
+Whatever is compared is deterministic: exact counts, or noise and draws by the
+hash of a key, which both engines compute alike. Shares are rounded to 6 places.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dpspark import domains, fixtures, ledger
+from dpspark.fixtures import F1, F2, F4, F5, F6, F7
+from dpspark.functions import binning
+from dpspark.functions.draw import uniform
+from dpspark.operators import counts, parsing, quota, sampling
+from dpspark.plans import bound, hybrid, selection
+from dpspark.plans.release import Release, mixture, numeric_block
+from dpspark.schema import PublicSchema
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+F2_SQL = f"(SELECT *, {fixtures.F2_Y} AS y FROM lineitem)"
+F5_SQL = f"(SELECT *, {fixtures.F5_Y} AS y FROM orders)"
+F4_SQL = "(SELECT doc_id, n_chars, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id))"
+
 
-from pyspark.sql import DataFrame, SparkSession
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if oracle:
+            _oracles[f.__name__] = oracle
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+# -- SQL text of what the column expressions say --------------------------------
+
+
+def sql_steps(col: str, edges: Sequence[float], op: str = ">=") -> str:
+    return "(" + (" + ".join(f"CAST({col} {op} CAST({e} AS DOUBLE) AS INT)" for e in edges) or "0") + ")"
+
+
+def sql_inside(col: str, edges: Sequence[float], op: str) -> str:
+    return f"CASE WHEN {col} >= {edges[0]} AND {col} <= {edges[-1]} THEN {sql_steps(col, edges[1:-1], op)} ELSE -1 END"
+
+
+SQL_BIN = {
+    "cell": lambda c, e: sql_steps(c, e[1:-1]),
+    "histogram": lambda c, e: sql_inside(c, e, ">="),
+    "interval": lambda c, e: sql_inside(c, e, ">"),
+    "pool": lambda c, e: sql_steps(c, e[1:-1]),
+    "band": lambda c, e: sql_inside(c, e, ">="),
+}
+
+
+def sql_values(rows: Sequence[tuple], names: str) -> str:
+    shown = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({names}))"
+
+
+def sql_cohort(schema: PublicSchema) -> str:
+    (c,) = schema.stratify
+    bands = schema.bands[c]
+    cases = " ".join(f"WHEN {c} >= {b.lo} AND {c} {'<=' if b is bands[-1] else '<'} {b.hi} THEN '{b.name}'" for b in bands)
+    return f"CASE {cases} ELSE 'oob' END"
+
+
+def sql_cell(schema: PublicSchema, level: Sequence[str]) -> str:
+    parts = []
+    for c in level:
+        if c in schema.numerical:
+            edges = schema.edges(c)
+            at = SQL_BIN["cell"](c, edges)
+            parts.append(f"CASE {at} " + " ".join(f"WHEN {i} THEN '{binning.cell_label(c, edges, i)}'" for i in range(len(edges) - 1)) + " END")
+        else:
+            value = c
+            if g := schema.coarsen.get(c):
+                value = f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in g.items()) + f" ELSE {c} END"
+            parts.append(f"'{c}=' || {value}")
+    return " || ' & ' || ".join(f"({p})" for p in parts) or "'*'"
+
+
+def sql_melt(schema: PublicSchema, table: str, kind: str, keys: str = "") -> str:
+    """col and bin of every row and feature."""
+    lead = f"{keys}, " if keys else ""
+    parts = [f"SELECT {lead}'{c}' AS col, {SQL_BIN[kind](c, schema.edges(c))} AS bin FROM {table}" for c in schema.numerical]
+    for c in schema.categorical:
+        cases = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(schema.levels(c)))
+        parts.append(f"SELECT {lead}'{c}' AS col, CASE {c} {cases} END AS bin FROM {table}")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+def sql_domain(schema: PublicSchema) -> str:
+    rows = [(c, i) for c in schema.numerical for i in range(len(schema.edges(c)) - 1)] + [(c, i) for c in schema.categorical for i in range(len(schema.levels(c)))]
+    return sql_values(rows, "col, bin")
+
+
+def sql_uniform(key: str, seed: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws('|', CAST({key} AS VARCHAR), '{seed}')), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def sql_names(names: Sequence[str], column: str) -> str:
+    return sql_values([(n,) for n in names], column)
+
+
+# -- normalisation ----------------------------------------------------------------
+
+NARROW = PublicSchema("lineitem, narrow", {"l_quantity": (5, 45), "l_discount": (0.02, 0.08)}, {"l_returnflag": ["A", "N", "R"]}, "l_linestatus", "O", "F")
+STATUS = PublicSchema("order status", {"o_totalprice": (2000, 400000)}, {"o_orderpriority": F5.categorical["o_orderpriority"][:4]}, "o_orderstatus", "O", "F")
+
+
+@query("SELECT least(greatest(l_quantity, 5), 45) AS l_quantity, least(greatest(l_discount, 0.02), 0.08)::DOUBLE AS l_discount, l_returnflag, l_linestatus FROM lineitem")
+def coerce_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NARROW.coerce(fixtures.f1(spark, sf_dir))
+
+
+@query(
+    "SELECT unnest(['rows', 'label 0', 'label 1', 'label ?', 'none o_totalprice', 'out o_totalprice', 'undeclared o_orderpriority']) AS what, "
+    "unnest([count(*), count_if(o_orderstatus = 'O'), count_if(o_orderstatus = 'F'), count_if(o_orderstatus NOT IN ('O', 'F')), count_if(o_totalprice IS NULL), "
+    "count_if(o_totalprice < 2000 OR o_totalprice > 400000), count_if(o_orderpriority = '5-LOW')])::BIGINT AS n FROM orders"
+)
+def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = STATUS.validate(fixtures.read(spark, sf_dir, "orders"), strict=False)["counts"]
+    return domains.frame(spark, list(found.items()), "what string, n long")
+
+
+def _binned(name: str) -> None:
+    edges = {c: F1.edges(c) for c in ("l_quantity", "l_discount")}
+    # values on both sides of the bounds too, and on them
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS col, {SQL_BIN[name]('v', e)} AS bin FROM (SELECT {c} AS v FROM lineitem UNION ALL SELECT {c} + 5 FROM lineitem UNION ALL SELECT {c} - 5 FROM lineitem)" for c, e in edges.items())
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, of = fixtures.f1(spark, sf_dir), getattr(binning, name)
+        values = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), of(F.col(c) + d, e).alias("bin")) for c, e in edges.items() for d in (0, 5, -5))))
+        return df.select(values.alias("p")).groupBy("p.col", "p.bin").agg(F.count("*").alias("n"))
+
+    run.__name__ = f"binning_{name}"
+    query(f"SELECT col, bin, count(*) AS n FROM ({parts}) GROUP BY col, bin")(run)
+
+
+for _name in ("cell", "histogram", "interval", "pool", "band"):
+    _binned(_name)
+
+
+# -- counts over public domains -----------------------------------------------------
+
+
+@query(
+    f"SELECT d.cohort, count(k.cohort)::BIGINT AS n, coalesce(sum(k.p), 0)::BIGINT AS n_pos FROM {sql_names(domains.cohorts(F2), 'cohort')} d "
+    f"LEFT JOIN (SELECT {sql_cohort(F2)} AS cohort, CAST(y = 'YES' AS INT) AS p FROM {F2_SQL}) k ON k.cohort = d.cohort GROUP BY d.cohort"
+)
+def cohort_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.cohort_counts(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+
+
+def _sql_levels(schema: PublicSchema, table: str, positive: str) -> str:
+    parts = []
+    for i, level in enumerate(schema.conditional):
+        seen = f"(SELECT {sql_cell(schema, level)} AS cell, CAST({positive} AS INT) AS p FROM {table})"
+        parts.append(f"SELECT {i} AS level, d.cell, count(k.cell)::BIGINT AS n, coalesce(sum(k.p), 0)::BIGINT AS n_pos FROM {sql_names(domains.cells(schema, level), 'cell')} d LEFT JOIN {seen} k ON k.cell = d.cell GROUP BY d.cell")
+    return " UNION ALL ".join(parts)
+
+
+@query(_sql_levels(F2, F2_SQL, "y = 'YES'"))
+def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.level_counts(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+
+
+@query(_sql_levels(F4, F4_SQL, "quality = 1"))
+def coarsened_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.level_counts(F4, F4.coerce(fixtures.f4(spark, sf_dir)))
+
+
+_HIST = f"""
+SELECT c.cohort, k.cls, d.col, d.bin, count(s.bin)::BIGINT AS n
+FROM {sql_names(domains.cohorts(F2), 'cohort')} c CROSS JOIN {sql_names([counts.POSITIVE, counts.NEGATIVE], 'cls')} k CROSS JOIN {sql_domain(F2)} d
+LEFT JOIN {sql_melt(F2, F2_SQL, 'histogram', f"{sql_cohort(F2)} AS cohort, CASE WHEN y = 'YES' THEN 'pos' ELSE 'neg' END AS cls")} s
+ON s.cohort = c.cohort AND s.cls = k.cls AND s.col = d.col AND s.bin = d.bin GROUP BY ALL"""
+
+
+@query(_HIST)
+def hist_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.histograms(F2, F2.coerce(fixtures.f2(spark, sf_dir))).select("cohort", "cls", "col", "bin", "n")
+
+
+@query(f"SELECT cohort, col, bin, sum(n)::BIGINT AS n FROM ({_HIST}) GROUP BY ALL")
+def hist_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.pooled(counts.histograms(F2, F2.coerce(fixtures.f2(spark, sf_dir)))).select("cohort", "col", "bin", "n")
+
+
+@query(f"SELECT {sql_cohort(F2)} AS cohort, round(avg(CAST(y = 'YES' AS INT)), 6) AS pos_share FROM {F2_SQL} GROUP BY 1")
+def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.cohort_counts(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+    return found.select("cohort", r6(F.col("n_pos") / F.col("n")).alias("pos_share"))
+
+
+@query(
+    f"WITH h AS ({_HIST}), t AS (SELECT cohort, cls, col, bin, n / sum(n) OVER (PARTITION BY cohort, cls, col) AS p FROM h), "
+    "w AS (SELECT cohort, sum(n) FILTER (cls = 'pos') / sum(n) AS w FROM h WHERE col = 'l_returnflag' GROUP BY cohort) "
+    "SELECT cohort, col, bin, round(sum(p * CASE cls WHEN 'pos' THEN w ELSE 1 - w END), 6) AS share FROM t JOIN w USING (cohort) GROUP BY cohort, col, bin"
+)
+def pooled_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = counts.histograms(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+    share = hist.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("cohort", "cls", "col")))
+    weight = hist.where("col = 'l_returnflag'").groupBy("cohort").agg((F.sum(F.when(F.col("cls") == "pos", F.col("n")).otherwise(0)) / F.sum("n")).alias("w"))
+    mixed = share.join(F.broadcast(weight), "cohort").groupBy("cohort", "col", "bin")
+    return mixed.agg(r6(F.sum(F.col("p") * F.when(F.col("cls") == "pos", F.col("w")).otherwise(1 - F.col("w")))).alias("share"))
+
+
+def _sql_centres(schema: PublicSchema) -> str:
+    return sql_values([(c, i, (a + b) / 2) for c in schema.numerical for i, (a, b) in enumerate(zip(schema.edges(c), schema.edges(c)[1:], strict=False))], "col, bin, centre")
+
+
+@query(
+    f"WITH p AS (SELECT cohort, col, bin, sum(n) AS n FROM ({_HIST}) GROUP BY ALL), s AS (SELECT cohort, col, centre, n / sum(n) OVER (PARTITION BY cohort, col) AS share FROM p JOIN {_sql_centres(F2)} USING (col, bin)), "
+    "m AS (SELECT cohort, col, sum(share * centre) AS mean FROM s GROUP BY ALL) "
+    "SELECT cohort, col, round(any_value(mean), 6) AS mean, round(sqrt(sum(share * (centre - mean) * (centre - mean))), 6) AS std FROM s JOIN m USING (cohort, col) GROUP BY cohort, col"
+)
+def hist_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = counts.pooled(counts.histograms(F2, F2.coerce(fixtures.f2(spark, sf_dir))))
+    rows = [(c, i, (a + b) / 2) for c in F2.numerical for i, (a, b) in enumerate(zip(F2.edges(c), F2.edges(c)[1:], strict=False))]
+    share = hist.join(F.broadcast(domains.frame(spark, rows, "col string, bin int, centre double")), ["col", "bin"]).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cohort", "col")))
+    found = share.groupBy("cohort", "col").agg(F.sum(F.col("share") * F.col("centre")).alias("m"), F.sum(F.col("share") * F.col("centre") ** 2).alias("q"))
+    return found.select("cohort", "col", r6(F.col("m")).alias("mean"), r6(F.sqrt(F.greatest(F.col("q") - F.col("m") ** 2, F.lit(0.0)))).alias("std"))
+
+
+_CONTINGENCY = f"""
+SELECT d.col, d.bin, coalesce(sum(s.p), 0)::BIGINT AS n_pos, coalesce(sum(1 - s.p), 0)::BIGINT AS n_neg
+FROM {sql_domain(F2)} d LEFT JOIN {sql_melt(F2, F2_SQL, 'interval', "CAST(y = 'YES' AS INT) AS p")} s ON s.col = d.col AND s.bin = d.bin GROUP BY d.col, d.bin"""
+_MI = f"""
+WITH c AS (SELECT col, bin, unnest([0, 1]) AS cls, unnest([n_pos, n_neg]) AS n FROM ({_CONTINGENCY})),
+t AS (SELECT col, n, sum(n) OVER (PARTITION BY col) AS t, sum(n) OVER (PARTITION BY col, bin) AS r, sum(n) OVER (PARTITION BY col, cls) AS k FROM c)
+SELECT col, round(sum(CASE WHEN n > 0 THEN n / t * ln(n * t / (r::DOUBLE * k)) ELSE 0 END), 6) AS mi FROM t GROUP BY col"""
+
+
+@query(_CONTINGENCY)
+def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.contingency(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+
+
+@query(_MI)
+def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.mutual_information(counts.contingency(F2, F2.coerce(fixtures.f2(spark, sf_dir)))).select("col", r6(F.col("mi")).alias("mi"))
+
+
+@query(f"SELECT col, rank FROM (SELECT col, (row_number() OVER (ORDER BY mi DESC, col))::INT AS rank FROM ({_MI})) WHERE rank <= 2")
+def top_k_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mi = counts.mutual_information(counts.contingency(F2, F2.coerce(fixtures.f2(spark, sf_dir)))).withColumn("mi", r6(F.col("mi")))
+    return mi.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mi"), "col"))).where("rank <= 2").select("col", "rank")
+
+
+@query(
+    f"WITH c AS (SELECT d.col, d.bin, coalesce(sum(s.p), 0) AS a, coalesce(sum(1 - s.p), 0) AS b FROM {sql_domain(F4)} d LEFT JOIN {sql_melt(F4, F4_SQL, 'interval', 'quality AS p')} s ON s.col = d.col AND s.bin = d.bin GROUP BY d.col, d.bin), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY a / greatest(a + b, 1), bin) AS rank, count(*) OVER (PARTITION BY col) AS levels FROM c WHERE col IN ('lang', 'source')) "
+    "SELECT col, bin, CASE WHEN levels > 4 THEN 'g' || CAST(floor((rank - 1) / ceil(levels / 4)) AS BIGINT) END AS grp FROM k"
+)
+def coarsen_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.coarse_groups(counts.contingency(F4, F4.coerce(fixtures.f4(spark, sf_dir))).where("col <> 'n_chars' AND bin >= 0"))
+
+
+@query(f"SELECT {sql_cell(F2, ('l_returnflag', 'l_linestatus'))} AS cell, count(*)::BIGINT AS n, round(avg(CAST(y = 'YES' AS INT)), 6) AS rate FROM {F2_SQL} GROUP BY 1")
+def cell_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.rates(F2, F2.coerce(fixtures.f2(spark, sf_dir)), 2).select("cell", "n", r6(F.col("rate")).alias("rate"))
+
+
+@query(
+    f"SELECT CASE WHEN y = 'YES' THEN 'pos' ELSE 'neg' END AS cls, col, bin, count(*)::BIGINT AS n FROM {sql_melt(F2, F2_SQL, 'pool', 'y')} GROUP BY ALL"
+)
+def emitted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.emitted(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+
+
+# -- noise, with draws by hash: the tests' mechanism, the release's arithmetic ----------
+
+SCALE, N_MIN = 20.0, 150
+
+
+def _fixed_noise(key: Column, scale: float) -> Column:
+    u = uniform(key, "noise") - 0.5
+    return -F.lit(scale) * F.signum(u) * F.log1p(-2 * F.abs(u))
+
+
+def _sql_noise(key: str, scale: float) -> str:
+    u = f"({sql_uniform(key, 'noise')} - 0.5)"
+    return f"(-{scale} * sign({u}) * ln(1 - 2 * abs({u})))"
+
+
+@query(f"WITH h AS ({_HIST}), z AS (SELECT *, greatest(n + {_sql_noise('''concat_ws('/', cohort, cls, col, CAST(bin AS VARCHAR))''', SCALE)}, 0) AS v FROM h) SELECT cohort, cls, col, bin, round(CASE WHEN sum(v) OVER w > 0 THEN v / sum(v) OVER w ELSE 1.0 / count(*) OVER w END, 5) AS share FROM z WINDOW w AS (PARTITION BY cohort, cls, col)")
+def noisy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = counts.histograms(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+    noisy = hist.withColumn("v", F.greatest(F.col("n") + _fixed_noise(F.concat_ws("/", "cohort", "cls", "col", F.col("bin").cast("string")), SCALE), F.lit(0.0)))
+    w = Window.partitionBy("cohort", "cls", "col")
+    total = F.sum("v").over(w)
+    return noisy.select("cohort", "cls", "col", "bin", F.round(F.when(total > 0, F.col("v") / total).otherwise(1.0 / F.count("*").over(w)), 5).alias("share"))
+
+
+@query(
+    f"WITH l AS ({_sql_levels(F2, F2_SQL, '''y = 'YES' ''')}), z AS (SELECT *, n + {_sql_noise('cell', SCALE)} AS v FROM l) "
+    f"SELECT level, cell, greatest({N_MIN}, round_even(v, 0))::BIGINT AS support, round(least(1, greatest(0, n_pos) / greatest({N_MIN}, round_even(v, 0))), 5) AS rate FROM z WHERE v >= {N_MIN}"
+)
+def noisy_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.level_counts(F2, F2.coerce(fixtures.f2(spark, sf_dir))).withColumn("v", F.col("n") + _fixed_noise(F.col("cell"), SCALE)).where(F.col("v") >= N_MIN)
+    support = F.greatest(F.lit(N_MIN).cast("long"), F.bround("v", 0).cast("long"))
+    return found.select("level", "cell", support.alias("support"), F.round(F.least(F.lit(1.0), F.col("n_pos") / support), 5).alias("rate"))
+
+
+@query(
+    f"WITH l AS {sql_values(F6, 'epsilon, composition, partition, grp')}, p AS (SELECT grp, partition, sum(epsilon) AS own FROM l WHERE composition = 'parallel' GROUP BY ALL), "
+    "m AS (SELECT a.grp, a.partition, sum(b.own) AS cost FROM p a JOIN p b ON a.grp = b.grp AND (a.partition = b.partition OR starts_with(a.partition, b.partition || '/') OR b.partition = '') GROUP BY ALL) "
+    "SELECT round((SELECT sum(cost) FROM (SELECT grp, max(cost) AS cost FROM m GROUP BY grp)) + (SELECT sum(epsilon) FROM l WHERE composition = 'sequential'), 6)::DOUBLE AS total"
+)
+def ledger_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = domains.frame(spark, F6, "epsilon double, composition string, partition string, grp string")
+    return ledger.ledger_total(rows).select(r6(F.col("total")).alias("total"))
+
+
+# -- quotas -----------------------------------------------------------------------------
+
+
+@query(
+    f"WITH s AS (SELECT {sql_cohort(F2)} AS cohort, count(*) AS size FROM {F2_SQL} GROUP BY 1), e AS (SELECT cohort, 997 * size::DOUBLE / sum(size) OVER () AS exact FROM s) "
+    "SELECT cohort, (floor(exact) + CAST(row_number() OVER (ORDER BY exact - floor(exact) DESC, cohort) <= 997 - sum(floor(exact)) OVER () AS INT))::BIGINT AS rows FROM e"
+)
+def allocate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = counts.cohort_counts(F2, F2.coerce(fixtures.f2(spark, sf_dir))).select("cohort", F.col("n").alias("size"))
+    return quota.allocated(sizes, 997)
+
+
+@query(
+    f"WITH h AS ({_HIST}), e AS (SELECT cohort, cls, col, bin, n / sum(n) OVER (PARTITION BY cohort, cls, col) * 25 AS exact FROM h) "
+    "SELECT cohort, cls, col, bin, (floor(exact) + CAST(row_number() OVER (w ORDER BY exact - floor(exact) DESC, bin) <= 25 - sum(floor(exact)) OVER w AS INT))::BIGINT AS quota FROM e WINDOW w AS (PARTITION BY cohort, cls, col)"
+)
+def batch_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = counts.histograms(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+    shares = hist.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cohort", "cls", "col")))
+    return quota.quotas(shares, ["cohort", "cls", "col"], F.lit(25), F.col("bin")).select("cohort", "cls", "col", "bin", "quota")
+
+
+# -- rows of generated text ---------------------------------------------------------------
+
+_PARSED = sql_values(
+    [
+        (1, "2000", "1-URGENT", "YES"), (1, "3000.5", "5-LOW", "NO"), (2, "900", "2-HIGH", "YES"), (2, "5000", "9-NONE", "NO"),
+        (2, "7000", "3-MEDIUM", None), (2, "x", "4-NOT SPECIFIED", "NO"), (2, "450000", "5-LOW", "NO"),
+    ],
+    "response_id, o_totalprice, o_orderpriority, y",
+)
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return domains.frame(spark, F7, "response_id int, response string")
+
+
+@query(f"SELECT * FROM {_PARSED}")
+def csv_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parsed(_answers(spark), F5).drop("line")
+
+
+@query(
+    "SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN coalesce(y, '') NOT IN ('YES', 'NO') THEN 'label' WHEN try_cast(o_totalprice AS DOUBLE) IS NULL THEN 'number' "
+    f"WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') THEN 'category' WHEN try_cast(o_totalprice AS DOUBLE) NOT BETWEEN 1000 AND 500000 THEN 'bounds' END AS reason FROM {_PARSED}) GROUP BY reason"
+)
+def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.validated(parsing.parsed(_answers(spark), F5), F5).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT value, count(*)::BIGINT AS n FROM (SELECT CASE WHEN regexp_full_match(t, '-?[0-9]+\\.0+') THEN CAST(CAST(CAST(t AS DOUBLE) AS BIGINT) AS VARCHAR) WHEN t = '' THEN NULL ELSE t END AS value "
+    "FROM (SELECT regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT unnest([CAST(l_linenumber AS VARCHAR) || '.0', ' ' || l_returnflag || ' ', '00' || CAST(l_linenumber AS VARCHAR) || '.00', '-0.0', '']) AS x FROM lineitem))) GROUP BY value"
+)
+def normalise_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, flag = F.col("l_linenumber").cast("string"), F.col("l_returnflag")
+    raw = F.array(F.concat(n, F.lit(".0")), F.concat(F.lit(" "), flag, F.lit(" ")), F.concat(F.lit("00"), n, F.lit(".00")), F.lit("-0.0"), F.lit(""))
+    return fixtures.f1(spark, sf_dir).select(F.explode(raw).alias("x")).groupBy(parsing.normalised(F.col("x")).alias("value")).agg(F.count("*").alias("n"))
+
+
+# -- selection ----------------------------------------------------------------------------
+
+
+def small_release(schema: PublicSchema = F5) -> Release:
+    """A release made by hand, so that what follows from one can be compared."""
+    def block(p: list[float], q: list[float]) -> dict:
+        return {"numerical": {"o_totalprice": numeric_block(p, schema.edges("o_totalprice"), schema.numerical["o_totalprice"])}, "categorical": {"o_orderpriority": dict(zip(schema.levels("o_orderpriority"), q, strict=True))}}
+
+    small = block([0.6, 0.4, 0, 0], [0.3, 0.3, 0.2, 0.2, 0]), block([0.5, 0.5, 0, 0], [0.1, 0.2, 0.3, 0.2, 0.2])
+    cohorts = [
+        {"cohort_id": 1, "cohort_name": "small", "cohort_size": 400, "class_balance": {"YES": 0.4, "NO": 0.6}, "by_class": {"YES": small[0], "NO": small[1]}, **mixture(schema, 0.4, *small)},
+        {"cohort_id": 0, "cohort_name": "large", "cohort_size": 600, "class_balance": {"YES": 0.5, "NO": 0.5}, **block([0, 0, 0.4, 0.6], [0.2] * 5)},
+    ]
+    cells = {f"o_orderpriority={v}": {"rate": r, "support": 200} for v, r in zip(schema.levels("o_orderpriority"), (0.7, 0.4, 0.3, 0.3, 0.25), strict=True)}
+    stratify = [["o_totalprice", [b.__dict__ for b in schema.bands["o_totalprice"]]]]
+    return Release(schema.name, 2.0, 150, cohorts, [{"level": 0, "columns": ["o_orderpriority"], "cells": cells}], {}, stratify)
+
+
+TAKEN = 500
+
+
+@query(
+    f"SELECT cohort, owed::DOUBLE AS owed, count(c)::BIGINT AS have, round(count(c) / owed, 6)::DOUBLE AS ratio FROM {sql_values([('small', 200.0), ('large', 300.0)], 'cohort, owed')} LEFT JOIN (SELECT {sql_cohort(F5)} AS c FROM {F5_SQL}) ON c = cohort GROUP BY cohort, owed"
+)
+def pool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.pool_coverage(small_release(), F5, F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN).withColumn("ratio", r6(F.col("ratio")))
+
+
+@query()
+def rake_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.inclusion_weights(F5, small_release(), F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN)
+    return spark.createDataFrame(found.assign(_w=found["_w"].round(9)))
+
+
+def _sql_rake_round() -> str:
+    price, cls = SQL_BIN["pool"]("o_totalprice", F5.edges("o_totalprice")), "CAST(y = 'YES' AS INT)"
+    release, total = small_release(), 1000
+    cohort, balance, hist = [], [], {c: [] for c in F5.features}
+    for c in release.cohorts:
+        mass, name = TAKEN * c["cohort_size"] / total, c["cohort_name"]
+        cohort.append((name, mass))
+        balance += [(name, k, mass * c["class_balance"][v]) for k, v in ((1, "YES"), (0, "NO"))]
+        for k, v in ((1, "YES"), (0, "NO")):
+            b, m, key = (c["by_class"][v], mass * c["class_balance"][v], k) if "by_class" in c else (c, mass, -1)
+            hist["o_totalprice"] += [(name, key, i, m * p) for i, p in enumerate(b["numerical"]["o_totalprice"]["proportions"])] if key >= 0 or k else []
+            hist["o_orderpriority"] += [(name, key, i, m * p) for i, p in enumerate(b["categorical"]["o_orderpriority"].values())] if key >= 0 or k else []
+    least = lambda rows: [r for r in rows if r[-1] == 0 or r[-1] >= 1]
+    steps = [("cohort", least(cohort), "cohort, target", "cohort"), ("cohort, cls", least(balance), "cohort, cls, target", "cohort, cls")]
+    out = f"WITH t0 AS (SELECT {sql_cohort(F5)} AS cohort, {cls} AS cls, {price} AS b1, CASE o_orderpriority {' '.join(f'''WHEN '{v}' THEN {i}''' for i, v in enumerate(F5.levels('o_orderpriority')))} END AS b2, count(*) AS n FROM {F5_SQL} GROUP BY ALL), w0 AS (SELECT *, {TAKEN}::DOUBLE / sum(n) OVER () AS w FROM t0)"
+    k = 0
+    for _, rows, names, on in steps:
+        out += f", w{k + 1} AS (SELECT x.cohort, x.cls, b1, b2, n, w * coalesce(target / nullif(sum(w * n) OVER (PARTITION BY {', '.join('x.' + o for o in on.split(', '))}), 0), 1) AS w FROM w{k} x LEFT JOIN {sql_values(rows, names)} c ON {' AND '.join(f'c.{o} = x.{o}' for o in on.split(', '))})"
+        k += 1
+    for col, b in (("o_totalprice", "b1"), ("o_orderpriority", "b2")):
+        key = "CASE WHEN x.cohort = 'small' THEN x.cls ELSE -1 END"
+        out += f", w{k + 1} AS (SELECT x.cohort, x.cls, b1, b2, n, w * coalesce(target / nullif(sum(w * n) OVER (PARTITION BY x.cohort, {key}, {b}), 0), 1) AS w FROM w{k} x LEFT JOIN {sql_values(least(hist[col]), 'cohort, k, b, target')} c ON c.cohort = x.cohort AND c.k = {key} AND c.b = {b})"
+        k += 1
+    out += f", clipped AS (SELECT *, least(1, greatest(0, w)) AS v FROM w{k}) SELECT cohort, CAST(cls AS BOOLEAN) AS pos, b1, b2, n, round(least(1, v * {TAKEN} / sum(v * n) OVER ()), 6)::DOUBLE AS w FROM clipped"
+    return out
+
+
+@query(_sql_rake_round())
+def rake_one_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.inclusion_weights(F5, small_release(), F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN, rounds=1)
+    frame = spark.createDataFrame(found.rename(columns={"_cohort": "cohort", "_pos": "pos", "_b_o_totalprice": "b1", "_b_o_orderpriority": "b2", "_n": "n", "_w": "w"}))
+    return frame.select("cohort", "pos", F.col("b1").cast("int").alias("b1"), F.col("b2").cast("int").alias("b2"), "n", r6(F.col("w")).alias("w"))
+
+
+def _f5_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.f5(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderpriority", "y")
+
+
+@query()
+def select_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select_to_release(F5, small_release(), _f5_keyed(spark, sf_dir), TAKEN, "o_orderkey", seed=7, sub_bin="generator")
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY {sql_uniform('o_orderkey', '11')}, o_orderkey LIMIT 300")
+def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.simple_sample(fixtures.read(spark, sf_dir, "orders"), "o_orderkey", 300, 11).select("o_orderkey")
+
+
+@query(
+    f"SELECT a.o_orderkey, b.y FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {sql_uniform('o_orderkey', '5 rows')}, o_orderkey) AS r FROM {F5_SQL}) a "
+    f"JOIN (SELECT y, row_number() OVER (ORDER BY {sql_uniform('o_orderkey', '5 values')}, o_orderkey) AS r FROM {F5_SQL}) b USING (r)"
+)
+def permute_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.permuted(fixtures.f5(spark, sf_dir).select("o_orderkey", "y"), "o_orderkey", "y", 5)
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE {sql_uniform('o_orderkey', '3')} < 0.8")
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split(fixtures.read(spark, sf_dir, "orders"), "o_orderkey", 0.8, 3)[0].select("o_orderkey")
+
+
+@query(
+    f"WITH b AS (SELECT *, {SQL_BIN['pool']('o_totalprice', F5.edges('o_totalprice'))} AS i FROM orders), e AS (SELECT *, [1000.0, 50000.0, 100000.0, 200000.0][i + 1] AS lo, [50000.0, 100000.0, 200000.0, 500000.0][i + 1] AS hi FROM b) "
+    f"SELECT o_orderkey, round(CASE WHEN i < 2 THEN lo + {sql_uniform('o_orderkey', '9 o_totalprice')} * (hi - lo) ELSE o_totalprice END, 6)::DOUBLE AS o_totalprice FROM e"
+)
+def subbin_redraw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.sub_bin_redraw(F5, small_release(), _f5_keyed(spark, sf_dir), "o_orderkey", 9).select("o_orderkey", r6(F.col("o_totalprice")).alias("o_totalprice"))
+
+
+# -- bound, evaluation, correction --------------------------------------------------------------
+
+P_HAT = {f"o_orderpriority={v}": p for v, p in zip(F5.levels("o_orderpriority"), (0.8, 0.3, 0.35, 0.3, 0.2), strict=True)}
+HALF = bound.halfwidth(150, 0.5, 5, 0.05)
+_SCORES = (
+    f"SELECT p.cell, p_hat::DOUBLE AS p_hat, round(avg(y), 6) AS rate, count(y)::BIGINT AS n, round(CASE WHEN count(y) > 0 THEN abs(p_hat - avg(y)) + {HALF!r} ELSE 1 END, 6)::DOUBLE AS bound "
+    f"FROM {sql_values(list(P_HAT.items()), 'cell, p_hat')} p LEFT JOIN (SELECT {sql_cell(F5, ('o_orderpriority',))} AS cell, CAST(y = 'YES' AS INT) AS y FROM {F5_SQL}) s ON s.cell = p.cell GROUP BY p.cell, p_hat"
+)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p_hat = domains.frame(spark, list(P_HAT.items()), "cell string, p_hat double")
+    found = bound.scored(counts.rates(F5, F5.coerce(fixtures.f5(spark, sf_dir)), 0), p_hat, HALF)
+    return found.select("cell", "p_hat", r6(F.col("rate")).alias("rate"), "n", r6(F.col("bound")).alias("bound"))
+
+
+@query(_SCORES)
+def cell_bound_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+@query(f"SELECT count_if(n > 0)::BIGINT AS covered, count_if(n = 0)::BIGINT AS uncovered, count_if(n > 0 AND n < 20)::BIGINT AS thin, max(bound) AS worst, round(avg(bound), 6) AS mean FROM ({_SCORES})")
+def bound_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    return _scores(spark, sf_dir).agg(F.count_if(n > 0).alias("covered"), F.count_if(n == 0).alias("uncovered"), F.count_if((n > 0) & (n < bound.THIN)).alias("thin"), F.max("bound").alias("worst"), r6(F.avg("bound")).alias("mean"))
+
+
+@query(f"SELECT round({HALF!r} + 0.5 * max(abs(rate - 0.46)), 6)::DOUBLE AS tolerance FROM {sql_values([(0.7,), (0.4,), (0.3,), (0.25,)], 'rate')}")
+def derived_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = small_release()
+    return domains.frame(spark, [(round(bound.tolerance(r, r.conditional_levels[0], "YES", HALF), 6),)], "tolerance double")
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = fixtures.f5(spark, sf_dir)
+    return F5.coerce(df.where("o_orderkey % 3 <> 0")), F5.coerce(df.where("o_orderkey % 3 = 0"))
+
+
+def _sql_labels(schema: PublicSchema, table: str, target: bool) -> str:
+    parts = [f"SELECT '{c}' AS col, CAST({SQL_BIN['interval'](c, schema.edges(c))} AS VARCHAR) AS value, o_orderkey % 3 = 0 AS second FROM {table}" for c in schema.numerical]
+    parts += [f"SELECT '{c}', {c}, o_orderkey % 3 = 0 FROM {table}" for c in [*schema.categorical, *([schema.target] if target else [])]]
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+@query(
+    f"WITH n AS (SELECT col, value, count_if(NOT second) AS a, count_if(second) AS b FROM {_sql_labels(F5, F5_SQL, True)} GROUP BY ALL), s AS (SELECT col, a / sum(a) OVER (PARTITION BY col) AS p, b / sum(b) OVER (PARTITION BY col) AS q FROM n) "
+    "SELECT col, round(sum(abs(p - q)) / 2, 6) AS tv FROM s GROUP BY col"
+)
+def marginal_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.marginal_tv(F5, *_halves(spark, sf_dir)).select("col", r6(F.col("tv")).alias("tv"))
+
+
+@query(
+    "WITH n AS (SELECT o_orderpriority AS v, count_if(o_orderkey % 3 <> 0) AS a, count_if(o_orderkey % 3 = 0) AS b FROM orders GROUP BY 1), s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM n) "
+    "SELECT 'o_orderpriority' AS col, round(sum(abs(p - q)) / 2, 6) AS tv FROM s"
+)
+def feature_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.feature_shift(F5, *_halves(spark, sf_dir)).select("col", r6(F.col("tv")).alias("tv"))
+
+
+@query(f"SELECT col, value FROM {sql_values([('lang', v) for v in F4.levels('lang')] + [('source', v) for v in F4.levels('source')] + [('quality', '1'), ('quality', '0')], 'col, value')} EXCEPT SELECT unnest(['lang', 'source', 'quality']), unnest([lang, source, CAST(quality AS VARCHAR)]) FROM {F4_SQL} WHERE lang <> 'es' AND source <> 'src3'")
+def absent_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.absent_categories(F4, F4.coerce(fixtures.f4(spark, sf_dir).where("lang <> 'es' AND source <> 'src3'")))
+
+
+RATES = [("o_orderpriority=1-URGENT", 0.5), ("o_orderpriority=2-HIGH", 0.25), ("o_orderpriority=3-MEDIUM", 0.123)]
+_RELABELLED = (
+    f"WITH s AS (SELECT o_orderkey, y, {sql_cell(F5, ('o_orderpriority',))} AS cell FROM {F5_SQL}), k AS (SELECT s.*, rate, rate * count(*) OVER (PARTITION BY s.cell) AS exact, "
+    f"row_number() OVER (PARTITION BY s.cell ORDER BY {sql_uniform('o_orderkey', '4 row')}, o_orderkey) AS place FROM s LEFT JOIN {sql_values(RATES, 'cell, rate')} r ON r.cell = s.cell) "
+    f"SELECT o_orderkey, cell, CASE WHEN rate IS NULL THEN y WHEN place <= floor(exact) + CAST({sql_uniform('cell', '4 cell')} < exact - floor(exact) AS INT) THEN 'YES' ELSE 'NO' END AS y FROM k"
+)
+
+
+def _relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.relabelled(F5, _f5_keyed(spark, sf_dir), ("o_orderpriority",), domains.frame(spark, RATES, "cell string, rate double"), "o_orderkey", 4)
+
+
+@query(f"SELECT o_orderkey, y FROM ({_RELABELLED})")
+def relabel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relabelled(spark, sf_dir).select("o_orderkey", "y")
+
+
+@query(f"SELECT round(avg(abs(own - rate)), 6) AS error FROM (SELECT cell, avg(CAST(y = 'YES' AS INT)) AS own FROM (SELECT y, {sql_cell(F5, ('o_orderpriority',))} AS cell FROM {F5_SQL}) GROUP BY cell) JOIN {sql_values(RATES, 'cell, rate')} USING (cell)")
+def conditional_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.conditional_error(F5, fixtures.f5(spark, sf_dir), ("o_orderpriority",), domains.frame(spark, RATES, "cell string, rate double")).select(r6(F.col("error")).alias("error"))
+
+
+@query(
+    f"WITH r AS (SELECT y = 'YES' AS p, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS k FROM {F5_SQL}) "
+    "SELECT round((sum(k) FILTER (p) - count_if(p) * (count_if(p) + 1) / 2.0) / (count_if(p)::DOUBLE * count_if(NOT p)), 6)::DOUBLE AS auc FROM r"
+)
+def auc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dpspark.operators.students import auc
+
+    found = fixtures.f5(spark, sf_dir).select(F.col("o_totalprice").alias("score"), (F.col("y") == "YES").alias("positive"))
+    return auc(found).select(r6(F.col("auc")).alias("auc"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 5")
+def cap_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.capped(fixtures.read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 5).select("event_id")
+
+
+@query("SELECT max(n)::BIGINT AS most_rows, 0.1 * max(n)::DOUBLE AS epsilon, 0.1 * max(n) > 10 AS vacuous FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+def group_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    most = fixtures.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).agg(F.max("n").alias("most_rows"))
+    epsilon = F.lit(0.1) * F.col("most_rows")
+    return most.select("most_rows", epsilon.alias("epsilon"), (epsilon > ledger.VACUOUS).alias("vacuous"))
+
+
+@query()
+def tstr_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dpspark.operators.students import tstr
+
+    train, test = sampling.split(fixtures.f5(spark, sf_dir), "o_orderkey", 0.8, 1)
+    return domains.frame(spark, list(tstr(F5, train, test, only=("LR",)).items()), "student string, auc double")
+
+
+@query()
+def statistical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dpspark.plans.generate import statistical
+
+    return statistical(spark, F5, small_release(), 1000, seed=2)
+
+
+@query()
+def band_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.frame(spark, list(quota.band_coverage(F5, small_release()).items()), "col string, covered double")
