@@ -122,7 +122,7 @@ class PrivacyLedger:
             "_what_this_is": WHAT_THIS_IS, "caveats": list(CAVEATS), "epsilon_budget": self.epsilon, "epsilon_accounted": self.total(), "delta": 0.0,
             "max_rows_per_person": unit, "epsilon_per_person": None if unit is None else unit * self.total(),
             "warnings": [] if unit else ["the most rows of a person were not declared: the account is per row"],
-            "groups": groups, "queries": [asdict(q) for q in self.queries],
+            "groups": groups, "queries": [asdict(q) | {"partition": list(q.partition)} for q in self.queries],
         }
 
     def write_audit(self, path: str | Path) -> None:

@@ -49,6 +49,7 @@ class PublicSchema:
     coarsen: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.numerical = {c: tuple(x) for c, x in self.numerical.items()}
         self.conditional = [tuple(x) for x in self.conditional]
         self.bands = {c: [b if isinstance(b, Band) else Band(**b) for b in x] for c, x in self.bands.items()}
         features = {*self.numerical, *self.categorical}
