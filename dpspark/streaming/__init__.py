@@ -1,0 +1,5 @@
+"""Nothing is released over a stream: every micro-batch would spend the budget again.
+
+Counts of a table that grows are taken by a batch job over what has arrived, so
+that one release is one draw.
+"""
