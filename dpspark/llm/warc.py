@@ -22,6 +22,8 @@ from dpspark.llm.common import shared_dir, written
 #: Payloads of fewer bytes are always stored; so many records make up an archive.
 LEAST_BYTES, RECORDS = 1000, 4000
 END = "\r\n\r\n"
+#: Digests of 40 characters with an id: 100 MB at most.
+BROADCAST_DIGESTS = 1_000_000
 #: A page has no date of its own: its id counts seconds from here.
 EPOCH = 1_577_836_800
 INDEX = "urlkey string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
@@ -35,7 +37,7 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(bare, r"^[^/?:]*(:\d*)?", ""))
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, folder: str) -> DataFrame:
     """The WARC record of each row of ``pages`` (page_id, url, html), without the two line ends that close it."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
@@ -43,7 +45,9 @@ def records(pages: DataFrame) -> DataFrame:
     # only digests that more pages have are joined; of these the largest id has the payload
     large = rows.where(f"size >= {LEAST_BYTES} AND page_id IS NOT NULL")
     kept = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where("keeper <> least").select("digest", "keeper")
-    rows = rows.join(kept, "digest", "left")
+    kept = written(kept, folder, "keepers")
+    # few of them go to the payloads; beyond that bound the payloads are shuffled to them
+    rows = rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_DIGESTS else kept, "digest", "left")
     revisit = (F.col("size") >= LEAST_BYTES) & (F.col("keeper") > F.col("page_id"))
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     clean = F.regexp_replace("url", r"[\x00-\x1f\x7f]", " ")
@@ -65,9 +69,11 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block).alias("value"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Archives of ``pages`` in ``path``, RECORDS records each at most."""
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+def write(pages: DataFrame, folder: str) -> str:
+    """Archives of ``pages`` below ``folder``, RECORDS records each at most; returns their path."""
+    path = f"{folder}/archives"
+    records(pages, folder).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    return path
 
 
 _HEADER = re.compile(rb"([\w-]+):[ \t]*([^\r\n]*)\r\n")
@@ -191,5 +197,4 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
-    write(pages, f"{folder}/archives")
-    return merged_index(f"{folder}/archives", folder, spark)
+    return merged_index(write(pages, folder), folder, spark)
