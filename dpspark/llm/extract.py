@@ -18,9 +18,9 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from dpspark.llm.common import shared_dir, written
 #: Pages a host needs for a template, and the share of them that has to have a class.
 LEAST_PAGES, LEAST_SHARE, MAIN_SHARE = 5, 0.9, 0.7
 BROADCAST_BYTES = 16 << 20
+#: Tokens that a task holds before it hands them on.
+ROWS = 8192
 
 # Elements of HTML by what they mean here.
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|audio|video|xmp"
@@ -140,35 +142,49 @@ def text_token(path: str, text: str) -> int:
     return _hash(f"{path}\n{text}")
 
 
+def _page_tokens(page: str) -> Iterator[tuple[int, int, bool, int, str | None]]:
+    """Of each token: its hash, how often it is there, whether it is text; of paths the characters of slots below them, and the path."""
+    found, paths = blocks(page)
+    counts, chars, whole = defaultdict(int), defaultdict(int), 0
+    for path in paths:
+        counts[path, False] += 1
+    for path, text, dropped, _, links in found:
+        counts[path, text] += 1
+        if not dropped and not links:
+            whole += len(text)
+            while path:
+                chars[path] += len(text)
+                path = path.rpartition("/")[0]
+    for (path, text), n in counts.items():
+        if text is False:
+            yield _hash(path), n, False, chars.get(path, 0), path
+        else:
+            yield text_token(path, text), n, True, 0, None
+    yield 0, 1, False, whole, ""
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page and token: how often, whether it is text, and of paths the characters of slots below them."""
+    """The tokens of each page with its host and a number that no other page has, in batches of about ROWS."""
+    types = {"host": pa.string(), "page": pa.int64(), "token": pa.int64(), "n": pa.int64(), "is_text": pa.bool_(), "chars": pa.int64(), "path": pa.string()}
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types.values(), strict=True)], names=list(types))
+
+    number, rows = TaskContext.get().partitionId() << 40, []
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
-        for host, page in zip(batch["host"].to_pylist(), batch["html"], strict=True):
-            source = page.as_py()
-            found, paths = blocks(source)
-            counts, chars = defaultdict(int), defaultdict(int)
-            for path in paths:
-                counts[path, False] += 1
-            for path, text, dropped, _, links in found:
-                counts[path, text] += 1
-                if not dropped and not links:
-                    while path:
-                        chars[path] += len(text)
-                        path = path.rpartition("/")[0]
-            for (path, text), n in counts.items():
-                is_text = text is not False
-                token = text_token(path, text) if is_text else _hash(path)
-                for c, v in zip(columns, (host, token, n, is_text, 0 if is_text else chars.get(path, 0), None if is_text else path), strict=True):
-                    c.append(v)
-            for c, v in zip(columns, (host, 0, 1, False, sum(len(t) for _, t, d, _, ln in found if not d and not ln), ""), strict=True):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()), strict=True)], names=["host", "token", "n", "is_text", "chars", "path"])
+        for host, page in zip(batch["host"], batch["html"], strict=True):
+            host = host.as_py()
+            rows += [(host, number, *token) for token in _page_tokens(page.as_py())]
+            number += 1
+            if len(rows) >= ROWS:
+                yield table(rows)
+                rows = []
+    yield table(rows)
 
 
 def templates(pages: DataFrame, folder: str) -> DataFrame:
     """(host, drop, main): the text tokens of each host's template, and the path of its main slot. pages: (page_id, host, html)."""
-    hashed = pages.select("host", "html").mapInArrow(_tokens_with_page, "host string, token long, n long, is_text boolean, chars long, path string, page long")
+    hashed = pages.select("host", "html").mapInArrow(_tokens, "host string, page long, token long, n long, is_text boolean, chars long, path string")
     vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
     seen = written(hashed.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), vector, F.sum("chars").alias("chars"), F.first("path").alias("path"), F.max("n").alias("most")), folder, "tokens")
     size = seen.where("token = 0 AND NOT is_text").select("host", F.col("pages").alias("of"), F.col("chars").alias("whole")).where(f"of >= {LEAST_PAGES}")
@@ -179,17 +195,6 @@ def templates(pages: DataFrame, folder: str) -> DataFrame:
     return written(classes.where("size >= 2 OR deepest IS NOT NULL").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("drop"), F.max("deepest").alias("deepest")).select("host", "drop", F.col("deepest.path").alias("main")), folder, "templates")
 
 
-def _tokens_with_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        for i in range(len(batch)):
-            for part in _tokens(iter([batch.slice(i, 1)])):
-                yield part.append_column("page", pa.array(np.full(len(part), number), pa.int64()))
-            number += 1
-
-
 def main_text(page: str, drop: frozenset, main: str | None) -> str:
     """What is left of a page without its host's template and what is no article."""
     found, _ = blocks(page)
@@ -205,12 +210,13 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets: dict[str, frozenset] = {}
     for batch in batches:
         texts = []
-        for host, page, drop, main in zip(batch["host"].to_pylist(), batch["html"], batch["drop"], batch["main"].to_pylist(), strict=True):
+        for host, page, drop, main in zip(batch["host"], batch["html"], batch["drop"], batch["main"], strict=True):
+            host = host.as_py()
             if host not in sets:
                 if len(sets) > 1000:
                     sets.clear()
                 sets[host] = frozenset(drop.as_py() or ())
-            texts.append(main_text(page.as_py(), sets[host], main))
+            texts.append(main_text(page.as_py(), sets[host], main.as_py()))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
