@@ -29,6 +29,7 @@ from dpspark.llm.common import shared_dir, written
 #: Pages a host needs for a template, and the share of them that has to have a class.
 LEAST_PAGES, LEAST_SHARE, MAIN_SHARE = 5, 0.9, 0.7
 BROADCAST_BYTES = 16 << 20
+BROADCAST_HOSTS = 200_000
 #: Tokens that a task holds before it hands them on.
 ROWS = 8192
 
@@ -189,7 +190,8 @@ def templates(pages: DataFrame, folder: str) -> DataFrame:
     seen = written(hashed.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), vector, F.sum("chars").alias("chars"), F.first("path").alias("path"), F.max("n").alias("most")), folder, "tokens")
     size = seen.where("token = 0 AND NOT is_text").select("host", F.col("pages").alias("of"), F.col("chars").alias("whole")).where(f"of >= {LEAST_PAGES}")
     size = size.where("host <> ''")
-    known = seen.where("token <> 0 OR is_text").join(size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))
+    # few hosts go to the tokens, of which a large host has very many; beyond that bound the join is shuffled
+    known = seen.where("token <> 0 OR is_text").join(F.broadcast(size) if size.count() <= BROADCAST_HOSTS else size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))
     # an equivalence class: tokens that the same pages have as often; of use are those with a tag or two texts
     classes = known.groupBy("host", "vector").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.count("*").alias("size"), F.max(F.when(~F.col("is_text") & (F.col("chars") >= MAIN_SHARE * F.col("whole")), F.struct(F.size(F.split("path", "/")).alias("depth"), F.col("path")))).alias("deepest"))
     return written(classes.where("size >= 2 OR deepest IS NOT NULL").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("drop"), F.max("deepest").alias("deepest")).select("host", "drop", F.col("deepest.path").alias("main")), folder, "templates")
