@@ -22,8 +22,12 @@ from dpspark.llm.words import PUNCT, chunks, mix, words
 
 #: Any 15 words with up to three substitutions hold one of these in full.
 MASKS = ("111111", "1111011", "101100111", "1100010111")
+#: With these, so do 6 to 11 words of which as many differ as the least share lets.
+SHORT_MASKS, SHORT, LEAST_ITEM = ("11111", "101111", "110111", "111011", "111101"), 12, 6
 #: Words that have to agree: so many, or this share of a shorter item.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
+#: ... in a stretch of so many words, or over the whole of a shorter item.
+STRETCH = 15
 BITS = 26
 BROADCAST_BYTES = 32 << 20
 _U = np.uint64
@@ -54,8 +58,12 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = _words(part)
             ids = part["doc_id"].to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(len(part)), np.diff(w.first))
-            for mask in MASKS:
+            length = np.diff(w.first)
+            for mask in MASKS + SHORT_MASKS:
                 h, at = seeds(w.hash, w.first, mask)
+                if mask in SHORT_MASKS:
+                    short = (length[text[at]] >= LEAST_ITEM) & (length[text[at]] < SHORT)
+                    h, at = h[short], at[short]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text[at]].astype(np.int64)), pa.array((at - w.first[text[at]]).astype(np.int32))], names=["seed", "item_id", "item_at"])
 
 
@@ -74,7 +82,7 @@ def _doc_seeds(bitmap):
                 w = _words(part)
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)
                 text = np.repeat(np.arange(len(part)), np.diff(w.first))
-                for mask in MASKS:
+                for mask in MASKS + SHORT_MASKS:
                     h, at = seeds(w.hash, w.first, mask)
                     place = h >> _U(64 - BITS)
                     hit = (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) == 1
@@ -93,6 +101,33 @@ def best_run(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def leak(same: np.ndarray, length: int) -> tuple[int, int, int] | None:
+    """(start, end, agreeing words) of the run that makes an item of ``length`` words a leak, if there is one. same: by word along the offset.
+
+    That is the best run if it has enough agreeing words; else of those runs in
+    which every stretch of 15 words (the whole of a shorter item) has enough, the
+    one with the most, from its first to its last agreeing word. What text or
+    item don't have of a stretch doesn't agree.
+    """
+    need, width = min(LEAST_WORDS, int(np.ceil(LEAST_SHARE * length))), min(STRETCH, length)
+    if same.sum() < need:
+        return None
+    best = best_run(same)
+    if best[2] >= need:
+        return best
+    total = np.concatenate([np.zeros(width, int), np.cumsum(same), np.full(width - 1, same.sum())])
+    # stretch i has the words from i - width + 1 to i
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (total[width:] - total[:-width] >= need).astype(np.int8), [0]])))
+    every = []
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        at = np.flatnonzero(same[max(0, a - width + 1) : b]) + max(0, a - width + 1)
+        every.append((len(at), -int(at[0]), int(at[-1]) + 1))
+    if not every:
+        return None
+    n, start, end = max(every)
+    return -start, end, n
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "matches", "substitutions", "doc_word", "item_word", "item_words"]
     for batch in batches:
@@ -105,8 +140,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     shift = hit["shift"].as_py()
                     a, b = max(0, -shift), min(len(item), len(own) - shift)
                     if b > a:
-                        start, end, n = best_run(own[a + shift : b + shift] == item[a:b])
-                        if n >= min(LEAST_WORDS, int(np.ceil(LEAST_SHARE * len(item)))):
+                        if run := leak(own[a + shift : b + shift] == item[a:b], len(item)):
+                            start, end, n = run
                             rows.append((doc_id, hit["item_id"].as_py(), n, end - start - n, a + shift + start, a + start, len(item)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
 
@@ -118,7 +153,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     row per document and item: doc_id, item_id, matches and substitutions (words
     of the best run along the best offset), doc_word and item_word (where it
     starts), item_words (the item's length). A run counts that has 12 agreeing
-    words, or 0.8 of a shorter item's words.
+    words, or 0.8 of a shorter item's words. Every item is found of which a text
+    has 12 words of a stretch of 15, or 0.8 of all if it is shorter, in place.
 
     Items of fewer than six words can't be told from chance and match nothing,
     as do null and empty texts. Rows that share a doc_id or item_id give one row

@@ -146,6 +146,36 @@ def test_masks_cover_three_substitutions():
     assert all(any(not f & sum(1 << x for x in bad) for f in fits) for bad in itertools.combinations(range(15), 3))
 
 
+@pytest.mark.parametrize("length", range(6, 21))
+def test_leaks_at_all_places_of_substitutions(length):
+    import itertools
+
+    n = length - min(12, math.ceil(0.8 * length)) if length < 15 else 3
+    masks = decontaminate.MASKS + (decontaminate.SHORT_MASKS if length < decontaminate.SHORT else ())
+    fits = [sum(1 << (i + j) for j, c in enumerate(m) if c == "1") for m in masks for i in range(length - len(m) + 1)]
+    for k in range(n + 1):
+        for bad in itertools.combinations(range(length), k):
+            assert any(not f & sum(1 << x for x in bad) for f in fits)
+            same = np.array([i not in bad for i in range(length)])
+            start, end, found = decontaminate.leak(same, length)
+            assert found == same[start:end].sum() >= min(12, math.ceil(0.8 * length)) and same[start] and same[end - 1]
+    for bad in itertools.combinations(range(length), n + 1) if length <= 15 else ():
+        assert decontaminate.leak(np.array([i not in bad for i in range(length)]), length) is None
+
+
+def test_leaks_of_short_items(spark):
+    items, rows, want = [], [], set()
+    for length, bad in ((6, (2,)), (7, (3,)), (9, (4,)), (10, (3, 6)), (11, (2, 8)), (12, (1, 10)), (15, (1, 3, 5)), (15, (1, 7, 13)), (17, (2, 4, 14)), (20, (1, 3, 16))):
+        item = [f"w{len(items)}x{j}" for j in range(length)]
+        items.append((len(items), " ".join(item)))
+        rows.append((len(rows), prose(60, 9) + " " + " ".join("CHANGED" if j in bad else x for j, x in enumerate(item)) + " " + prose(61, 9)))
+        want.add((len(items) - 1, len(items) - 1))
+    items.append((len(items), "only five words are here"))
+    rows.append((len(rows), "only five words are here"))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 # -- 4
 
 
