@@ -327,6 +327,42 @@ def test_repeats(spark):
     assert got[7]["removed_words"] == 90
 
 
+def brute_repeats(rows: list[tuple[int, str]]) -> dict[int, list[bool]]:
+    """Words in 50 that an earlier place has."""
+    known, marked = set(), {}
+    for i, t in sorted(rows):
+        w = t.translate(ASCII_LOWER).split()
+        marked[i] = [False] * len(w)
+        for a in range(len(w) - 49):
+            run = tuple(w[a : a + 50])
+            if run in known:
+                marked[i][a : a + 50] = [True] * 50
+            known.add(run)
+    return marked
+
+
+def test_repeats_are_whole(spark):
+    rng = random.Random(7)
+    line, form, c = prose(300, 10), prose(301, 18), [prose(310 + i, 50) for i in range(4)]
+    some = lambda n: " ".join(f"r{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(i, f"{some(30)} {line} {some(30)}") for i in range(20)]
+    for n in range(0, 41, 4):  # passages of 50 and more words around one line, after texts that have the line only
+        passage = f"{some(n)} {line} {some(rng.choice((40, 44)) - n)}"
+        rows += [(100 + 3 * n, f"{some(20)} {passage} {some(20)}"), (101 + 3 * n, f"{some(11)} {passage} {some(33)}"), (102 + 3 * n, passage)]
+    # the line again within 41 words; forms; texts that repeat themselves
+    rows += [(300, f"{some(20)} {form} {line} {some(22)} {some(40)}")]
+    a = f"{some(21)} {line} {some(19)}"
+    rows += [(301, f"{some(50)} {a} {some(50)}"), (302, f"{some(43)} {line} {some(3)} {' '.join(a.split()[6:])} {a} {line} {a}"), (303, f"{some(22)} {line} {some(5)} {line} {a}")]
+    rows += [(310 + i, f"{some(i)} " + f"{prose(330, 3 + 5 * i)} " * 30 + some(i)) for i in range(9)] + [(320, "a " * 500), (321, "a " * 49), (322, "b " + "a " * 60)]
+    for i in range(60):
+        rows.append((400 + i, " ".join(rng.choice((line, form, some(7), *c, " ".join(c[rng.randrange(4)].split()[rng.randrange(9) : 41 + rng.randrange(9)]))) for _ in range(9))))
+    want, source = brute_repeats(rows), dict(rows)
+    for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        i = r["doc_id"]
+        assert (i, r["removed_words"]) == (i, sum(want[i]))
+        assert r["text"].split() == [x for x, gone in zip(source[i].split(), want[i], strict=True) if not gone]
+
+
 def test_repeats_leave_one_copy(spark, docs, texts):
     got = {r["doc_id"]: r for r in linededup.remove_repeats(docs).collect()}
     grams = lambda t: {tuple(w[j : j + 50]) for w in [WORD.findall(t.translate(ASCII_LOWER))] for j in range(len(w) - 49)}
