@@ -183,9 +183,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield table(rows)
 
 
+def different(pages: DataFrame, folder: str) -> DataFrame:
+    """(host, html): each host's different pages, once. Of pages only those that are repeated are shuffled, one for each task at most."""
+    rows = pages.select("host", "html", F.xxhash64("html").alias("same"))
+    copies = written(rows.groupBy("host", "same").agg(F.count("*").alias("copies")).where("copies > 1").select("host", "same"), folder, "copies")
+    met = F.broadcast(copies) if copies.count() <= BROADCAST_HOSTS else copies
+    once = rows.join(met, ["host", "same"], "left_anti").select("host", "html")
+    return once.unionByName(rows.join(met, ["host", "same"], "left_semi").groupBy("host", "same").agg(F.first("html").alias("html")).select("host", "html"))
+
+
 def templates(pages: DataFrame, folder: str) -> DataFrame:
-    """(host, drop, main): the text tokens of each host's template, and the path of its main slot. pages: (page_id, host, html)."""
-    hashed = pages.select("host", "html").mapInArrow(_tokens, "host string, page long, token long, n long, is_text boolean, chars long, path string")
+    """(host, drop, main): the text tokens of each host's template, and the path of its main slot. Copies of a page count as one. pages: (page_id, host, html)."""
+    hashed = different(pages, folder).mapInArrow(_tokens, "host string, page long, token long, n long, is_text boolean, chars long, path string")
     vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
     seen = written(hashed.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), vector, F.sum("chars").alias("chars"), F.first("path").alias("path"), F.max("n").alias("most")), folder, "tokens")
     size = seen.where("token = 0 AND NOT is_text").select("host", F.col("pages").alias("of"), F.col("chars").alias("whole")).where(f"of >= {LEAST_PAGES}")
@@ -230,8 +239,8 @@ def extract(pages: DataFrame) -> DataFrame:
     leaves no trace.
 
     A null or empty html, or one without an article, gives an empty text. Pages
-    without a host (a null url too) and hosts of fewer than five pages have no
-    template; what their elements and names say still holds. Repeated rows and
+    without a host (a null url too) and hosts of fewer than five different pages have
+    no template; what their elements and names say still holds. Repeated rows and
     null ids are kept row by row; other columns are ignored; an empty table
     gives no row. Unclosed elements end with what holds them.
     """

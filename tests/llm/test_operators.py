@@ -313,6 +313,16 @@ def test_template_goes(spark):
     assert extract.extract(empty(df)).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    page = lambda i: f"<body><div class=x1><p>Same on every page</p></div><div class=x2><p>{prose(i, 60)}</p><p>{prose(i + 1000, 60)}</p></div></body>"
+    article = lambda i: f"{prose(i, 60)} {prose(i + 1000, 60)}"
+    rows = [(i, "http://one.org/a", page(1)) for i in range(5)]  # five captures of one page
+    rows += [(100 + i, "http://most.org/a", page(2 if i < 90 else i)) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Same on every page {article(1)}" for i in range(5))
+    assert all(got[100 + i] == article(2 if i < 90 else i) for i in range(100))
+
+
 # -- 7
 
 
