@@ -10,7 +10,8 @@ Pairs that meet are held against the distance over all slots and then against
 the full sets. To keep hot keys cheap, only pairs that can still join two
 components are looked at: first each key's members against one centre, a few
 times with other centres, then all that is left of a key across components. Of
-small keys these are plain pairs; the members of large ones are dealt into
+small keys these are plain pairs. Of large ones, members go that share none of
+their rarest shingles with another (prefix filter); the others are dealt into
 blocks, and a task holds two blocks against each other and returns links only.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dpspark.llm.common import shared_dir, text_rows, written
@@ -167,11 +168,38 @@ def _block_links(similarity: int):
     return run
 
 
+def _star_edges(left: DataFrame, folder: str) -> DataFrame:
+    """Edges (a, b) over which nodes that share a key reach each other: one for each node, to the smallest of its keys' first nodes, and from there to the others."""
+    first = left.groupBy("key").agg(F.min("node").alias("first"))
+    met = written(left.join(first, "key").select("node", "first").distinct(), folder, "met")
+    least = met.groupBy("node").agg(F.min("first").alias("a"))
+    between = met.join(least, "node").select("a", F.col("first").alias("b"))
+    return between.union(least.select("a", F.col("node").alias("b"))).where("a <> b").distinct()
+
+
+def _with_rare_shingle(dealt: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Of the nodes (group, node, n), those that can be similar to another one of their group.
+
+    Of similar sets at least one shingle is among both sets' n - least + 1
+    rarest ones, where least is the overlap that n needs. So a node goes whose
+    rarest shingles no other node has among its own.
+    """
+    every = sets.join(dealt.select("group", "node", "n"), "node").select("group", "node", (F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).alias("prefix"), F.explode("shingles").alias("shingle"))
+    often = every.groupBy("group", "shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = every.join(often, ["group", "shingle"])
+    # shingles that only one node has are its rarest
+    alone = every.groupBy("group", "node").agg(F.count("*").alias("n")).join(shared.groupBy("group", "node").agg(F.count("*").alias("met")), ["group", "node"]).select("group", "node", (F.col("n") - F.col("met")).alias("alone"))
+    rank = F.row_number().over(Window.partitionBy("group", "node").orderBy("often", "shingle"))
+    rarest = shared.withColumn("rank", rank).join(alone, ["group", "node"]).where("rank + alone <= prefix").select("group", "node", "shingle")
+    again = rarest.groupBy("group", "shingle").agg(F.count("*").alias("often")).where("often > 1").select("group", "shingle")
+    return rarest.join(again, ["group", "shingle"], "left_semi").select("group", "node").distinct()
+
+
 def _in_blocks(left: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, folder: str) -> DataFrame:
     """Links across components among nodes that share a large key. left: (key, node, label)."""
-    first = left.groupBy("key").agg(F.min("node").alias("first"))
-    edges = left.join(first, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    group = components(edges, f"{folder}/groups").select("node", F.col("label").alias("group"))
+    group = components(_star_edges(left, folder), f"{folder}/groups").select("node", F.col("label").alias("group"))
+    group = written(group.join(nodes.select("node", "n"), "node"), folder, "group")
+    group = written(_with_rare_shingle(group, sets, similarity), folder, "rare")
     size = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = group.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(left.select("node", "label").distinct(), "node").join(nodes, "node").join(sets, "node")
@@ -194,8 +222,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     while True:
         step += 1
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        # a label's own label is a shortcut
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        # a label's own label is a shortcut; one label may be that of very many nodes
+        far = labels.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("far"))
+        far = written(far, folder, f"far{step}")
+        far = F.broadcast(far) if far.count() <= BROADCAST_IDS else far
         new = labels.join(near, "node").join(far, "label").select("node", F.least("label", "near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved"))
         new = written(new, folder, f"labels{step}")
         labels = new.select("node", "label")
