@@ -1,11 +1,14 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is cut into pieces of up to four characters, never across white space.
-The rolling polynomial of four pieces is a gram's hash; of every eight grams the
-smallest is chosen, the rightmost of equal ones, and its place is kept. Any 11
-pieces that two texts share give them a common fingerprint; of short texts all
-grams are kept. A hash and its
+The grams of a text are all its runs of 16 characters. Their hashes are rolling
+polynomials: each follows from the one before by the character that goes and
+the one that comes. Of every 32 successive grams the one with the smallest hash
+is chosen, the rightmost of equal ones, and its place is kept. So any 47
+characters that two texts share give them a common fingerprint. A hash and its
 place are one long integer, whose order is that of the choice.
+
+Which grams are chosen depends on the 32 grams around them only. So the
+fingerprint of an edited text is that of its parts, but for the seams.
 """
 
 from __future__ import annotations
@@ -17,45 +20,74 @@ from dpspark.llm.common import text_rows
 from dpspark.llm.native import let
 from dpspark.llm.neardup import BROADCAST_IDS
 
-PIECE, GRAM, WINDOW = r"[^\s]{1,4}", 4, 8
-#: So few grams are all chosen.
-SHORT = 32
+#: Characters of a gram and grams of a window (a power of two); together they span REACH characters.
+GRAM, WINDOW = 16, 32
+REACH = GRAM + WINDOW - 1
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 _PLACE = 1 << 32
-#: Rows that are sorted together to find each document's next one.
-BUCKET = 4000
+#: Grams that are rolled on from one that is hashed anew.
+ROLLED = 128
+#: Rows that are sorted together to find each document's next one, and how many times as many make a crowd.
+BUCKET, CROWDED = 4000, 4
+_NONE = "array<long>"
+
 
+def _rolled(codes: Column, start: Column) -> Column:
+    """Hashes of ROLLED grams from ``start`` on, or as many as there are."""
+    first = F.aggregate(F.slice(codes, start + 1, GRAM), F.lit(0).cast("long"), lambda h, c: (h * BASE + c) % PRIME)
+    lead = pow(BASE, GRAM - 1, PRIME)
 
-def _keyed(hashes: Column, places: Column, body) -> Column:
-    """``body`` of each place i, with a hash and its place in one integer: smaller hash first, then the later place."""
-    return F.transform(places, lambda i: body(hashes, i) * _PLACE + (_PLACE - 1 - i))
+    def step(h: Column, came: Column) -> Column:
+        went = F.get(codes, start + F.size(h) - 1)
+        return F.concat(h, F.array(((F.element_at(h, -1) + (PRIME - went) * lead % PRIME) % PRIME * BASE + came) % PRIME))
+
+    return F.aggregate(F.slice(codes, start + GRAM + 1, ROLLED - 1), F.array(first), step)
 
 
 def winnowed(text: Column) -> Column:
-    """The chosen grams of a text, as array of long: hash * 2**32 + 2**32 - 1 - place."""
+    """The chosen grams of a text by place, as array of long: hash * 2**32 + 2**32 - 1 - place. A text shorter than a gram is one."""
+
+    def grams(codes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(codes) - GRAM, F.lit(0)) / ROLLED).cast("int"))
+        return F.transform(F.flatten(F.transform(starts, lambda b: _rolled(codes, b * ROLLED))), lambda h, i: h * _PLACE + (_PLACE - 1 - i))
 
-    def grams(h: Column) -> Column:
-        def rolled(h: Column, i: Column) -> Column:
-            total = F.get(h, i)
-            for j in range(1, GRAM):
-                total = (total * BASE + F.get(h, i + j)) % PRIME
-            return total
+    def halves(least: Column, step: int) -> Column:
+        """Minima of windows twice as long; ``least`` are those of ``step`` grams."""
+        if step == WINDOW:
+            return F.array_distinct(least)
+        return let(F.transform(F.slice(least, F.lit(1), F.size(least) - step), lambda x, i: F.least(x, F.get(least, i + step))), lambda m: halves(m, 2 * step))
 
-        many = _keyed(h, F.sequence(F.lit(0), F.size(h) - GRAM), rolled)
-        one = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda t, x: (t * BASE + x) % PRIME) * _PLACE + (_PLACE - 1))
-        return F.when(F.size(h) >= GRAM, many).when(F.size(h) > 0, one).otherwise(F.array().cast("array<long>"))
+    chosen = lambda k: F.when(F.size(k) > WINDOW, halves(k, 1)).otherwise(F.array(F.array_min(k)))
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    return F.when(F.length(text) > 0, let(codes, lambda c: let(grams(c), chosen))).otherwise(F.array().cast(_NONE))
 
-    def least(k: Column) -> Column:
-        full = F.transform(F.sequence(F.lit(0), F.size(k) - WINDOW), lambda i: F.least(*(F.get(k, i + j) for j in range(WINDOW))))
-        return F.when(F.size(k) > SHORT, F.array_distinct(full)).otherwise(k)
 
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.pmod(F.xxhash64(p), F.lit(PRIME)))
-    return let(let(hashes, grams), least)
+def place(key: Column) -> Column:
+    return F.lit(_PLACE - 1) - key.bitwiseAND(F.lit(_PLACE - 1))
+
+
+def _edited(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_next`` with ``edited`` (text) and ``other``, its chosen grams: those of own and next_own, and anew those at the seam and at the end."""
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    rows = rows.select("*", n.alias("n"), (n - cut).alias("left"), F.least(cut, F.length("next_text")).alias("taken"))
+    left, taken, edited = F.col("left"), F.col("taken"), F.col("edited")
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), left), F.substring(F.col("next_text"), F.lit(1), taken)))
+    moved = lambda keys, by: F.transform(keys, lambda k: k - by)
+    seam = moved(winnowed(F.substring(edited, left - 2 * REACH + 1, F.lit(4 * REACH))), left - 2 * REACH)
+    end = moved(winnowed(F.substring(edited, left + taken - 2 * REACH + 1, F.lit(2 * REACH))), left + taken - 2 * REACH)
+    parts = F.concat(
+        F.filter("own", lambda k: place(k) <= left - REACH),
+        F.filter(seam, lambda k: (place(k) > left - REACH) & (place(k) < left + WINDOW - 1)),
+        moved(F.filter("next_own", lambda k: (place(k) >= WINDOW - 1) & (place(k) <= taken - REACH)), left),
+        F.filter(end, lambda k: place(k) > left + taken - REACH),
+    )
+    return rows.withColumn("other", F.when((left >= 3 * REACH) & (taken >= 3 * REACH), parts).otherwise(winnowed(edited)))
 
 
 def shown(chosen: Column) -> Column:
     """hash:place of each chosen gram, in base 16 and 10."""
-    return F.array_join(F.transform(chosen, lambda k: F.concat_ws(":", F.lower(F.hex(F.shiftright(k, 32))), (_PLACE - 1 - k.bitwiseAND(F.lit(_PLACE - 1))).cast("string"))), " ")
+    return F.array_join(F.transform(chosen, lambda k: F.concat_ws(":", F.lower(F.hex(F.shiftright(k, 32))), place(k).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,28 +98,46 @@ def likeness(a: Column, b: Column) -> Column:
     return let(both, lambda s: F.when(total(s) == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(s.a, s.b)) / total(s)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``next_text``: by descending doc_id, after the last one the first.
+def bucketed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``bucket``: ranges of doc_id of about BUCKET rows, by their lower ends; of null ids -1 below all others.
 
-    Rows are dealt to buckets of equal ranges of ids; each bucket gets a copy of
-    the first row of the bucket after it. Null ids come last.
+    Equal ranges come first; one in which ids crowd is cut into equal ranges
+    between its own least and greatest id, until none of several ids is crowded.
     """
     known = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, buckets = known["lo"] or 0, max(1, -(-known["n"] // BUCKET))
-    width = ((known["hi"] or 0) - lo) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    heads = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
-    order = Window.orderBy(F.desc("bucket"))
-    # a row for 4000 documents: each bucket is given the head of the next lower one, the last one that of the highest
+    width = ((known["hi"] or 0) - (known["lo"] or 0)) // max(1, -(-known["n"] // BUCKET)) + 1
+    rows = docs.withColumn("bucket", F.col("doc_id") - F.pmod(F.col("doc_id"), F.lit(width).cast("long")))
+    while True:
+        size = rows.where("doc_id IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        crowds = size.where(f"n > {CROWDED * BUCKET} AND lo < hi").select("bucket", F.floor((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / BUCKET) + 1).cast("long").alias("width"))
+        many = crowds.count()
+        if not many:
+            return rows
+        crowds = F.broadcast(crowds) if many <= BROADCAST_IDS else crowds
+        # the ranges of a crowd begin where its own does, so they overlap with no other
+        rows = rows.join(crowds, "bucket", "left").withColumn("bucket", F.when(F.col("width").isNull(), F.col("bucket")).otherwise(F.greatest("bucket", F.col("doc_id") - F.pmod(F.col("doc_id"), F.col("width"))))).drop("width")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``own``, ``next_text``, ``next_own``: by descending doc_id, after the last one the first; own: the chosen grams.
+
+    Rows are dealt to buckets of ids; each gets a copy of the first row of the
+    bucket after it. Null ids come last.
+    """
+    rows = bucketed(docs)
+    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
+    order = Window.orderBy(F.desc_nulls_last("bucket"))
+    # a row for about 4000 documents: each bucket is given the head of the next lower one, the last one that of the highest
     first = F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("bucket", F.when(F.row_number().over(order) < F.count("*").over(Window.partitionBy(F.lit(0))), F.lead("doc_id").over(order)).otherwise(first).alias("doc_id"))
     wanted = heads.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if buckets <= BROADCAST_IDS else wanted
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     copies = heads.join(texts, heads.doc_id.eqNullSafe(texts.doc_id)).select("bucket", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("copy"))
-    rows = docs.select(bucket.alias("bucket"), "doc_id", "text", F.lit(False).alias("copy")).unionByName(copies)
+    both = rows.select("bucket", "doc_id", "text", F.lit(False).alias("copy")).unionByName(copies).withColumn("own", winnowed(F.col("text")))
     inside = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
-    return rows.withColumn("next_text", F.lead("text").over(inside)).where(~F.col("copy")).drop("copy", "bucket")
+    found = both.select("*", F.lead("text").over(inside).alias("next_text"), F.lead("own").over(inside).alias("next_own"))
+    return found.where(~F.col("copy")).drop("copy", "bucket")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -99,14 +149,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     the last comes the first. One row per row: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null, empty and blank texts have an empty fingerprint; two of these are
-    alike (1), one of them and another text are not (0). Fewer than four pieces
-    are one gram. Equal texts have equal fingerprints. A lone document is its
-    own next one. Other columns are ignored; an empty table gives no row.
+    Null and empty texts have an empty fingerprint; two of these are alike (1),
+    one of them and another text are not (0). Fewer characters than a gram are
+    one gram, fewer grams than a window have one minimum. Equal texts have equal
+    fingerprints. A lone document is its own next one. Other columns are
+    ignored; an empty table gives no row.
     """
-    n = F.length("text")
-    cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = with_next(text_rows(docs)).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowed(F.col("text")).alias("own"), winnowed(F.col("edited")).alias("other"), winnowed(F.col("next_text")).alias("next"))
+    rows = _edited(with_next(text_rows(docs))).select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other", F.col("next_own").alias("next"))
     return rows.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
