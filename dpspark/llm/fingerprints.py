@@ -1,11 +1,12 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-The grams of a text are all its runs of 16 characters. Their hashes are rolling
-polynomials: each follows from the one before by the character that goes and
-the one that comes. Of every 32 successive grams the one with the smallest hash
-is chosen, the rightmost of equal ones, and its place is kept. So any 47
-characters that two texts share give them a common fingerprint. A hash and its
-place are one long integer, whose order is that of the choice.
+The grams of a text are all its runs of 16 characters. Their hashes are those of
+a rolling polynomial, which is carried along for all places at once: that of
+four times as many characters follows from four of its values. Of every 32
+successive grams the one with the smallest hash is chosen, the rightmost of
+equal ones, and its place is kept. So any 47 characters that two texts share
+give them a common fingerprint. A hash and its place are one long integer, whose
+order is that of the choice.
 
 Which grams are chosen depends on the 32 grams around them only. So the
 fingerprint of an edited text is that of its parts, but for the seams.
@@ -20,44 +21,44 @@ from dpspark.llm.common import text_rows
 from dpspark.llm.native import let
 from dpspark.llm.neardup import BROADCAST_IDS
 
-#: Characters of a gram and grams of a window (a power of two); together they span REACH characters.
+#: Characters of a gram (a power of four) and grams of a window (a power of two); together they span REACH characters.
 GRAM, WINDOW = 16, 32
 REACH = GRAM + WINDOW - 1
-PRIME, BASE = (1 << 31) - 1, 1_000_003
+#: The largest prime below 2**30: four products of two remainders are less than 2**63.
+PRIME, BASE = (1 << 30) - 35, 1_000_003
 _PLACE = 1 << 32
-#: Grams that are rolled on from one that is hashed anew.
-ROLLED = 128
 #: Rows that are sorted together to find each document's next one, and how many times as many make a crowd.
 BUCKET, CROWDED = 4000, 4
 _NONE = "array<long>"
 
 
-def _rolled(codes: Column, start: Column) -> Column:
-    """Hashes of ROLLED grams from ``start`` on, or as many as there are."""
-    first = F.aggregate(F.slice(codes, start + 1, GRAM), F.lit(0).cast("long"), lambda h, c: (h * BASE + c) % PRIME)
-    lead = pow(BASE, GRAM - 1, PRIME)
-
-    def step(h: Column, came: Column) -> Column:
-        went = F.get(codes, start + F.size(h) - 1)
-        return F.concat(h, F.array(((F.element_at(h, -1) + (PRIME - went) * lead % PRIME) % PRIME * BASE + came) % PRIME))
+def winnowed(text: Column) -> Column:
+    """The chosen grams of a text by place, as array of long: hash * 2**32 + 2**32 - 1 - place. A text shorter than a gram is one."""
 
-    return F.aggregate(F.slice(codes, start + GRAM + 1, ROLLED - 1), F.array(first), step)
+    def rolled(h: Column, n: int) -> Column:
+        """Of hashes of all runs of n characters those of 4 n; of GRAM with their places."""
+        many, last = 4 * n < GRAM, n * 4 == GRAM
 
+        def joined(x: Column, i: Column) -> Column:
+            parts = (F.get(h, i + j * n) * pow(BASE, (3 - j) * n, PRIME) for j in range(1, 4))
+            whole = sum(parts, x * pow(BASE, 3 * n, PRIME)) % PRIME
+            return whole * _PLACE + (_PLACE - 1 - i) if last else whole
 
-def winnowed(text: Column) -> Column:
-    """The chosen grams of a text by place, as array of long: hash * 2**32 + 2**32 - 1 - place. A text shorter than a gram is one."""
+        out = F.transform(F.slice(h, F.lit(1), F.size(h) - 3 * n), joined)
+        return let(out, lambda k: rolled(k, 4 * n)) if many else out
 
     def grams(codes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(codes) - GRAM, F.lit(0)) / ROLLED).cast("int"))
-        return F.transform(F.flatten(F.transform(starts, lambda b: _rolled(codes, b * ROLLED))), lambda h, i: h * _PLACE + (_PLACE - 1 - i))
+        one = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * BASE + c) % PRIME)
+        return F.when(F.size(codes) >= GRAM, rolled(codes, 1)).otherwise(F.array(one * _PLACE + (_PLACE - 1)))
 
-    def halves(least: Column, step: int) -> Column:
-        """Minima of windows twice as long; ``least`` are those of ``step`` grams."""
-        if step == WINDOW:
+    def wider(least: Column, n: int) -> Column:
+        """Minima of windows of two or four times ``n`` grams, from those of ``n``, up to WINDOW."""
+        if n == WINDOW:
             return F.array_distinct(least)
-        return let(F.transform(F.slice(least, F.lit(1), F.size(least) - step), lambda x, i: F.least(x, F.get(least, i + step))), lambda m: halves(m, 2 * step))
+        times = 4 if 4 * n <= WINDOW else 2
+        return let(F.transform(F.slice(least, F.lit(1), F.size(least) - (times - 1) * n), lambda x, i: F.least(x, *(F.get(least, i + j * n) for j in range(1, times)))), lambda m: wider(m, times * n))
 
-    chosen = lambda k: F.when(F.size(k) > WINDOW, halves(k, 1)).otherwise(F.array(F.array_min(k)))
+    chosen = lambda k: F.when(F.size(k) > WINDOW, wider(k, 1)).otherwise(F.array(F.array_min(k)))
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     return F.when(F.length(text) > 0, let(codes, lambda c: let(grams(c), chosen))).otherwise(F.array().cast(_NONE))
 
@@ -74,20 +75,23 @@ def _edited(rows: DataFrame) -> DataFrame:
     left, taken, edited = F.col("left"), F.col("taken"), F.col("edited")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), left), F.substring(F.col("next_text"), F.lit(1), taken)))
     moved = lambda keys, by: F.transform(keys, lambda k: k - by)
-    seam = moved(winnowed(F.substring(edited, left - 2 * REACH + 1, F.lit(4 * REACH))), left - 2 * REACH)
+    # what follows the seam is short, or goes on with what the next text has chosen
+    short = taken < 3 * REACH
+    seam = moved(winnowed(F.substring(edited, left - 2 * REACH + 1, F.when(short, 5 * REACH).otherwise(4 * REACH))), left - 2 * REACH)
     end = moved(winnowed(F.substring(edited, left + taken - 2 * REACH + 1, F.lit(2 * REACH))), left + taken - 2 * REACH)
+    before, after = F.filter("own", lambda k: place(k) <= left - REACH), F.filter(seam, lambda k: place(k) > left - REACH)
     parts = F.concat(
-        F.filter("own", lambda k: place(k) <= left - REACH),
+        before,
         F.filter(seam, lambda k: (place(k) > left - REACH) & (place(k) < left + WINDOW - 1)),
         moved(F.filter("next_own", lambda k: (place(k) >= WINDOW - 1) & (place(k) <= taken - REACH)), left),
         F.filter(end, lambda k: place(k) > left + taken - REACH),
     )
-    return rows.withColumn("other", F.when((left >= 3 * REACH) & (taken >= 3 * REACH), parts).otherwise(winnowed(edited)))
+    return rows.withColumn("other", F.when(left < 3 * REACH, winnowed(edited)).when(short, F.concat(before, after)).otherwise(parts))
 
 
 def shown(chosen: Column) -> Column:
-    """hash:place of each chosen gram, in base 16 and 10."""
-    return F.array_join(F.transform(chosen, lambda k: F.concat_ws(":", F.lower(F.hex(F.shiftright(k, 32))), place(k).cast("string"))), " ")
+    """Each chosen gram's hash and, in the last eight digits, its place, in base 16."""
+    return F.array_join(F.transform(chosen, lambda k: F.hex(k.bitwiseXOR(F.lit(_PLACE - 1)))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -233,7 +233,7 @@ def test_segments_are_the_maximal_ones():
 
 
 def brute_fingerprint(text: str) -> str:
-    """hash:place of the least gram of every window, the rightmost of equal ones."""
+    """Hash and place, in base 16, of the least gram of every window, the rightmost of equal ones."""
     codes = [ord(c) for c in text]
     grams = []
     for i in range(max(1, len(codes) - fingerprints.GRAM + 1)):
@@ -242,11 +242,11 @@ def brute_fingerprint(text: str) -> str:
             h = (h * fingerprints.BASE + c) % fingerprints.PRIME
         grams.append(h)
     windows = [range(i, min(len(grams), i + fingerprints.WINDOW)) for i in range(max(1, len(grams) - fingerprints.WINDOW + 1))]
-    return " ".join(f"{grams[j]:x}:{j}" for j in sorted({min(w, key=lambda j: (grams[j], -j)) for w in windows})) if codes else ""
+    return " ".join(f"{(grams[j] << 32) + j:X}" for j in sorted({min(w, key=lambda j: (grams[j], -j)) for w in windows})) if codes else ""
 
 
 def brute_likeness(a: str, b: str) -> float:
-    x, y = ({g.split(":")[0] for g in f.split()} for f in (a, b))
+    x, y = ({g[:-8] for g in f.split()} for f in (a, b))
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
 
 
@@ -286,7 +286,7 @@ def test_shared_runs_have_a_common_fingerprint(spark):
 
 def test_fingerprint_ties_go_right(spark):
     (r,) = spark.createDataFrame([("a" * 400,)], "text string").select(fingerprints.shown(fingerprints.winnowed(F.col("text"))).alias("f")).collect()
-    assert [int(x.split(":")[1]) for x in r["f"].split()] == list(range(31, 385))
+    assert [int(x[-8:], 16) for x in r["f"].split()] == list(range(31, 385))
 
 
 def test_crowded_ids(spark, monkeypatch):
