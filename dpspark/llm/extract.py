@@ -40,6 +40,8 @@ _BLOCK = frozenset("address article aside blockquote body br caption center dd d
 _DROPPED = frozenset("aside button dialog footer form head menu nav search".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disclaimer disqus footer form gdpr login menu modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: What such a name is joined with where it names the same thing: inside an article all parts have to be of either kind.
+_SHAPES = frozenset("area bar block body bottom box btn button buttons card container content count field group head header icon inline inner item items left link links list listing main mobile nested node outer panel post posts region right row section slot text thread title top unit wrap wrapper zone".split())
 _LAYOUT = frozenset("has with no without".split())
 _CLOSED_BY = {"p": _BLOCK - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "head": {"body"}}
 
@@ -48,9 +50,9 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _named(attributes: str) -> tuple[set[str], str, bool]:
-    """(parts of class and id, role, hidden)."""
-    parts, role, hidden = set(), "", False
+def _named(attributes: str) -> tuple[set[str], bool, str, bool]:
+    """(parts of class and id, whether one of these names nothing but what is dropped, role, hidden)."""
+    parts, plain, role, hidden = set(), False, "", False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "role":
@@ -60,9 +62,10 @@ def _named(attributes: str) -> tuple[set[str], str, bool]:
                 bits = [x.lower() for x in _PART.findall(word)]
                 if not _LAYOUT.intersection(bits[:1]):
                     parts.update(bits)
+                    plain |= bool(_NAMES.intersection(bits)) and all(x in _NAMES or x in _SHAPES or x.isdigit() for x in bits)
         else:
             hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", "")
-    return parts, role, hidden
+    return parts, plain, role, hidden
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str]]:
@@ -109,8 +112,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
             continue
         if tag in _VOID:
             continue
-        parts, role, hidden = _named(m[4]) if m[4] else (set(), "", False)
-        bad = tag in _DROPPED or role in _ROLES or hidden or bool(parts & _NAMES)
+        parts, plain, role, hidden = _named(m[4]) if m[4] else (set(), False, "", False)
+        bad = tag in _DROPPED or role in _ROLES or hidden or (plain if stack[-1][3] else bool(parts & _NAMES))
         if tag in ("html", "body", "main"):
             bad = hidden
         if block:

@@ -1,9 +1,11 @@
 """Secrets in texts: known forms, and strings whose sliding-window entropy is high.
 
 DataFrame functions only. A candidate is a long run of key-like characters with
-letters and digits. A window of 20 characters slides along it; counts of each
-character and the sum of c * log2(c) are carried from window to window, so one
-step changes two counts. The threshold depends on the candidate's class.
+letters and digits; parts of it with a word that marks examples end it. A window
+of 20 characters slides along it; counts of each character and the sum of
+c * log2(c) are carried from window to window, so one step changes two counts.
+Windows with enough bits that overlap or touch make one span. The threshold
+depends on the candidate's class.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ HEX = "[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
 WINDOW, BLOCK = 20, 276
-CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: Parts between separators with a word that marks an example, unless they are so long that it is there by chance.
+EXAMPLE = "(?=[A-Za-z0-9]{1,64}(?![A-Za-z0-9]))[A-Za-z0-9]*(?i:example|sample|dummy|placeholder|changeme|xxxx)"
+CANDIDATE = f"(?=[A-Za-z0-9+/_=-]{{{WINDOW}}})(?:(?<![A-Za-z0-9])(?!{EXAMPLE})[A-Za-z0-9]++|[+/_=-]++)++"
 #: Characters that are counted, and bits that a window needs, by class.
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 CLASSES = (("hexadecimal", "[0-9a-fA-F]+", 3.0), ("single_case", "[0-9a-z+/_=-]+|[0-9A-Z+/_=-]+", 3.5), ("mixed", ".+", 3.7))
-#: What is no secret: words and numbers joined by hyphens or slashes, UUIDs, documentation keys, few distinct characters.
-ALLOWED = (r"([A-Za-z]+|[0-9]+)([-_/+=]([A-Za-z]*|[0-9]*))*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i:.*(example|sample|dummy|placeholder|changeme|xxxx).*)", r"(.{1,4})\1{2,}.{0,4}")
+#: What is no secret: words and numbers joined by hyphens or slashes, UUIDs, few distinct characters.
+ALLOWED = (r"([A-Za-z]+|[0-9]+)([-_/+=]([A-Za-z]*|[0-9]*))*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.{1,4})\1{2,}.{0,4}")
 
+_SPANS = "array<struct<first: long, last: long>>"
 _SPAN = "array<struct<start: long, rank: int, kind: string, end: long>>"
 
 
@@ -45,8 +50,16 @@ def _plogp(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def _peak(block: Column, bits: Column) -> Column:
-    """(first, last, peak) of the windows of a string with at least ``bits``; last is an end, 0 if there is none."""
+def _joined(spans: Column, first: Column, last: Column) -> Column:
+    """``spans`` (first, last) with one more, which is joined with the last one where they overlap or touch."""
+    span, end = (lambda a: F.struct(a.cast("long").alias("first"), last.cast("long").alias("last"))), F.get(spans, F.size(spans) - 1)
+    new = let(span(first), lambda s: F.array(s))
+    longer = F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(span(end["first"])))
+    return F.when((F.size(spans) > 0) & (end["last"] >= first), longer).otherwise(F.concat(spans, new))
+
+
+def _peaks(block: Column, bits: Column) -> Column:
+    """The spans (first, last), ends exclusive, of a string's windows with at least ``bits``."""
 
     def slid(chars: Column) -> Column:
         count = lambda n, k: F.get(n, k).cast("double")
@@ -58,10 +71,10 @@ def _peak(block: Column, bits: Column) -> Column:
             total = acc.s + out + _plogp(held + 1) - _plogp(held)
             n = F.transform(acc.n, lambda v, k: v + F.when(k == came, 1).otherwise(0) - F.when(k == went, 1).otherwise(0))
             entropy = F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - total / WINDOW).otherwise(F.lit(0.0))
-            return let(F.struct(n.alias("n"), total.alias("s"), entropy.alias("e")), lambda x: F.struct(x.n.alias("n"), x.s.alias("s"), F.when((x.e >= bits) & (acc.last == 0), i - WINDOW + 1).otherwise(acc.first).cast("int").alias("first"), F.when(x.e >= bits, i + 1).otherwise(acc.last).cast("int").alias("last"), F.greatest(acc.peak, x.e).alias("peak")))
+            return let(F.struct(n.alias("n"), total.alias("s"), entropy.alias("e")), lambda x: F.struct(x.n.alias("n"), x.s.alias("s"), F.when(x.e >= bits, _joined(acc.spans, i - WINDOW + 1, i + 1)).otherwise(acc.spans).alias("spans")))
 
-        zero = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("peak"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last"), a.peak.alias("peak")))
+        zero = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("n"), F.lit(0.0).alias("s"), F.array().cast(_SPANS).alias("spans"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda a: a.spans)
 
     codes = F.transform(F.filter(F.split(block, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
     return let(codes, slid)
@@ -71,7 +84,7 @@ def _entropy(text: Column) -> Column:
     """Spans of high entropy in candidates that are not allowed."""
 
     def kept(m: Column) -> Column:
-        good = m.text.rlike("[0-9]") & m.text.rlike("[A-Za-z]")
+        good = (F.length(m.text) >= WINDOW) & m.text.rlike("[0-9]") & m.text.rlike("[A-Za-z]")
         for pattern in ALLOWED:
             good = good & ~m.text.rlike(f"^(?:{pattern})$")
         return good
@@ -83,8 +96,9 @@ def _entropy(text: Column) -> Column:
         # long candidates in blocks that overlap by a window less one
         stride = BLOCK - WINDOW + 1
         blocks = F.regexp_extract_all(m.text, F.lit(f"(?=(.{{{WINDOW},{BLOCK}}})).{{1,{stride}}}"), F.lit(1))
-        peaks = F.transform(blocks, lambda b, i: let(_peak(b, bits), lambda p: F.struct((m.start + i * stride + p["first"]).alias("start"), (m.start + i * stride + p["last"]).alias("end"), p["last"].alias("last"))))
-        return F.transform(F.filter(peaks, lambda p: p["last"] > 0), lambda p: _span("entropy", 3, p.start, p.end))
+        peaks = F.flatten(F.transform(blocks, lambda b, i: F.transform(_peaks(b, bits), lambda p: F.struct((i * stride + p["first"]).alias("first"), (i * stride + p["last"]).alias("last")))))
+        joined = F.aggregate(peaks, F.array().cast(_SPANS), lambda acc, p: _joined(acc, p["first"], p["last"]))
+        return F.transform(joined, lambda p: _span("entropy", 3, m.start + p["first"], m.start + p["last"]))
 
     return F.flatten(F.transform(F.filter(found(text, CANDIDATE), kept), spans))
 
@@ -100,8 +114,8 @@ def scan(docs: DataFrame) -> DataFrame:
     (SHA-256 of the base spans), spans (all of them). A span is kind:start:end
     in code points, its end exclusive, sorted by start and then by kind (assign,
     access, hex, entropy) and joined by commas. The base kinds are matched from
-    left to right without overlaps; ``entropy`` spans are added, from the first
-    to the last window with enough bits in each block of a candidate.
+    left to right without overlaps; ``entropy`` spans are added: what windows
+    with enough bits cover.
 
     Null and empty texts have no span. Texts of any length are scanned whole;
     repeated rows and null ids are scanned row by row; other columns are
@@ -113,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
         _base(text, "assign", 0, ASSIGN, 2, ASSIGN_LEAST).cast(_SPAN).alias("assign"),
         _base(text, "access", 1, ACCESS).cast(_SPAN).alias("access"),
         _base(text, "hex", 2, HEX).cast(_SPAN).alias("hex"),
-        F.when(text.rlike(CANDIDATE), _entropy(text)).otherwise(F.array()).cast(_SPAN).alias("entropy"),
+        F.when(text.rlike(f"[A-Za-z0-9+/_=-]{{{WINDOW}}}"), _entropy(text)).otherwise(F.array()).cast(_SPAN).alias("entropy"),
     )
     base = _written(F.concat("assign", "access", "hex"))
     size = lambda c: F.size(c).cast("long").alias(f"n_{c}")

@@ -24,8 +24,8 @@ LEAST_BYTES, RECORDS = 1000, 4000
 END = "\r\n\r\n"
 #: Digests of 40 characters with an id: 100 MB at most.
 BROADCAST_DIGESTS = 1_000_000
-#: A page has no date of its own: its id counts seconds from here.
-EPOCH = 1_577_836_800
+#: A page has no date of its own: its id counts seconds from here, over and over again in a hundred years.
+EPOCH, CENTURY = 1_577_836_800, 3_155_760_000
 INDEX = "urlkey string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
 _ENTRY = pa.schema([(n, pa.int64() if n in ("page_id", "refers_to", "payload_bytes", "offset", "length", "rank", "history") else pa.string()) for n in [x.split()[0] for x in INDEX.split(", ")]])
 
@@ -49,7 +49,11 @@ def records(pages: DataFrame, folder: str) -> DataFrame:
     # few of them go to the payloads; beyond that bound the payloads are shuffled to them
     rows = rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_DIGESTS else kept, "digest", "left")
     revisit = (F.col("size") >= LEAST_BYTES) & (F.col("keeper") > F.col("page_id"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # in UTC, whatever the session's time zone is
+    second = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(CENTURY))
+    of_day = F.pmod(second, F.lit(86_400))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((second - of_day) / 86_400).cast("int"))
+    date = F.format_string("%sT%02d:%02d:%02dZ", day.cast("string"), F.floor(of_day / 3600), F.floor(of_day / 60) % 60, of_day % 60)
     clean = F.regexp_replace("url", r"[\x00-\x1f\x7f]", " ")
     head = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("html")))

@@ -520,7 +520,7 @@ def test_secrets(spark, docs, texts, odd):
                 e = windows(source[r["doc_id"]][a:b])
                 assert e[0] >= 2.99 and e[-1] >= 2.99
     found = {r["doc_id"]: r["spans"] for r in rows}
-    assert found[10**6 + 2] == "entropy:2:28"
+    assert found[10**6 + 2] == "entropy:2:28,entropy:52:79"
     assert [x for x in found[10**6 + 3].split(",") if "entropy" in x]
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(empty(odd)).count() == 0
 
