@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
@@ -105,8 +106,9 @@ def conditional_error(schema: PublicSchema, df: DataFrame, columns: tuple[str, .
 
 def estimate_gain(schema: PublicSchema, before: DataFrame, after: DataFrame, table: ConditionalTable) -> dict:
     rates = table.frame(before.sparkSession)
-    error = [conditional_error(schema, d, table.columns, rates).first()[0] or 0.0 for d in (before, after)]
-    shift = counts.feature_shift(schema, before, after).agg(F.max("tv")).first()[0] or 0.0
+    # a table without any of the released cells has no error: not a number, rather than a perfect 0
+    error = [math.nan if (e := conditional_error(schema, d, table.columns, rates).first()[0]) is None else e for d in (before, after)]
+    shift = counts.feature_shift(schema, before, after).agg(F.avg("tv")).first()[0] or 0.0
     return {"error_before": error[0], "error_after": error[1], "reduction": error[0] - error[1], "worth_it": error[0] - error[1] > WORTH, "feature_shift": shift}
 
 

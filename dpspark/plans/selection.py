@@ -8,6 +8,7 @@ round updates a family at a time, as a vector operation over the tuples.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ from dpspark.schema import PublicSchema
 ROUNDS, LEAST_EXPECTED, POOLED_WEIGHT, SUPPRESSED_WEIGHT, LEAST_COVER = 40, 1.0, 3.0, 30.0, 1.1
 #: Tuples that the driver may hold; a finer domain has to be coarsened.
 MOST_TUPLES = 1_000_000
+SUB_BINS = ("release", "generator")
 
 
 def pool_cells(schema: PublicSchema, pool: DataFrame) -> DataFrame:
@@ -118,13 +120,16 @@ def inclusion_weights(schema: PublicSchema, release: Release, pool: DataFrame, n
     return t.assign(_w=rake(start, size, found, n, rounds))
 
 
-def systematic(cells: DataFrame, weighed: pd.DataFrame, key: str, start: float, seed: int) -> DataFrame:
+def systematic(cells: DataFrame, weighed: pd.DataFrame, n: int, key: str, start: float, seed: int) -> DataFrame:
     """Rows that a systematic sample takes: one wherever the running sum of weights passes another whole number.
 
     Rows of one tuple follow one another, so only the tuples' prefix sums are
     global; a row's place within its tuple is by a hash of ``key``.
     """
     by = [c for c in weighed.columns if c not in ("_n", "_w")]
+    # clipped weights don't add up to n any more
+    whole = float((weighed["_w"] * weighed["_n"]).sum())
+    weighed = weighed.assign(_w=weighed["_w"] * (n / whole if whole > 0 else 1.0))
     ahead = weighed.assign(_ahead=(weighed["_w"] * weighed["_n"]).cumsum() - weighed["_w"] * weighed["_n"])
     small = cells.sparkSession.createDataFrame(ahead[[*by, "_w", "_ahead"]])
     rows = cells.join(F.broadcast(small) if len(ahead) <= 100_000 else small, by)
@@ -133,39 +138,62 @@ def systematic(cells: DataFrame, weighed: pd.DataFrame, key: str, start: float,
     return rows.withColumn("_upto", upto).where(F.floor("_upto") > F.floor(F.col("_upto") - F.col("_w"))).drop("_upto", "_w", "_ahead")
 
 
-def refine(weighed: pd.DataFrame, found: list[Family], taken: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Swaps single rows between tuples while the weighted distance from the constraints falls. taken: rows of each tuple."""
-    size, taken = weighed["_n"].to_numpy(), taken.copy()
-    have = [np.bincount(f.of[f.of >= 0], taken[f.of >= 0], len(f.target)) for f in found]
-    weight = [np.where(f.target == 0, SUPPRESSED_WEIGHT, POOLED_WEIGHT if i < 2 else 1.0) for i, f in enumerate(found)]
+def objective(schema: PublicSchema, release: Release, t: pd.DataFrame, n: int) -> list[tuple[Family, np.ndarray]]:
+    """What ``refine`` lowers the distance to: the cells of each cohort and class, and, weighing more, the marginals over all cohorts that they imply."""
+    own = families(schema, release, t, n, 0.0)
+    out = [(f, np.ones(len(f.target))) for f in own]
+    total = sum(c["cohort_size"] for c in release.cohorts) or 1.0
+    for col in schema.features:
+        if col in schema.numerical:
+            shares = [np.asarray(c["numerical"][col]["proportions"], float) for c in release.cohorts]
+        else:  # the last place is for values that no cohort has released
+            shares = [np.array([*(float(c["categorical"][col].get(v, 0.0)) for v in schema.levels(col)), 0.0]) for c in release.cohorts]
+        target = n * sum(c["cohort_size"] / total * h / max(h.sum(), 1e-12) for c, h in zip(release.cohorts, shares, strict=True))
+        weight = np.full(len(target), POOLED_WEIGHT)
+        if col in schema.categorical:
+            weight[target == 0] = SUPPRESSED_WEIGHT
+        out.append((Family(t[f"_b_{col}"].to_numpy() % len(target), target), weight))
+    return out
 
-    def gain(step: int) -> np.ndarray:
-        """How much the distance falls with a row more (1) or less (-1) of each tuple."""
-        total = np.zeros(len(size))
-        for f, h, w in zip(found, have, weight, strict=True):
-            change = np.nan_to_num(w * (np.abs(h - f.target) - np.abs(h + step - f.target)))
-            total += np.where(f.of >= 0, change[np.maximum(f.of, 0)], 0.0)
-        return total
 
-    for _ in range(rounds):
-        less, more = np.where(taken > 0, gain(-1), -np.inf), np.where((taken < size) & (found[0].of >= 0), gain(1), -np.inf)
-        best = None
-        for i in np.argsort(-less)[:8]:  # the sums of two gains are exact but where both meet one constraint
-            for j in np.argsort(-more)[:8]:
-                if i != j and np.isfinite(less[i] + more[j]):
-                    both = sum(float(np.nan_to_num(w[f.of[i]] * (abs(h[f.of[i]] - f.target[f.of[i]]) * 2 - abs(h[f.of[i]] - 1 - f.target[f.of[i]]) - abs(h[f.of[i]] + 1 - f.target[f.of[i]])))) for f, h, w in zip(found, have, weight, strict=True) if f.of[i] >= 0 and f.of[i] == f.of[j])
-                    value = less[i] + more[j] - both
-                    if value > 1e-9 and (best is None or value > best[0]):
-                        best = value, i, j
-        if best is None:
-            break
+def refine(weighed: pd.DataFrame, found: list[tuple[Family, np.ndarray]], taken: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Swaps single rows between tuples, the best swap of all each time, while the weighted distance from ``found`` falls. taken: rows of each tuple.
+
+    A swap gains what either row does alone, and more where both meet a
+    constraint that is within one row of its target: by at most ``slack``, so
+    tuples that can't make up for that are not looked at.
+    """
+    size, taken = weighed["_n"].to_numpy(), taken.copy()
+    held = [(f.of, np.maximum(f.of, 0), f.of >= 0, np.where(np.isnan(f.target), 0.0, f.target), np.where(np.isnan(f.target), 0.0, w)) for f, w in found]
+    have = [np.bincount(at[met], taken[met], len(target)) for _, at, met, target, _ in held]
+    known = found[0][0].of >= 0
+    for _ in range(ROUNDS * int(taken.sum()) if most is None else most):
+        less, more, shared = np.zeros(len(size)), np.zeros(len(size)), []
+        for (_, at, met, target, w), h in zip(held, have, strict=True):
+            now = np.abs(h - target)
+            less += np.where(met, (w * (now - np.abs(h - 1 - target)))[at], 0.0)
+            more += np.where(met, (w * (now - np.abs(h + 1 - target)))[at], 0.0)
+            shared.append(2 * w * np.maximum(0.0, 1 - now))
+        less, more = np.where(taken > 0, less, -np.inf), np.where((taken < size) & known, more, -np.inf)
+        slack, top, best = sum(float(x.max()) for x in shared), float(more.max()), (1e-9, -1, -1)
+        for i in np.argsort(-less):
+            if less[i] + top + slack <= best[0]:
+                break
+            value = less[i] + more
+            for (of, at, met, _, _), extra in zip(held, shared, strict=True):
+                if met[i] and extra[at[i]]:
+                    value = value + np.where(of == of[i], extra[at[i]], 0.0)
+            value[i] = -np.inf
+            j = int(value.argmax())
+            if value[j] > best[0]:
+                best = float(value[j]), int(i), j
         _, i, j = best
+        if i < 0:
+            break
         taken[i], taken[j] = taken[i] - 1, taken[j] + 1
-        for f, h in zip(found, have, strict=True):
-            if f.of[i] >= 0:
-                h[f.of[i]] -= 1
-            if f.of[j] >= 0:
-                h[f.of[j]] += 1
+        for (_, at, met, _, _), h in zip(held, have, strict=True):
+            h[at[i]] -= met[i]
+            h[at[j]] += met[j]
     return taken
 
 
@@ -209,22 +237,34 @@ def sub_bin_redraw(schema: PublicSchema, release: Release, df: DataFrame, key: s
 
 
 def select_to_release(schema: PublicSchema, release: Release, pool: DataFrame, n: int, key: str, rounds: int = ROUNDS, refined: bool = True, least_cover: float = LEAST_COVER, allow_short_pool: bool = False, sub_bin: str = "release", seed: int = 0) -> DataFrame:
-    """``n`` rows of ``pool`` whose marginals match the release; ``key`` names its rows."""
+    """``n`` rows of ``pool`` whose marginals match the release; ``key`` names its rows.
+
+    A pool of fewer than ``n`` rows is refused; one with too few rows for some
+    cohort too, unless ``allow_short_pool`` makes that a warning. ``sub_bin`` is
+    "release" (numbers are drawn anew within their bins) or "generator".
+    """
+    if sub_bin not in SUB_BINS:
+        raise GenerationError(f"sub_bin must be one of {', '.join(SUB_BINS)}")
+    if (held := pool.count()) < n:
+        raise GenerationError(f"the pool has {held} rows, fewer than the {n} asked for")
     effective = release.effective_schema(schema)
     short = pool_coverage(release, effective, pool, n).where(f"owed >= 1 AND ratio < {least_cover}")
-    if not allow_short_pool and not short.isEmpty():
-        raise GenerationError("the pool has too few rows for some cohort; generate more or allow a short pool")
+    if named := [f"{r['cohort']} ({r['have']} rows for {r['owed']:.0f})" for r in short.orderBy("cohort").collect()]:
+        said = f"the pool has too few rows for some cohorts: {', '.join(named)}"
+        if not allow_short_pool:
+            raise GenerationError(f"{said}; generate more or allow a short pool")
+        warnings.warn(said, stacklevel=2)
     cells = pool_cells(effective, pool)
     weighed = inclusion_weights(effective, release, pool, n, rounds)
     start = ((seed * 0x9E3779B9 + 1) % (1 << 32) + 0.5) / (1 << 32)
-    taken = systematic(cells, weighed, key, start, seed)
+    taken = systematic(cells, weighed, n, key, start, seed)
     by = [c for c in weighed.columns if c not in ("_n", "_w")]
     if refined:
         drawn = taken.groupBy(*by).agg(F.count("*").alias("_taken")).toPandas()
         t = weighed.merge(drawn, on=by, how="left")
         number = t["_taken"].fillna(0).to_numpy(int)
-        if number.sum() >= n:
-            t = t.assign(_taken=refine(weighed, families(effective, release, weighed, n), number))
+        if number.sum() == n:
+            t = t.assign(_taken=refine(weighed, objective(effective, release, weighed, n), number))
             small = pool.sparkSession.createDataFrame(t.loc[t["_taken"] > 0, [*by, "_taken"]])
             rank = F.row_number().over(Window.partitionBy(*by).orderBy(uniform(F.col(key), seed), key))
             taken = cells.join(F.broadcast(small) if len(t) <= 100_000 else small, by).withColumn("_rank", rank).where("_rank <= _taken").drop("_rank", "_taken")
