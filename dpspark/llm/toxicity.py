@@ -230,13 +230,15 @@ def extreme_values(n: int, over: np.ndarray, powers: np.ndarray) -> tuple[float,
 
     lambda is where the mean of exp(lambda * score) over words is 1 again (1 for
     true log-odds, and at most that here); K is the largest that the segments
-    beyond any of LEVELS ask for.
+    beyond any of LEVELS ask for, of those levels that some segment reaches.
     """
     if not n:
         return 1.0, 1.0
     below = np.flatnonzero(powers / n <= 1.0)
     lam = float(LAMBDAS[below[-1]]) if len(below) else float(LAMBDAS[0])
-    return lam, float(((over + 0.5) * np.exp(lam * LEVELS)).max() / n)
+    met = over > 0
+    met[0] = True
+    return lam, float(((over + 0.5) * np.exp(lam * LEVELS))[met].max() / n)
 
 
 def _surprises(models):

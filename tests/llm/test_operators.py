@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,17 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+def test_dates_in_any_time_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        pages = spark.createDataFrame([(0, "http://a/x", "h"), (90061, "http://a/y", "h")], "page_id long, url string, html string")
+        values = sorted(r["value"] for r in warc.records(pages, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [re.search("WARC-Date: (.*)\r", v)[1] for v in values] == ["2020-01-01T00:00:00Z", "2020-01-02T01:01:01Z"]
+
+
 def test_warc(spark, sf_dir):
     base = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     trap = "z" * 1500 + "\r\n\r\nWARC/1.1\r\n\r\n"
@@ -229,6 +241,62 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in toxicity.segments(np.array(s))] == brute(s)
 
 
+def test_log_odds_against_counts(spark):
+    """The fitted score of every token that only one word has, from counts of texts by hand."""
+    rng = random.Random(5)
+    usual = ["".join(rng.choice("abcdefghijklm") for _ in range(9)) for _ in range(40)]
+    made = [(i, " ".join([*rng.sample(usual, 12), *(["grumbold"] if i % 3 == 0 else []), *(["pleasant"] if i % 3 else [])])) for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in made], "doc_id long, toxic int"))
+    n_bad, n_clean, n_all = 100 * 13, 200 * 13, 300 * 13
+    for word, bad, clean in (("grumbold", 100, 0), ("pleasant", 0, 200)):
+        share = (bad + clean + 0.5) / (n_all + 0.5)
+        a = bad + toxicity.PRIOR * n_bad * share + 0.5 * n_bad / (n_bad + n_clean)
+        b = clean + toxicity.PRIOR * n_clean * share + 0.5 * n_clean / (n_bad + n_clean)
+        odds = math.log(a / n_bad) - math.log(b / n_clean)
+        want = odds - math.copysign(toxicity.DOUBT, odds)
+        got, _ = model.known(words(pa.array([word]), PUNCT, lower=False))
+        assert got[0] == pytest.approx(want)
+    assert model.rest <= toxicity.LEAST_REST
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all((s >= toxicity.THRESHOLD) == (i % 3 == 0) for i, s in scored.items())
+
+
+def test_surprise_is_the_law_of_the_sum():
+    model = toxicity.Model(np.empty(0, np.uint64), np.empty(0), np.empty(0), lam=0.8, k=0.05)
+    rng = random.Random(6)
+    for _ in range(100):
+        scores, n = [rng.uniform(0, 12) for _ in range(rng.randint(0, 9))], rng.randint(1, 500)
+        x = sorted((0.8 * s - math.log(0.05 * n) for s in scores), reverse=True)
+        best = 0.0
+        for r in range(1, len(x) + 1):
+            if r > 1 and x[r - 1] <= 0:
+                break
+            t = sum(x[:r])
+            best = max(best, t - (r - 1) * math.log(max(t, 1e-9)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        assert model.surprise(scores, n) == pytest.approx(best)
+
+
+def test_extreme_values():
+    """lambda is the root of the mean of exp(lambda s); K bounds the segments that were seen."""
+    scores, often = np.array([3.0, -0.5]), np.array([30, 970])
+    powers = np.exp(np.outer(toxicity.LAMBDAS, scores)) @ often
+    over = np.array([30, 30, 1, 0, 0, 0, 0])
+    lam, k = toxicity.extreme_values(1000, over, powers)
+    assert abs(math.log(float(np.exp(lam * scores) @ often) / 1000)) < 0.03
+    assert all(k * 1000 * math.exp(-lam * s) >= n for s, n in zip(toxicity.LEVELS, over, strict=True))
+
+
+def test_calibration_with_wrong_labels():
+    rng = np.random.default_rng(9)
+    toxic = rng.random(3000) < 0.1
+    x = np.where(toxic, rng.gamma(9, 2.0, 3000), rng.gamma(1, 0.3, 3000))
+    y = np.where(rng.random(3000) < 0.08, 1 - toxic, toxic).astype(int)
+    a, b = toxicity.calibrate(x, y)
+    chance = 1 / (1 + np.exp(-a - b * x))
+    assert (chance[toxic] >= 0.7).mean() > 0.95 and (chance[~toxic] >= 0.7).mean() < 0.005
+
+
 # -- 5
 
 
@@ -348,6 +416,11 @@ def test_template_goes(spark):
     assert extract.extract(empty(df)).count() == 0
 
 
+def test_names_inside_an_article():
+    page = "<article><div class='reply-all-story'><p>A story about a reply.</p></div><div class='comments-list'>c</div><div class='ad'>x</div><p>End.</p></article>"
+    assert extract.main_text(page, frozenset(), None) == "A story about a reply. End."
+
+
 def test_copies_are_no_template(spark):
     page = lambda i: f"<body><div class=x1><p>Same on every page</p></div><div class=x2><p>{prose(i, 60)}</p><p>{prose(i + 1000, 60)}</p></div></body>"
     article = lambda i: f"{prose(i, 60)} {prose(i + 1000, 60)}"
