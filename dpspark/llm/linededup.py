@@ -170,7 +170,9 @@ def matches(docs: DataFrame, folder: str) -> DataFrame:
     rows, group, place = docs.where("doc_id IS NOT NULL"), ["around", "left"], F.struct("doc_id", "at")
     marks = written(rows.mapInArrow(_fingerprints, "line long, around long, left int, size int, doc_id long, at int"), folder, "marks")
     lines = marks.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("around").alias("low"), F.max("around").alias("high"), F.min("left").alias("least"), F.max("left").alias("most")).where("first < last")
-    met = written(marks.join(lines.select("line", F.expr("low < high OR least < most").alias("several")), "line"), folder, "met")
+    lines = written(lines.select("line", F.expr("low < high OR least < most").alias("several")), folder, "lines")
+    # few lines go to their places, of which a frequent line has very many
+    met = written(marks.join(F.broadcast(lines) if lines.count() <= BROADCAST_IDS else lines, "line"), folder, "met")
     classes = written(met.groupBy(*group).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"), F.max("several").alias("several")).where(f"size >= {LEAST}"), folder, "classes")
     firsts = classes.where("several").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.at", "left", F.col("size"), "around")).alias("places"))
     firsts = written(firsts, folder, "firsts")
