@@ -13,10 +13,9 @@ from dpspark import report
 from dpspark.operators import sampling
 from dpspark.plans.bound import bound_with_controls
 from dpspark.plans.evaluate import evaluate
-from dpspark.plans.generate import POOL_FACTOR, statistical
+from dpspark.plans.generate import generate_selected
 from dpspark.plans.hybrid import correct
 from dpspark.plans.release import Release, release_statistics
-from dpspark.plans.selection import select_to_release
 from dpspark.schema import PublicSchema
 from dpspark.sources.tables import read_table, write_table
 
@@ -64,17 +63,18 @@ def work(a: argparse.Namespace, spark: SparkSession) -> None:
     private = table(a.private) if a.private else None
     holdout = table(a.holdout) if a.holdout else None
     if private is not None and holdout is None and stages != ("correct",):
-        private, holdout = sampling.split(private, KEY, 0.8, 0)
+        private, holdout = sampling.stratified_split(private, KEY, 0.8, F.col(schema.target), 0)
     release = Release.from_json(Path(a.release_path)) if a.release_path else None
+    if release is not None:
+        release.belongs_to(schema)
     synthetic = table(a.synthetic) if a.synthetic else None
     if "release" in stages and release is None:
         release = release_statistics(schema, private, a.epsilon, a.conditional_fraction, a.n_min, not a.exact_gate, a.seed, a.max_rows_per_person, a.acknowledge_vacuous_privacy_unit, not a.no_autoconfig, a.n_records, not a.no_class_conditional)
         release.to_json(out / "release.json")
         report.of_release(release).write(out)
     if "generate" in stages:
-        pool = statistical(spark, schema, release, POOL_FACTOR * a.rows, a.seed or 0)
-        rows = select_to_release(schema, release, pool, a.rows, "row_id", seed=a.seed or 0).select(*schema.columns)
-        write_table(rows, str(out / "synthetic.csv"))
+        rows, _ = generate_selected(spark, schema, release, a.rows, seed=a.seed or 0)
+        write_table(rows.select(*schema.columns), str(out / "synthetic.csv"))
         synthetic = table(str(out / "synthetic.csv"))
     if "bound" in stages and release.conditional_levels:
         found = bound_with_controls(schema, release, private, holdout, synthetic, KEY, a.epsilon_bound, level=a.level, max_rows_per_person=a.max_rows_per_person)

@@ -54,7 +54,10 @@ class SpendMeter:
 
     def add(self, tokens_in: int, tokens_out: int) -> bool:
         self.usd += self.table.cost(self.model, tokens_in, tokens_out)
-        return self.budget is None or self.usd < self.budget
+        return self.affords(0.0)
+
+    def affords(self, usd: float) -> bool:
+        return self.budget is None or self.usd + usd < self.budget
 
 
 def fits_context(prompt: str, output_tokens: int, context: int, chars_per_token: float = 3.5) -> bool:

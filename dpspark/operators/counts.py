@@ -149,10 +149,10 @@ def undeclared(schema: PublicSchema, df: DataFrame) -> DataFrame:
     return df.agg(*found).unpivot([], list(schema.categorical), "col", "n")
 
 
-def emitted(schema: PublicSchema, df: DataFrame) -> DataFrame:
-    """(cls, col, bin, n): what a generated table has of each bin, pool bins for numbers."""
-    rows = df.select(class_column(schema).alias("cls"), F.explode(_places(schema, binning.pool)).alias("p"))
-    return rows.groupBy("cls", "p.col", "p.bin").agg(F.count("*").alias("n")).where("bin >= 0")
+def emitted(schema: PublicSchema, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cls, col, bin, n): what a generated table has of each bin, pool bins for numbers."""
+    rows = df.select(*by, class_column(schema).alias("cls"), F.explode(_places(schema, binning.pool)).alias("p"))
+    return rows.groupBy(*by, "cls", "p.col", "p.bin").agg(F.count("*").alias("n")).where("bin >= 0")
 
 
 def capped(df: DataFrame, person: str, order: Sequence[str | Column], most: int) -> DataFrame:

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dpspark.functions.draw import uniform
 
-_GROUPS = 4096
+#: Rows of a group within which ranks are taken, and the most groups.
+GROUP_ROWS, GROUPS_MOST = 50_000, 1 << 20
+
+
+def groups_of(df: DataFrame) -> int:
+    return max(1, min(GROUPS_MOST, df.count() // GROUP_ROWS))
 
 
-def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """``df`` with its rank by ``order`` from 1, without bringing all rows into one task.
+def numbered(df: DataFrame, order: Column, name: str, by: Sequence[str] = (), ties: Sequence[str | Column] | None = None, groups: int | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with its rank by ``order`` from 1, within each value of ``by``, without bringing all of its rows into one task.
 
-    ``order`` is a number in [0, 1): it is cut into 4096 groups, ranks are taken
-    within these, and only the groups' sizes are summed up in one place.
+    ``order`` is a number in [0, 1]: it is cut into ``groups`` (by default as
+    many as the number of rows asks for), ranks are taken within these, and only
+    the groups' sizes are summed up in one place. Equal numbers go by ``ties``, or
+    by all columns. ``total``, if named, is the number of rows of the same ``by``.
     """
-    grouped = df.withColumn("_order", order).withColumn("_group", F.floor(F.col("_order") * _GROUPS).cast("int"))
-    sizes = grouped.groupBy("_group").agg(F.count("*").alias("_size"))
-    ahead = sizes.select("_group", (F.sum("_size").over(Window.orderBy("_group")) - F.col("_size")).alias("_ahead"))
-    own = F.row_number().over(Window.partitionBy("_group").orderBy("_order", *(c for c in df.columns)))
-    return grouped.withColumn(name, own).join(F.broadcast(ahead), "_group").withColumn(name, F.col(name) + F.col("_ahead")).drop("_group", "_ahead", "_order")
+    groups = groups or groups_of(df)
+    place = F.greatest(F.lit(0), F.least(F.lit(groups - 1), F.floor(F.col("_order") * groups))).cast("int")
+    grouped = df.withColumn("_order", order).withColumn("_group", place)
+    sizes = grouped.groupBy(*by, "_group").agg(F.count("*").alias("_size"))
+    whole = Window.partitionBy(*by)
+    ahead = sizes.select("_group", *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), (F.sum("_size").over(whole.orderBy("_group")) - F.col("_size")).alias("_ahead"), F.sum("_size").over(whole).alias("_total"))
+    own = F.row_number().over(Window.partitionBy(*by, "_group").orderBy("_order", *(df.columns if ties is None else ties)))
+    ranked = grouped.withColumn("_own", own).withColumnRenamed("_group", "_at")
+    met = F.col("_at") == F.col("_group")
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
+    out = {name: F.col("_own") + F.col("_ahead")} | ({total: F.col("_total")} if total else {})
+    return ranked.join(ahead, met).withColumns(out).select(*(c for c in df.columns if c not in out), *out)
 
 
 def simple_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -30,8 +47,9 @@ def simple_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """``df`` with one column's values dealt out anew."""
-    rows = numbered(df, uniform(F.col(key), f"{seed} rows"), "_rank")
-    values = numbered(df.select(key, column), uniform(F.col(key), f"{seed} values"), "_rank").select("_rank", F.col(column).alias("_value"))
+    groups = groups_of(df)
+    rows = numbered(df, uniform(F.col(key), f"{seed} rows"), "_rank", groups=groups)
+    values = numbered(df.select(key, column), uniform(F.col(key), f"{seed} values"), "_rank", groups=groups).select("_rank", F.col(column).alias("_value"))
     return rows.drop(column).join(values, "_rank").withColumnRenamed("_value", column).select(df.columns)
 
 
@@ -46,3 +64,10 @@ def split(df: DataFrame, key: str, share: float, seed: int) -> tuple[DataFrame,
     """Two disjoint parts, the first of about ``share`` of the rows, by a hash of ``key``."""
     first = uniform(F.col(key), seed) < share
     return df.where(first), df.where(~first)
+
+
+def stratified_split(df: DataFrame, key: str, share: float, stratum: Column, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Two disjoint parts; of every stratum the first has exactly its share, rounded to whole rows. Which rows is by a hash of ``key``."""
+    ranked = numbered(df.withColumn("_stratum", stratum), uniform(F.col(key), seed), "_rank", ["_stratum"], total="_total")
+    first = F.col("_rank") <= F.round(F.lit(share) * F.col("_total"))
+    return ranked.where(first).select(df.columns), ranked.where(~first).select(df.columns)

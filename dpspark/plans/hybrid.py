@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpspark import domains
@@ -14,6 +14,7 @@ from dpspark.functions.draw import uniform
 from dpspark.ledger import PARALLEL, PrivacyLedger, per_person
 from dpspark.noise import Noise
 from dpspark.operators import counts
+from dpspark.operators.sampling import numbered
 from dpspark.plans.release import COUNTS_SHARE, N_MIN, N_MIN_FLOOR, published
 from dpspark.schema import PublicSchema
 
@@ -77,12 +78,11 @@ def relabelled(schema: PublicSchema, df: DataFrame, columns: tuple[str, ...], ra
     """
     cell = domains.cell_key(schema, columns)
     rows = df.withColumn("_cell", cell).join(F.broadcast(rates.select(F.col("cell").alias("_cell"), F.col("rate").alias("_rate"))), "_cell", "left")
-    group = Window.partitionBy("_cell")
-    draw = [F.desc(score)] if score else []
-    place = F.row_number().over(group.orderBy(*draw, uniform(F.col(key), f"{seed} row"), key))
-    exact = F.col("_rate") * F.count("*").over(group)
+    draw = uniform(F.col(key), f"{seed} row")
+    rows = numbered(rows, 1 - F.col(score) if score else draw, "_place", ["_cell"], [draw, key], total="_total")
+    exact = F.col("_rate") * F.col("_total")
     wanted = F.floor(exact) + F.when(uniform(F.col("_cell"), f"{seed} cell") < exact - F.floor(exact), 1).otherwise(0)
-    label = F.when(F.col("_rate").isNull(), F.col(schema.target)).when(place <= wanted, F.lit(str(schema.positive))).otherwise(F.lit(str(schema.negative)))
+    label = F.when(F.col("_rate").isNull(), F.col(schema.target)).when(F.col("_place") <= wanted, F.lit(str(schema.positive))).otherwise(F.lit(str(schema.negative)))
     return rows.withColumn("_label", label).withColumn(schema.target, F.col("_label")).select(df.columns)
 
 

@@ -41,6 +41,7 @@ class Release:
     coarsen: dict[str, dict[str, str]] = field(default_factory=dict)
     stratify: list = field(default_factory=list)
     audit: dict = field(default_factory=dict)
+    schema_digest: str = ""
     created: str = field(default_factory=lambda: datetime.now(UTC).isoformat())
 
     def to_json(self, path: str | Path | None = None) -> str:
@@ -54,6 +55,13 @@ class Release:
         text = str(source)
         return cls(**json.loads(text if text.lstrip().startswith("{") else Path(source).read_text(encoding="utf-8")))
 
+    def belongs_to(self, schema: PublicSchema) -> None:
+        """Refuses another schema than the one that the release was made from; releases without a digest go by the name alone."""
+        if self.schema_name != schema.name:
+            raise ReleaseError(f"the release is of schema {self.schema_name}, not {schema.name}")
+        if self.schema_digest and self.schema_digest != schema.digest():
+            raise ReleaseError(f"the release was made from another version of schema {schema.name}: a release belongs to its schema")
+
     def effective_schema(self, schema: PublicSchema) -> PublicSchema:
         """``schema`` with the hierarchy that the release used, whether declared or derived."""
         stratify, bands = [], {}
@@ -181,7 +189,7 @@ def release_statistics(
 ) -> Release:
     """The private table's release. The budget is closed exactly where the hierarchy is declared and every level has a cell."""
     _check(epsilon_total, conditional_fraction, n_min)
-    warnings = []
+    warnings, digest = [], schema.digest()
     if max_rows_per_person and (said := per_person(max_rows_per_person, epsilon_total, acknowledge_vacuous_privacy_unit)):
         warnings.append(said)
     noise, ledger = Noise(seed), PrivacyLedger(epsilon_total, max_rows_per_person=max_rows_per_person)
@@ -233,7 +241,7 @@ def release_statistics(
     audit["warnings"] += warnings
     audit |= {"guarantee_void": noise.void, "n_min": n_min, "charge_suppression": charge_suppression, "derived": None if derived is None else derived.record()}
     stratify = [[c, [asdict(b) for b in schema.bands[c]] if c in schema.numerical else None] for c in schema.stratify]
-    return Release(schema.name, epsilon_total, n_min, cohorts, levels, schema.coarsen, stratify, audit)
+    return Release(schema.name, epsilon_total, n_min, cohorts, levels, schema.coarsen, stratify, audit, digest)
 
 
 def _conditional(schema: PublicSchema, data: DataFrame, budget: Budget, n_min: int, charge: bool, ledger: PrivacyLedger, noise: Noise) -> list[dict]:

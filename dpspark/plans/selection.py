@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpspark import domains
@@ -21,6 +21,7 @@ from dpspark.errors import GenerationError
 from dpspark.functions import binning
 from dpspark.functions.draw import uniform
 from dpspark.operators import counts
+from dpspark.operators.sampling import numbered
 from dpspark.plans.release import Release
 from dpspark.schema import PublicSchema
 
@@ -133,9 +134,9 @@ def systematic(cells: DataFrame, weighed: pd.DataFrame, n: int, key: str, start:
     ahead = weighed.assign(_ahead=(weighed["_w"] * weighed["_n"]).cumsum() - weighed["_w"] * weighed["_n"])
     small = cells.sparkSession.createDataFrame(ahead[[*by, "_w", "_ahead"]])
     rows = cells.join(F.broadcast(small) if len(ahead) <= 100_000 else small, by)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(uniform(F.col(key), seed), key))
-    upto = F.col("_ahead") + rank * F.col("_w") - start
-    return rows.withColumn("_upto", upto).where(F.floor("_upto") > F.floor(F.col("_upto") - F.col("_w"))).drop("_upto", "_w", "_ahead")
+    upto = F.col("_ahead") + F.col("_rank") * F.col("_w") - start
+    ranked = numbered(rows.withColumnRenamed("_ahead", "_before"), uniform(F.col(key), seed), "_rank", by, [key]).withColumnRenamed("_before", "_ahead")
+    return ranked.withColumn("_upto", upto).where(F.floor("_upto") > F.floor(F.col("_upto") - F.col("_w"))).drop("_upto", "_w", "_ahead", "_rank")
 
 
 def objective(schema: PublicSchema, release: Release, t: pd.DataFrame, n: int) -> list[tuple[Family, np.ndarray]]:
@@ -266,8 +267,8 @@ def select_to_release(schema: PublicSchema, release: Release, pool: DataFrame, n
         if number.sum() == n:
             t = t.assign(_taken=refine(weighed, objective(effective, release, weighed, n), number))
             small = pool.sparkSession.createDataFrame(t.loc[t["_taken"] > 0, [*by, "_taken"]])
-            rank = F.row_number().over(Window.partitionBy(*by).orderBy(uniform(F.col(key), seed), key))
-            taken = cells.join(F.broadcast(small) if len(t) <= 100_000 else small, by).withColumn("_rank", rank).where("_rank <= _taken").drop("_rank", "_taken")
+            rows = cells.join(F.broadcast(small) if len(t) <= 100_000 else small, by)
+            taken = numbered(rows, uniform(F.col(key), seed), "_rank", by, [key]).where("_rank <= _taken").drop("_rank", "_taken")
     out = taken.select(pool.columns)
     return sub_bin_redraw(effective, release, out, key, seed) if sub_bin == "release" else out
 

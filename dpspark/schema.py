@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -112,6 +113,9 @@ class PublicSchema:
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
 
+    def digest(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
     @classmethod
     def from_json(cls, text: str) -> PublicSchema:
         return cls(**json.loads(text))

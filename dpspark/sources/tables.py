@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +40,20 @@ def write_table(df: DataFrame, path: str, kind: str | None = None) -> None:
         writer.option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
     else:
         writer.format(kind).save(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once and written to the shared folder of ``spark.checkpoint.dir``: a lost executor repeats nothing of it.
+
+    A temporary folder stands in where the setting is missing, for a local master only.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="dpspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
