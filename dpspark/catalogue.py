@@ -7,6 +7,7 @@ hash of a key, which both engines compute alike. Shares are rounded to 6 places.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -605,6 +606,16 @@ def group_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most.select("most_rows", epsilon.alias("epsilon"), (epsilon > ledger.VACUOUS).alias("vacuous"))
 
 
+@query(
+    "WITH s AS (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY 1) "
+    "SELECT stratum, 'train' AS part, round(0.8 * n)::BIGINT AS n FROM s UNION ALL SELECT stratum, 'holdout', (n - round(0.8 * n))::BIGINT FROM s"
+)
+def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = sampling.stratified_split(fixtures.read(spark, sf_dir, "orders"), "o_orderkey", 0.8, F.col("o_orderpriority"), 1)
+    both = reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(name)) for p, name in zip(parts, ("train", "holdout"), strict=True)))
+    return both.groupBy(F.col("o_orderpriority").alias("stratum"), "part").agg(F.count("*").alias("n"))
+
+
 @query()
 def tstr_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dpspark.operators.students import tstr
