@@ -37,6 +37,10 @@ def pipeline(schema: PublicSchema, student) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="_x"), student])
 
 
+#: Ranges of scores that are ranked apart.
+PARTS = 64
+
+
 def labelled(schema: PublicSchema, df: DataFrame) -> DataFrame:
     return schema.coerce(df).withColumn("_y", schema.is_positive().cast("double"))
 
@@ -44,11 +48,18 @@ def labelled(schema: PublicSchema, df: DataFrame) -> DataFrame:
 def auc(df: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """(auc) of a score for a boolean, by the ranks of the positives; equal scores share their mean rank. Null with one class.
 
-    Rows are first counted by score; what is then ranked are distinct scores.
+    Rows are first counted by score; what is then ranked are distinct scores, in
+    ``PARTS`` ranges between their quantiles, whose sizes alone are summed up in one place.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    ranked = by.select("n", "p", (below + (F.col("n") + 1) / 2.0).alias("rank"))
+    cuts = sorted(set(by.agg(F.percentile_approx("s", [i / PARTS for i in range(1, PARTS)], 1000)).first()[0] or []))
+    part = sum(((F.col("s") > c).cast("int") for c in cuts), F.lit(0))
+    by = by.withColumn("part", F.coalesce(part, F.lit(0)))
+    sizes = by.groupBy("part").agg(F.sum("n").alias("size"))
+    ahead = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = F.sum("n").over(within) - F.col("n") + F.col("ahead")
+    ranked = by.join(F.broadcast(ahead), "part").select("n", "p", (below + (F.col("n") + 1) / 2.0).alias("rank"))
     total = ranked.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     negative = F.col("n") - F.col("p")
     return total.select(F.when((F.col("p") > 0) & (negative > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * negative)).alias("auc"))
