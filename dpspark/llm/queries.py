@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import decontaminate, extract, fingerprints, linededup, neardup, packing, preferences, secrets, toxicity, warc
+from dpspark.llm import centroids, decontaminate, extract, fingerprints, linededup, middle, neardup, packing, preferences, secrets, toxicity, warc
 from dpspark.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,8 +65,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_segments, op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op6_main_text, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows, pipeline)}
+    return {f.__name__: f for f in (op1_preference_segments, op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op6_main_text, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows, op11_centroid_clusters, op12_fill_in_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_segments": preferences.SQL}
+    return {"op1_preference_segments": preferences.SQL, "op11_centroid_clusters": centroids.SQL, "op12_fill_in_middle": middle.SQL}
