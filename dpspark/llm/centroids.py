@@ -163,7 +163,7 @@ def seeds(rows: DataFrame, k: int, seed: int, scale: int = SCALE) -> list[list[i
     """The ``k`` vectors with the smallest hash of ``seed`` and id; null ids come last, equal ids by their components."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.orderBy(order.asc_nulls_last(), "x").limit(k).collect()
-    return integers(np.array([r["x"] for r in first], float).reshape(len(first), -1), scale).tolist()
+    return integers(np.array([r["x"] for r in first], float), scale).tolist() if first else []
 
 
 def fingerprint(centre: Sequence[int]) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dpspark.llm import centroids, decontaminate, extract, fingerprints, linededup, middle, neardup, packing, preferences, secrets, toxicity, warc
+from dpspark.llm import centroids, decontaminate, extract, fingerprints, linededup, middle, neardup, packing, preferences, quality, secrets, toxicity, warc
 from dpspark.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_segments, op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op6_main_text, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows, op11_centroid_clusters, op12_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_preference_segments, op2_warc_index, op3_benchmark_leaks, op4_toxicity, op5_fingerprints, op6_main_text, op7_line_dedup, op8_near_duplicates, op9_secrets, op10_pack_windows, op11_centroid_clusters, op12_fill_in_middle, op13_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
