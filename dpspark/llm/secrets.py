@@ -1,15 +1,18 @@
 """Secrets in texts: known forms, and strings whose sliding-window entropy is high.
 
 DataFrame functions only. A candidate is a long run of key-like characters with
-letters and digits; parts of it with a word that marks examples end it. A window
-of 20 characters slides along it; counts of each character and the sum of
-c * log2(c) are carried from window to window, so one step changes two counts.
+letters and digits; parts of it that begin or end with a word that marks
+examples end it. A window of 20 characters slides along it; counts of each
+character and the sum of c * log2(c) are carried from window to window, so one
+step changes two counts, which are packed into a few longs.
 Windows with enough bits that overlap or touch make one span. The threshold
 depends on the candidate's class.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,17 @@ HEX = "[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
 WINDOW, BLOCK = 20, 276
-#: Parts between separators with a word that marks an example, unless they are so long that it is there by chance.
-EXAMPLE = "(?=[A-Za-z0-9]{1,64}(?![A-Za-z0-9]))[A-Za-z0-9]*(?i:example|sample|dummy|placeholder|changeme|xxxx)"
+#: Parts between separators that begin or end with a word that marks an example.
+_WORDS = "(?i:example|sample|dummy|placeholder|changeme|xxxx)"
+EXAMPLE = f"{_WORDS}|[A-Za-z0-9]*+(?<={_WORDS})"
 CANDIDATE = f"(?=[A-Za-z0-9+/_=-]{{{WINDOW}}})(?:(?<![A-Za-z0-9])(?!{EXAMPLE})[A-Za-z0-9]++|[+/_=-]++)++"
 #: Characters that are counted, and bits that a window needs, by class.
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+#: Counters are five bits each, so many of them in a long.
+PACKED, BITS = 12, 5
 CLASSES = (("hexadecimal", "[0-9a-fA-F]+", 3.0), ("single_case", "[0-9a-z+/_=-]+|[0-9A-Z+/_=-]+", 3.5), ("mixed", ".+", 3.7))
-#: What is no secret: words and numbers joined by hyphens or slashes, UUIDs, few distinct characters.
-ALLOWED = (r"([A-Za-z]+|[0-9]+)([-_/+=]([A-Za-z]*|[0-9]*))*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.{1,4})\1{2,}.{0,4}")
+#: What is no secret: words and numbers joined by hyphens or slashes, UUIDs, few distinct characters. Possessive loops take no stack.
+ALLOWED = (r"(?:[A-Za-z]++|[0-9]++)(?:[-_/+=](?:[A-Za-z]++|[0-9]++)?+)*+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.{1,4})\1{2,}.{0,4}")
 
 _SPANS = "array<struct<first: long, last: long>>"
 _SPAN = "array<struct<start: long, rank: int, kind: string, end: long>>"
@@ -46,38 +52,62 @@ def _base(text: Column, kind: str, rank: int, pattern: str, group: int = 0, leas
     return F.transform(kept, lambda m: _span(kind, rank, m.start, m.start + F.length(m.text)))
 
 
-def _plogp(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+def _plogp(n: int) -> float:
+    return n * math.log2(n) if n > 1 else 0.0
+
+
+#: What one more and one less of a symbol add to the sum of c * log2(c), by its count before.
+_MORE = [_plogp(n + 1) - _plogp(n) for n in range(WINDOW + 1)]
+_LESS = [_plogp(max(n - 1, 0)) - _plogp(n) for n in range(WINDOW + 1)]
+
+
+def _peaks(block: Column, most: Column) -> Column:
+    """The spans (first, last), ends exclusive, of a string's windows whose sum of c * log2(c) is ``most`` or less."""
 
+    more, less = (F.array(*map(F.lit, x)) for x in (_MORE, _LESS))
 
-def _joined(spans: Column, first: Column, last: Column) -> Column:
-    """``spans`` (first, last) with one more, which is joined with the last one where they overlap or touch."""
-    span, end = (lambda a: F.struct(a.cast("long").alias("first"), last.cast("long").alias("last"))), F.get(spans, F.size(spans) - 1)
-    new = let(span(first), lambda s: F.array(s))
-    longer = F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(span(end["first"])))
-    return F.when((F.size(spans) > 0) & (end["last"] >= first), longer).otherwise(F.concat(spans, new))
+    def count(of: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.get(of, x.word), x.shift).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
+    def step(chars: Column, acc: Column, i: Column) -> Column:
+        nothing, new = F.lit(0).cast("long"), F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-def _peaks(block: Column, bits: Column) -> Column:
-    """The spans (first, last), ends exclusive, of a string's windows with at least ``bits``."""
+        def counted(x: Column) -> Column:
+            same = F.coalesce(x.came.code == x.went.code, F.lit(False))
+            n = F.transform(acc.n, lambda v, k: v + F.when(k == x.came.word, x.came.one).otherwise(nothing) - F.when(k == x.went.word, x.went.one).otherwise(nothing))
+            total = acc.s + F.when(same, 0.0).otherwise(F.get(more, count(acc.n, x.came)) + F.coalesce(F.get(less, count(acc.n, x.went)), F.lit(0.0)))
+            return let(F.struct(F.when(same, acc.n).otherwise(n).alias("n"), total.alias("s")), lambda y: opened(y, (i >= WINDOW - 1) & (y.s <= most)))
+
+        def opened(y: Column, hit: Column) -> Column:
+            apart = hit & (acc["last"] < i - WINDOW + 1)
+            first, last = F.when(apart, i - WINDOW + 1).otherwise(acc["first"]), F.when(hit, i + 1).otherwise(acc["last"])
+            spans = F.when(apart & (acc["first"] >= 0), F.concat(acc.spans, new)).otherwise(acc.spans)
+            return F.struct(y.n.alias("n"), y.s.alias("s"), first.cast("long").alias("first"), last.cast("long").alias("last"), spans.alias("spans"))
+
+        return let(F.struct(F.get(chars, i).alias("came"), F.get(chars, i - WINDOW).alias("went")), counted)
 
     def slid(chars: Column) -> Column:
-        count = lambda n, k: F.get(n, k).cast("double")
+        longs = F.array_repeat(F.lit(0).cast("long"), -(-len(SYMBOLS) // PACKED))
+        zero = F.struct(longs.alias("n"), F.lit(0.0).alias("s"), F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), F.array().cast(_SPANS).alias("spans"))
+        ended = lambda a: F.when(a["first"] >= 0, F.concat(a.spans, F.array(F.struct(a["first"].alias("first"), a["last"].alias("last"))))).otherwise(a.spans)
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, lambda acc, i: step(chars, acc, i), ended)
+
+    def placed(c: Column) -> Column:
+        code = F.instr(F.lit(SYMBOLS), c) - 1
+        return let(code, lambda k: F.struct(k.alias("code"), F.floor(k / PACKED).cast("int").alias("word"), (k % PACKED * BITS).cast("int").alias("shift"), F.call_function("shiftleft", F.lit(1).cast("long"), (k % PACKED * BITS).cast("int")).alias("one")))
+
+    return let(F.transform(F.filter(F.split(block, ""), lambda c: c != ""), placed), slid)
+
 
-        def step(acc: Column, i: Column) -> Column:
-            came, went = F.get(chars, i), F.when(i >= WINDOW, F.get(chars, i - WINDOW)).otherwise(F.lit(-1))
-            out = F.when(went >= 0, _plogp(count(acc.n, went) - 1) - _plogp(count(acc.n, went))).otherwise(F.lit(0.0))
-            held = count(acc.n, came) - F.when(came == went, 1.0).otherwise(0.0)
-            total = acc.s + out + _plogp(held + 1) - _plogp(held)
-            n = F.transform(acc.n, lambda v, k: v + F.when(k == came, 1).otherwise(0) - F.when(k == went, 1).otherwise(0))
-            entropy = F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - total / WINDOW).otherwise(F.lit(0.0))
-            return let(F.struct(n.alias("n"), total.alias("s"), entropy.alias("e")), lambda x: F.struct(x.n.alias("n"), x.s.alias("s"), F.when(x.e >= bits, _joined(acc.spans, i - WINDOW + 1, i + 1)).otherwise(acc.spans).alias("spans")))
+def _together(spans: Column) -> Column:
+    """Ascending ``spans``, those that overlap or touch as one; each end is looked at once."""
 
-        zero = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("n"), F.lit(0.0).alias("s"), F.array().cast(_SPANS).alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda a: a.spans)
+    def ends(a: Column) -> Column:
+        begins = F.filter(F.transform(a, lambda s, i: F.when((i == 0) | (s["first"] > F.get(a, i - 1)["last"]), s["first"])), lambda x: x.isNotNull())
+        finish = F.filter(F.transform(a, lambda s, i: F.when((i == F.size(a) - 1) | (F.get(a, i + 1)["first"] > s["last"]), s["last"])), lambda x: x.isNotNull())
+        return F.zip_with(begins, finish, lambda x, y: F.struct(x.alias("first"), y.alias("last")))
 
-    codes = F.transform(F.filter(F.split(block, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    return let(codes, slid)
+    return let(spans, ends)
 
 
 def _entropy(text: Column) -> Column:
@@ -96,9 +126,10 @@ def _entropy(text: Column) -> Column:
         # long candidates in blocks that overlap by a window less one
         stride = BLOCK - WINDOW + 1
         blocks = F.regexp_extract_all(m.text, F.lit(f"(?=(.{{{WINDOW},{BLOCK}}})).{{1,{stride}}}"), F.lit(1))
-        peaks = F.flatten(F.transform(blocks, lambda b, i: F.transform(_peaks(b, bits), lambda p: F.struct((i * stride + p["first"]).alias("first"), (i * stride + p["last"]).alias("last")))))
-        joined = F.aggregate(peaks, F.array().cast(_SPANS), lambda acc, p: _joined(acc, p["first"], p["last"]))
-        return F.transform(joined, lambda p: _span("entropy", 3, m.start + p["first"], m.start + p["last"]))
+        # a window's entropy is log2(WINDOW) less its sum over WINDOW
+        most = WINDOW * (F.lit(math.log2(WINDOW)) - bits) + 1e-9
+        peaks = let(most, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.transform(_peaks(b, t), lambda p: F.struct((i * stride + p["first"]).alias("first"), (i * stride + p["last"]).alias("last"))))))
+        return F.transform(_together(peaks), lambda p: _span("entropy", 3, m.start + p["first"], m.start + p["last"]))
 
     return F.flatten(F.transform(F.filter(found(text, CANDIDATE), kept), spans))
 
