@@ -421,14 +421,8 @@ def pool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.pool_coverage(small_release(), F5, F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN).withColumn("ratio", r6(F.col("ratio")))
 
 
-@query()
-def rake_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.inclusion_weights(F5, small_release(), F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN)
-    return spark.createDataFrame(found.assign(_w=found["_w"].round(9)))
-
-
-def _sql_rake_round() -> str:
-    price, cls = SQL_BIN["pool"]("o_totalprice", F5.edges("o_totalprice")), "CAST(y = 'YES' AS INT)"
+def _rake_targets() -> tuple[list, list, dict[str, list]]:
+    """What ``small_release`` asks of the sums of weights: rows of (cohort, target), (cohort, cls, target) and, by column, (cohort, k, b, target)."""
     release, total = small_release(), 1000
     cohort, balance, hist = [], [], {c: [] for c in F5.features}
     for c in release.cohorts:
@@ -439,35 +433,103 @@ def _sql_rake_round() -> str:
             b, m, key = (c["by_class"][v], mass * c["class_balance"][v], k) if "by_class" in c else (c, mass, -1)
             hist["o_totalprice"] += [(name, key, i, m * p) for i, p in enumerate(b["numerical"]["o_totalprice"]["proportions"])] if key >= 0 or k else []
             hist["o_orderpriority"] += [(name, key, i, m * p) for i, p in enumerate(b["categorical"]["o_orderpriority"].values())] if key >= 0 or k else []
+    return cohort, balance, hist
+
+
+_CELLS = f"SELECT {sql_cohort(F5)} AS cohort, CAST(y = 'YES' AS INT) AS cls, {SQL_BIN['pool']('o_totalprice', F5.edges('o_totalprice'))} AS b1, CASE o_orderpriority {' '.join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(F5.levels('o_orderpriority')))} END AS b2, o_orderkey FROM {F5_SQL}"
+_KEY = "CASE WHEN x.cohort = 'small' THEN x.cls ELSE -1 END"
+
+
+def _sql_rake(rounds: int) -> str:
+    """CTEs up to ``raked`` (cohort, cls, b1, b2, n, w); a round updates one family after the other, by windows over the tuples."""
+    cohort, balance, hist = _rake_targets()
     least = lambda rows: [r for r in rows if r[-1] == 0 or r[-1] >= 1]
-    steps = [("cohort", least(cohort), "cohort, target", "cohort"), ("cohort, cls", least(balance), "cohort, cls, target", "cohort, cls")]
-    out = f"WITH t0 AS (SELECT {sql_cohort(F5)} AS cohort, {cls} AS cls, {price} AS b1, CASE o_orderpriority {' '.join(f'''WHEN '{v}' THEN {i}''' for i, v in enumerate(F5.levels('o_orderpriority')))} END AS b2, count(*) AS n FROM {F5_SQL} GROUP BY ALL), w0 AS (SELECT *, {TAKEN}::DOUBLE / sum(n) OVER () AS w FROM t0)"
-    k = 0
-    for _, rows, names, on in steps:
-        out += f", w{k + 1} AS (SELECT x.cohort, x.cls, b1, b2, n, w * coalesce(target / nullif(sum(w * n) OVER (PARTITION BY {', '.join('x.' + o for o in on.split(', '))}), 0), 1) AS w FROM w{k} x LEFT JOIN {sql_values(rows, names)} c ON {' AND '.join(f'c.{o} = x.{o}' for o in on.split(', '))})"
-        k += 1
-    for col, b in (("o_totalprice", "b1"), ("o_orderpriority", "b2")):
-        key = "CASE WHEN x.cohort = 'small' THEN x.cls ELSE -1 END"
-        out += f", w{k + 1} AS (SELECT x.cohort, x.cls, b1, b2, n, w * coalesce(target / nullif(sum(w * n) OVER (PARTITION BY x.cohort, {key}, {b}), 0), 1) AS w FROM w{k} x LEFT JOIN {sql_values(least(hist[col]), 'cohort, k, b, target')} c ON c.cohort = x.cohort AND c.k = {key} AND c.b = {b})"
-        k += 1
-    out += f", clipped AS (SELECT *, least(1, greatest(0, w)) AS v FROM w{k}) SELECT cohort, CAST(cls AS BOOLEAN) AS pos, b1, b2, n, round(least(1, v * {TAKEN} / sum(v * n) OVER ()), 6)::DOUBLE AS w FROM clipped"
-    return out
-
-
-@query(_sql_rake_round())
+    inner = "w"
+    steps = [(least(cohort), "cohort, target", "x.cohort", "c.cohort = x.cohort"), (least(balance), "cohort, cls, target", "x.cohort, x.cls", "c.cohort = x.cohort AND c.cls = x.cls")]
+    steps += [(least(hist[c]), "cohort, k, b, target", f"x.cohort, {_KEY}, x.{b}", f"c.cohort = x.cohort AND c.k = {_KEY} AND c.b = x.{b}") for c, b in (("o_totalprice", "b1"), ("o_orderpriority", "b2"))]
+    inner = f"(SELECT * FROM r WHERE step < {rounds})"
+    for rows, names, by, on in steps:
+        inner = f"(SELECT x.step, x.cohort, x.cls, x.b1, x.b2, x.n, x.w * coalesce(c.target / nullif(sum(x.w * x.n) OVER (PARTITION BY {by}), 0), 1) AS w FROM {inner} x LEFT JOIN {sql_values(rows, names)} c ON {on})"
+    clipped = f"(SELECT * REPLACE (least(1, greatest(0, w)) AS w) FROM {inner})"
+    return (
+        f"t0 AS MATERIALIZED (SELECT cohort, cls, b1, b2, count(*) AS n FROM ({_CELLS}) GROUP BY ALL), "
+        f"r AS (SELECT 0 AS step, cohort, cls, b1, b2, n, {TAKEN}::DOUBLE / sum(n) OVER () AS w FROM t0 UNION ALL SELECT step + 1, cohort, cls, b1, b2, n, least(1, w * {TAKEN} / sum(w * n) OVER ())::DOUBLE AS w FROM {clipped}), "
+        f"raked AS MATERIALIZED (SELECT cohort, cls, b1, b2, n, w FROM r WHERE step = {rounds})"
+    )
+
+
+_RAKED = "SELECT cohort, CAST(cls AS BOOLEAN) AS pos, b1, b2, n, round(w, 6)::DOUBLE AS w FROM raked"
+
+
+def _rake(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    found = selection.inclusion_weights(F5, small_release(), F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN, rounds)
+    return found.select(F.col("_cohort").alias("cohort"), F.col("_pos").alias("pos"), F.col("_b_o_totalprice").cast("int").alias("b1"), F.col("_b_o_orderpriority").cast("int").alias("b2"), F.col("_n").alias("n"), r6(F.col("_w")).alias("w"))
+
+
+@query(f"WITH RECURSIVE {_sql_rake(1)} {_RAKED}")
 def rake_one_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.inclusion_weights(F5, small_release(), F5.coerce(fixtures.f5(spark, sf_dir)), TAKEN, rounds=1)
-    frame = spark.createDataFrame(found.rename(columns={"_cohort": "cohort", "_pos": "pos", "_b_o_totalprice": "b1", "_b_o_orderpriority": "b2", "_n": "n", "_w": "w"}))
-    return frame.select("cohort", "pos", F.col("b1").cast("int").alias("b1"), F.col("b2").cast("int").alias("b2"), "n", r6(F.col("w")).alias("w"))
+    return _rake(spark, sf_dir, 1)
+
+
+@query(f"WITH RECURSIVE {_sql_rake(selection.ROUNDS)} {_RAKED}")
+def rake_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rake(spark, sf_dir, selection.ROUNDS)
 
 
 def _f5_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.f5(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderpriority", "y")
 
 
-@query()
+SELECT_SEED = 7
+_START = ((SELECT_SEED * 0x9E3779B9 + 1) % (1 << 32) + 0.5) / (1 << 32)
+_SYSTEMATIC = (
+    f"{_sql_rake(selection.ROUNDS)}, "
+    f"scaled AS (SELECT *, w * {TAKEN} / sum(w * n) OVER () AS v FROM raked), "
+    "placed AS (SELECT *, sum(v * n) OVER (ORDER BY cohort, cls, b1, b2) - v * n AS ahead FROM scaled), "
+    f"ranked AS (SELECT o_orderkey, x.cohort, x.cls, x.b1, x.b2, ahead, v, row_number() OVER (PARTITION BY x.cohort, x.cls, x.b1, x.b2 ORDER BY {sql_uniform('o_orderkey', str(SELECT_SEED))}, o_orderkey) AS k FROM ({_CELLS}) x JOIN placed p USING (cohort, cls, b1, b2)), "
+    f"drawn AS MATERIALIZED (SELECT *, floor(ahead + k * v - {_START!r}) > floor(ahead + k * v - {_START!r} - v) AS taken FROM ranked)"
+)
+
+
+def _select(spark: SparkSession, sf_dir: str, refined: bool) -> DataFrame:
+    return selection.select_to_release(F5, small_release(), _f5_keyed(spark, sf_dir), TAKEN, "o_orderkey", seed=SELECT_SEED, sub_bin="generator", refined=refined)
+
+
+@query(f"WITH RECURSIVE {_SYSTEMATIC} SELECT o_orderkey FROM drawn WHERE taken")
+def systematic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(spark, sf_dir, False).select("o_orderkey")
+
+
+def _sql_swaps() -> str:
+    """CTEs up to ``final`` (i, taken): in each step of the recursion the swap that lowers the weighted distance most, of equal ones the first."""
+    cohort, balance, hist = _rake_targets()
+    code = {"small": 0, "large": 1}
+    rows = [(0, str(code[c]), t, 1.0) for c, t in cohort] + [(1, f"{code[c]}/{k}", t, 1.0) for c, k, t in balance]
+    rows += [(2 + i, f"{code[c]}/{k}/{b}", t, 1.0) for i, col in enumerate(F5.features) for c, k, b, t in hist[col]]
+    # values of a category that no histogram has
+    rows += [(3, f"{code[c]}/{k}/5", 0.0, 1.0) for c, k in (("small", 1), ("small", 0), ("large", -1))]
+    for i, (t, w) in enumerate(selection.pooled_targets(F5, small_release(), TAKEN)):
+        rows += [(4 + i, str(b), float(x), float(y)) for b, (x, y) in enumerate(zip(t, w, strict=True))]
+    member = ["CAST(CAST(cohort = 'large' AS INT) AS VARCHAR)", "concat_ws('/', CAST(cohort = 'large' AS INT), cls)", *(f"concat_ws('/', CAST(cohort = 'large' AS INT), {_KEY}, x.{b})" for b in ("b1", "b2")), "CAST(b1 AS VARCHAR)", "CAST(b2 AS VARCHAR)"]
+    return (
+        "u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cohort, cls, b1, b2) AS i, * FROM (SELECT cohort, cls, b1, b2, count(*) AS n, count_if(taken) AS t FROM drawn GROUP BY ALL)), "
+        f"asked AS MATERIALIZED {sql_values(rows, 'f, c, target, weight')}, "
+        f"m AS MATERIALIZED ({' UNION ALL '.join(f'SELECT i, {f} AS f, {c} AS c FROM u x' for f, c in enumerate(member))}), "
+        "s AS (SELECT 0 AS step, (SELECT list(t ORDER BY i) FROM u) AS taken UNION ALL SELECT step + 1, list_transform_step FROM ("
+        "WITH now AS (SELECT step, taken FROM s), "
+        "have AS (SELECT m.f, m.c, any_value(a.weight) AS w, sum(now.taken[m.i]) - any_value(a.target) AS d FROM now, m JOIN asked a ON a.f = m.f AND a.c = m.c GROUP BY ALL), "
+        "gain AS (SELECT m.i, sum(w * (abs(d) - abs(d - 1))) AS less, sum(w * (abs(d) - abs(d + 1))) AS more FROM m JOIN have h ON h.f = m.f AND h.c = m.c GROUP BY m.i), "
+        "shared AS (SELECT a.i, b.i AS j, sum(2 * w * greatest(0, 1 - abs(d))) AS extra FROM have h JOIN m a ON a.f = h.f AND a.c = h.c JOIN m b ON b.f = h.f AND b.c = h.c WHERE abs(d) < 1 GROUP BY a.i, b.i), "
+        "pairs AS (SELECT x.i, y.i AS j, round(x.less + y.more + coalesce(extra, 0), 9) AS value FROM now, gain x, gain y JOIN u ON u.i = y.i LEFT JOIN shared z ON z.i = x.i AND z.j = y.i WHERE x.i <> y.i AND now.taken[x.i] > 0 AND now.taken[y.i] < u.n), "
+        f"best AS (SELECT i, j FROM pairs WHERE value > 1e-9 ORDER BY value DESC, i, j LIMIT 1) "
+        f"SELECT step, [now.taken[k] - CAST(k = best.i AS INT) + CAST(k = best.j AS INT) FOR k IN range(1, len(now.taken) + 1)] AS list_transform_step FROM now, best WHERE step < {selection.ROUNDS * TAKEN})), "
+        "final AS (SELECT u.i, cohort, cls, b1, b2, x.taken[u.i] AS quota FROM u, (SELECT taken FROM s ORDER BY step DESC LIMIT 1) x)"
+    )
+
+
+@query(f"WITH RECURSIVE {_SYSTEMATIC}, {_sql_swaps()} SELECT o_orderkey, o_totalprice, o_orderpriority, y FROM drawn JOIN final USING (cohort, cls, b1, b2) JOIN {F5_SQL} USING (o_orderkey) WHERE k <= quota")
 def select_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.select_to_release(F5, small_release(), _f5_keyed(spark, sf_dir), TAKEN, "o_orderkey", seed=7, sub_bin="generator")
+    return _select(spark, sf_dir, True)
 
 
 @query(f"SELECT o_orderkey FROM orders ORDER BY {sql_uniform('o_orderkey', '11')}, o_orderkey LIMIT 300")

@@ -3,7 +3,8 @@
 A row's constraints depend on its cohort, its class and its bins only, so
 weights are raked over the distinct tuples of these with their multiplicities.
 A family of constraints (cohorts; classes; one column's bins) is disjoint: each
-round updates a family at a time, as a vector operation over the tuples.
+round updates a family at a time. Up to ``MOST_TUPLES`` tuples are raked as
+vectors on the driver; more stay in Spark (``spread``), by the same rule.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dpspark import domains
@@ -22,13 +23,15 @@ from dpspark.functions import binning
 from dpspark.functions.draw import uniform
 from dpspark.operators import counts
 from dpspark.operators.sampling import numbered
+from dpspark.plans import spread, swaps
 from dpspark.plans.release import Release
 from dpspark.schema import PublicSchema
+from dpspark.sources.tables import kept
 
 # Fixed values of the selection.
 ROUNDS, LEAST_EXPECTED, POOLED_WEIGHT, SUPPRESSED_WEIGHT, LEAST_COVER = 40, 1.0, 3.0, 30.0, 1.1
-#: Tuples that the driver may hold; a finer domain has to be coarsened.
-MOST_TUPLES = 1_000_000
+#: Tuples that the driver may hold, and that are broadcast.
+MOST_TUPLES, BROADCAST_TUPLES = 1_000_000, 100_000
 SUB_BINS = ("release", "generator")
 
 
@@ -41,13 +44,16 @@ def pool_cells(schema: PublicSchema, pool: DataFrame) -> DataFrame:
     return pool.withColumns({"_cohort": domains.cohort_key(schema), "_pos": schema.is_positive()} | parts)
 
 
-def tuples(schema: PublicSchema, cells: DataFrame) -> pd.DataFrame:
-    """The distinct tuples of a pool and how many rows each has."""
-    by = ["_cohort", "_pos", *(f"_b_{c}" for c in schema.features)]
+def keys(schema: PublicSchema) -> list[str]:
+    """The columns of a tuple, in order."""
+    return ["_cohort", "_pos", *(f"_b_{c}" for c in schema.features)]
+
+
+def tuples(schema: PublicSchema, cells: DataFrame) -> pd.DataFrame | None:
+    """The distinct tuples of a pool and how many rows each has; None if there are too many for the driver."""
+    by = keys(schema)
     found = cells.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(*by).limit(MOST_TUPLES + 1).toPandas()
-    if len(found) > MOST_TUPLES:
-        raise GenerationError(f"more than {MOST_TUPLES} different rows to weigh; use coarser bins")
-    return found
+    return None if len(found) > MOST_TUPLES else found
 
 
 @dataclass
@@ -58,38 +64,64 @@ class Family:
     target: np.ndarray
 
 
-def families(schema: PublicSchema, release: Release, t: pd.DataFrame, n: int, least: float = LEAST_EXPECTED) -> list[Family]:
-    """Constraints of the release on the sums of weights, in the order in which a row meets them."""
-    cohort, pos = t["_cohort"].to_numpy(), t["_pos"].to_numpy(bool)
+def bins_of(schema: PublicSchema, column: str) -> int:
+    """Places of a column in a tuple; the last one of a category is for values that are not released."""
+    return len(schema.edges(column)) - 1 if column in schema.numerical else len(schema.levels(column)) + 1
+
+
+def targets(schema: PublicSchema, release: Release, n: int, least: float) -> list[np.ndarray]:
+    """What the release asks of the sums of weights, by family: cohorts, classes, each column's bins. NaN: nothing."""
     total = sum(c["cohort_size"] for c in release.cohorts) or 1.0
-    place = {c["cohort_name"]: i for i, c in enumerate(release.cohorts)}
-    at = np.array([place.get(c, -1) for c in cohort])
     mass = np.array([n * c["cohort_size"] / total for c in release.cohorts])
     labels = (str(schema.positive), str(schema.negative))
-    side = np.where(pos, 0, 1)
     share = np.array([[c["class_balance"].get(v, 0.5) for v in labels] for c in release.cohorts])
-    out = [Family(at, mass), Family(np.where(at >= 0, at * 2 + side, -1), (mass[:, None] * share).reshape(-1))]
+    out = [mass, (mass[:, None] * share).reshape(-1)]
     for col in schema.features:
-        bins = len(schema.edges(col)) - 1 if col in schema.numerical else len(schema.levels(col)) + 1
-        targets = np.full((len(release.cohorts), 2, bins), np.nan)
+        asked = np.full((len(release.cohorts), 2, bins_of(schema, col)), np.nan)
         for i, c in enumerate(release.cohorts):
             for k, v in enumerate(labels):
-                block = c.get("by_class", {}).get(v, c)
-                if col in schema.numerical:
-                    h = np.asarray(block["numerical"][col]["proportions"], float)
-                else:  # the last place is for values that are not released: nothing of these
-                    h = np.array([*(float(block["categorical"][col].get(x, 0.0)) for x in schema.levels(col)), 0.0])
-                h = h / max(h.sum(), 1e-12)
+                h = shares_of(schema, c.get("by_class", {}).get(v, c), col)
                 if c.get("by_class"):
-                    targets[i, k] = mass[i] * share[i, k] * h
+                    asked[i, k] = mass[i] * share[i, k] * h
                 elif k == 0:
-                    targets[i, 0] = mass[i] * h
-        b = t[f"_b_{col}"].to_numpy() % bins
-        row = np.where(np.array([bool(c.get("by_class")) for c in release.cohorts])[at], side, 0)
-        out.append(Family(np.where(at >= 0, (at * 2 + row) * bins + b, -1), targets.reshape(-1)))
-    for f in out:
-        f.target = np.where((f.target == 0) | (f.target >= least), f.target, np.nan)
-    return out
+                    asked[i, 0] = mass[i] * h
+        out.append(asked.reshape(-1))
+    return [np.where((t == 0) | (t >= least), t, np.nan) for t in out]
+
+
+def shares_of(schema: PublicSchema, block: dict, column: str) -> np.ndarray:
+    if column in schema.numerical:
+        h = np.asarray(block["numerical"][column]["proportions"], float)
+    else:
+        h = np.array([*(float(block["categorical"][column].get(x, 0.0)) for x in schema.levels(column)), 0.0])
+    return h / max(h.sum(), 1e-12)
+
+
+def blocks_of(release: Release) -> list[bool]:
+    return [bool(c.get("by_class")) for c in release.cohorts]
+
+
+def families(schema: PublicSchema, release: Release, t: pd.DataFrame, n: int, least: float = LEAST_EXPECTED) -> list[Family]:
+    """Constraints of the release on the sums of weights, in the order in which a row meets them."""
+    place = {c["cohort_name"]: i for i, c in enumerate(release.cohorts)}
+    at = np.array([place.get(c, -1) for c in t["_cohort"]], int)
+    side = np.where(t["_pos"].to_numpy(bool), 0, 1)
+    row = np.where(np.array(blocks_of(release))[at], side, 0)
+    of = [at, np.where(at >= 0, at * 2 + side, -1)]
+    for col in schema.features:
+        bins = bins_of(schema, col)
+        of.append(np.where(at >= 0, (at * 2 + row) * bins + t[f"_b_{col}"].to_numpy() % bins, -1))
+    return [Family(a, target) for a, target in zip(of, targets(schema, release, n, least), strict=True)]
+
+
+def places(schema: PublicSchema) -> list[Column]:
+    """The same as columns of ``spread.placed`` tuples."""
+    at, row, side = F.col("_at"), F.col("_row"), F.when(F.col("_pos"), 0).otherwise(1)
+    of = [at, F.when(at >= 0, at * 2 + side).otherwise(-1)]
+    for col in schema.features:
+        bins = bins_of(schema, col)
+        of.append(F.when(at >= 0, (at * 2 + row) * bins + F.pmod(F.col(f"_b_{col}"), F.lit(bins))).otherwise(-1))
+    return of
 
 
 def rake(weights: np.ndarray, size: np.ndarray, found: list[Family], n: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -110,92 +142,96 @@ def rake(weights: np.ndarray, size: np.ndarray, found: list[Family], n: int, rou
     return w
 
 
-def inclusion_weights(schema: PublicSchema, release: Release, pool: DataFrame, n: int, rounds: int = ROUNDS, least: float = LEAST_EXPECTED) -> pd.DataFrame:
-    """The tuples of ``pool`` with their weight; tuples of a cohort that was not released get none."""
+def inclusion_weights(schema: PublicSchema, release: Release, pool: DataFrame, n: int, rounds: int = ROUNDS, least: float = LEAST_EXPECTED) -> DataFrame:
+    """The tuples of ``pool`` with their rows (``_n``) and weight (``_w``); tuples of a cohort that was not released get none."""
+    weighed = _weighed(schema, release, pool_cells(schema, pool), n, rounds, least)
+    return weighed.select(*keys(schema), "_n", "_w") if isinstance(weighed, DataFrame) else pool.sparkSession.createDataFrame(weighed)
+
+
+def _weighed(schema: PublicSchema, release: Release, cells: DataFrame, n: int, rounds: int, least: float = LEAST_EXPECTED) -> pd.DataFrame | DataFrame:
     if n <= 0:
         raise GenerationError("the number of rows has to be positive")
-    t = tuples(schema, pool_cells(schema, pool))
+    t = tuples(schema, cells)
+    if t is None:
+        rows = spread.placed(cells.groupBy(*keys(schema)).agg(F.count("*").alias("_n")), [c["cohort_name"] for c in release.cohorts], blocks_of(release))
+        return spread.raked(rows, places(schema), targets(schema, release, n, least), n, rounds)
     size = t["_n"].to_numpy(float)
     found = families(schema, release, t, n, least)
     start = np.where(found[0].of >= 0, min(1.0, n / max(size.sum(), 1.0)), 0.0)
     return t.assign(_w=rake(start, size, found, n, rounds))
 
 
-def systematic(cells: DataFrame, weighed: pd.DataFrame, n: int, key: str, start: float, seed: int) -> DataFrame:
+def _with_tuples(cells: DataFrame, small: DataFrame, by: list[str], number: int) -> DataFrame:
+    return cells.join(F.broadcast(small) if number <= BROADCAST_TUPLES else small, by)
+
+
+def systematic(cells: DataFrame, weighed: pd.DataFrame | DataFrame, n: int, key: str, start: float, seed: int) -> DataFrame:
     """Rows that a systematic sample takes: one wherever the running sum of weights passes another whole number.
 
     Rows of one tuple follow one another, so only the tuples' prefix sums are
     global; a row's place within its tuple is by a hash of ``key``.
     """
-    by = [c for c in weighed.columns if c not in ("_n", "_w")]
-    # clipped weights don't add up to n any more
-    whole = float((weighed["_w"] * weighed["_n"]).sum())
-    weighed = weighed.assign(_w=weighed["_w"] * (n / whole if whole > 0 else 1.0))
-    ahead = weighed.assign(_ahead=(weighed["_w"] * weighed["_n"]).cumsum() - weighed["_w"] * weighed["_n"])
-    small = cells.sparkSession.createDataFrame(ahead[[*by, "_w", "_ahead"]])
-    rows = cells.join(F.broadcast(small) if len(ahead) <= 100_000 else small, by)
+    if isinstance(weighed, DataFrame):
+        by = [c for c in weighed.columns if c not in ("_n", "_w", "_at", "_row")]
+        # clipped weights don't add up to n any more
+        whole = weighed.agg(F.sum(F.col("_w") * F.col("_n"))).first()[0] or 0.0
+        scaled = weighed.select(*by, "_n", (F.col("_w") * (n / whole if whole > 0 else 1.0)).alias("_w"))
+        rows = cells.join(spread.ahead(scaled, by, F.col("_w") * F.col("_n"), "_ahead").drop("_n"), by)
+    else:
+        by = [c for c in weighed.columns if c not in ("_n", "_w")]
+        whole = float((weighed["_w"] * weighed["_n"]).sum())
+        weighed = weighed.assign(_w=weighed["_w"] * (n / whole if whole > 0 else 1.0))
+        ahead = weighed.assign(_ahead=(weighed["_w"] * weighed["_n"]).cumsum() - weighed["_w"] * weighed["_n"])
+        rows = _with_tuples(cells, cells.sparkSession.createDataFrame(ahead[[*by, "_w", "_ahead"]]), by, len(ahead))
     upto = F.col("_ahead") + F.col("_rank") * F.col("_w") - start
     ranked = numbered(rows.withColumnRenamed("_ahead", "_before"), uniform(F.col(key), seed), "_rank", by, [key]).withColumnRenamed("_before", "_ahead")
     return ranked.withColumn("_upto", upto).where(F.floor("_upto") > F.floor(F.col("_upto") - F.col("_w"))).drop("_upto", "_w", "_ahead", "_rank")
 
 
-def objective(schema: PublicSchema, release: Release, t: pd.DataFrame, n: int) -> list[tuple[Family, np.ndarray]]:
-    """What ``refine`` lowers the distance to: the cells of each cohort and class, and, weighing more, the marginals over all cohorts that they imply."""
-    own = families(schema, release, t, n, 0.0)
-    out = [(f, np.ones(len(f.target))) for f in own]
-    total = sum(c["cohort_size"] for c in release.cohorts) or 1.0
+def pooled_targets(schema: PublicSchema, release: Release, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(target, weight) of each column's bins over all cohorts, which the release implies."""
+    out, total = [], sum(c["cohort_size"] for c in release.cohorts) or 1.0
     for col in schema.features:
-        if col in schema.numerical:
-            shares = [np.asarray(c["numerical"][col]["proportions"], float) for c in release.cohorts]
-        else:  # the last place is for values that no cohort has released
-            shares = [np.array([*(float(c["categorical"][col].get(v, 0.0)) for v in schema.levels(col)), 0.0]) for c in release.cohorts]
-        target = n * sum(c["cohort_size"] / total * h / max(h.sum(), 1e-12) for c, h in zip(release.cohorts, shares, strict=True))
+        target = n * sum(c["cohort_size"] / total * shares_of(schema, c, col) for c in release.cohorts)
         weight = np.full(len(target), POOLED_WEIGHT)
         if col in schema.categorical:
             weight[target == 0] = SUPPRESSED_WEIGHT
+        out.append((target, weight))
+    return out
+
+
+def objective(schema: PublicSchema, release: Release, t: pd.DataFrame, n: int) -> list[tuple[Family, np.ndarray]]:
+    """What ``refine`` lowers the distance to: the cells of each cohort and class, and, weighing more, the marginals over all cohorts that they imply."""
+    out = [(f, np.ones(len(f.target))) for f in families(schema, release, t, n, 0.0)]
+    for col, (target, weight) in zip(schema.features, pooled_targets(schema, release, n), strict=True):
         out.append((Family(t[f"_b_{col}"].to_numpy() % len(target), target), weight))
     return out
 
 
-def refine(weighed: pd.DataFrame, found: list[tuple[Family, np.ndarray]], taken: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Swaps single rows between tuples, the best swap of all each time, while the weighted distance from ``found`` falls. taken: rows of each tuple.
+def refine(weighed: pd.DataFrame, found: list[tuple[Family, np.ndarray]], taken: np.ndarray, most: int | None = None, n: int | None = None) -> np.ndarray:
+    """Rows taken of each tuple after single rows were swapped, the best swap of all each time, while the weighted distance from ``found`` falls.
 
-    A swap gains what either row does alone, and more where both meet a
-    constraint that is within one row of its target: by at most ``slack``, so
-    tuples that can't make up for that are not looked at.
+    Where ``taken`` has more or fewer than ``n`` rows, the best rows go or come first.
     """
-    size, taken = weighed["_n"].to_numpy(), taken.copy()
-    held = [(f.of, np.maximum(f.of, 0), f.of >= 0, np.where(np.isnan(f.target), 0.0, f.target), np.where(np.isnan(f.target), 0.0, w)) for f, w in found]
-    have = [np.bincount(at[met], taken[met], len(target)) for _, at, met, target, _ in held]
-    known = found[0][0].of >= 0
-    for _ in range(ROUNDS * int(taken.sum()) if most is None else most):
-        less, more, shared = np.zeros(len(size)), np.zeros(len(size)), []
-        for (_, at, met, target, w), h in zip(held, have, strict=True):
-            now = np.abs(h - target)
-            less += np.where(met, (w * (now - np.abs(h - 1 - target)))[at], 0.0)
-            more += np.where(met, (w * (now - np.abs(h + 1 - target)))[at], 0.0)
-            shared.append(2 * w * np.maximum(0.0, 1 - now))
-        less, more = np.where(taken > 0, less, -np.inf), np.where((taken < size) & known, more, -np.inf)
-        slack, top, best = sum(float(x.max()) for x in shared), float(more.max()), (1e-9, -1, -1)
-        for i in np.argsort(-less):
-            if less[i] + top + slack <= best[0]:
-                break
-            value = less[i] + more
-            for (of, at, met, _, _), extra in zip(held, shared, strict=True):
-                if met[i] and extra[at[i]]:
-                    value = value + np.where(of == of[i], extra[at[i]], 0.0)
-            value[i] = -np.inf
-            j = int(value.argmax())
-            if value[j] > best[0]:
-                best = float(value[j]), int(i), j
-        _, i, j = best
-        if i < 0:
-            break
-        taken[i], taken[j] = taken[i] - 1, taken[j] + 1
-        for (_, at, met, _, _), h in zip(held, have, strict=True):
-            h[at[i]] -= met[i]
-            h[at[j]] += met[j]
-    return taken
+    of = np.stack([f.of for f, _ in found])
+    pool = swaps.Held(of, weighed["_n"].to_numpy(), taken, found[0][0].of >= 0)
+    have = [np.bincount(f.of[f.of >= 0], taken[f.of >= 0], len(f.target)) for f, _ in found]
+    swaps.refine(pool, [(f.target, w) for f, w in found], have, 0 if n is None else n - int(taken.sum()), ROUNDS * int(taken.sum()) if most is None else most)
+    return pool.taken
+
+
+def refined_tuples(schema: PublicSchema, release: Release, weighed: DataFrame, taken: DataFrame, n: int) -> DataFrame:
+    """The tuples of ``weighed`` with the rows that are taken of each (``_taken``), by the same rule, without bringing them to the driver."""
+    by = keys(schema)
+    rows = kept(weighed.join(taken.groupBy(*by).agg(F.count("*").cast("int").alias("_taken")), by, "left").fillna(0, ["_taken"]).drop("_w"))
+    pooled = pooled_targets(schema, release, n)
+    of = [*places(schema), *(F.pmod(F.col(f"_b_{c}"), F.lit(len(t))) for c, (t, _) in zip(schema.features, pooled, strict=True))]
+    found = [*((t, np.ones(len(t))) for t in targets(schema, release, n, 0.0)), *pooled]
+    have = [spread.sums(rows, at, F.col("_taken"), len(t)) for at, (t, _) in zip(of, found, strict=True)]
+    total = int(rows.agg(F.sum("_taken")).first()[0] or 0)
+    pool = swaps.Spread(rows, by, of, F.col("_at") >= 0)
+    swaps.refine(pool, found, have, n - total, ROUNDS * n)
+    return pool.current()
 
 
 def pool_coverage(release: Release, schema: PublicSchema, pool: DataFrame, n: int) -> DataFrame:
@@ -256,19 +292,19 @@ def select_to_release(schema: PublicSchema, release: Release, pool: DataFrame, n
             raise GenerationError(f"{said}; generate more or allow a short pool")
         warnings.warn(said, stacklevel=2)
     cells = pool_cells(effective, pool)
-    weighed = inclusion_weights(effective, release, pool, n, rounds)
+    weighed = _weighed(effective, release, cells, n, rounds)
     start = ((seed * 0x9E3779B9 + 1) % (1 << 32) + 0.5) / (1 << 32)
-    taken = systematic(cells, weighed, n, key, start, seed)
-    by = [c for c in weighed.columns if c not in ("_n", "_w")]
+    taken, by = systematic(cells, weighed, n, key, start, seed), keys(effective)
     if refined:
-        drawn = taken.groupBy(*by).agg(F.count("*").alias("_taken")).toPandas()
-        t = weighed.merge(drawn, on=by, how="left")
-        number = t["_taken"].fillna(0).to_numpy(int)
-        if number.sum() == n:
-            t = t.assign(_taken=refine(weighed, objective(effective, release, weighed, n), number))
+        if isinstance(weighed, DataFrame):
+            rows = cells.join(refined_tuples(effective, release, weighed, taken, n).where("_taken > 0").select(*by, "_taken"), by)
+        else:
+            drawn = taken.groupBy(*by).agg(F.count("*").alias("_taken")).toPandas()
+            number = weighed.merge(drawn, on=by, how="left")["_taken"].fillna(0).to_numpy(int)
+            t = weighed.assign(_taken=refine(weighed, objective(effective, release, weighed, n), number, n=n))
             small = pool.sparkSession.createDataFrame(t.loc[t["_taken"] > 0, [*by, "_taken"]])
-            rows = cells.join(F.broadcast(small) if len(t) <= 100_000 else small, by)
-            taken = numbered(rows, uniform(F.col(key), seed), "_rank", by, [key]).where("_rank <= _taken").drop("_rank", "_taken")
+            rows = _with_tuples(cells, small, by, len(t))
+        taken = numbered(rows, uniform(F.col(key), seed), "_rank", by, [key]).where("_rank <= _taken").drop("_rank", "_taken")
     out = taken.select(pool.columns)
     return sub_bin_redraw(effective, release, out, key, seed) if sub_bin == "release" else out
 
