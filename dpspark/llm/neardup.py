@@ -35,6 +35,8 @@ DISTANCE = 41
 STARS = 3
 #: Keys with more members than FEW are worked off in blocks of about BLOCK.
 FEW, BLOCK = 16, 512
+#: Counters of shingles in large keys, as a power of two.
+COUNTERS = 18
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(8)
 _MUL = _rng.integers(0, 1 << 32, (SLOTS, 1), np.uint32) | np.uint32(1)
@@ -177,20 +179,63 @@ def _star_edges(left: DataFrame, folder: str) -> DataFrame:
     return between.union(least.select("a", F.col("node").alias("b"))).where("a <> b").distinct()
 
 
+def _slots(group: np.ndarray, sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """For each shingle of each set the counter that it has together with others of all groups."""
+    of = np.repeat(mix(group.astype(np.uint64)), [len(s) for s in sets])
+    return (mix(np.concatenate(sets).view(np.uint64) ^ of) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    return batch["group"].to_numpy(zero_copy_only=False), [x.values.to_numpy(zero_copy_only=False) for x in batch["shingles"]]
+
+
+def _counted(bits: int):
+    """What a task's sets add to the counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(_slots(*_sets_of(batch), bits), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(often, bits: int, similarity: int):
+    """Each set's rarest shingles, without those that no other set can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            group, sets = _sets_of(batch)
+            n = often.value[_slots(group, sets, bits)]
+            out, ends = [], np.cumsum([0, *map(len, sets)])
+            for s, a, b in zip(sets, ends, ends[1:], strict=False):
+                order = np.lexsort((s, n[a:b]))[: len(s) + (-len(s) * similarity // 100) + 1]
+                out.append(s[order[n[a:b][order] > 1]])
+            size = [len(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)), pa.array(np.repeat(batch["node"].to_numpy(zero_copy_only=False), size)), pa.array(np.concatenate(out))], names=["group", "node", "shingle"])
+
+    return run
+
+
 def _with_rare_shingle(dealt: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Of the nodes (group, node, n), those that can be similar to another one of their group.
+    """Of the nodes (group, node), those that can be similar to another one of their group.
 
-    Of similar sets at least one shingle is among both sets' n - least + 1
-    rarest ones, where least is the overlap that n needs. So a node goes whose
-    rarest shingles no other node has among its own.
+    Of similar sets at least one shingle is among both sets' first n - least + 1
+    ones, in any order of all shingles, where least is the overlap that n needs.
+    So a node goes whose first shingles no other node has among its own. Rare
+    ones come first, by counters of which a fixed number is shared by all
+    shingles: that a counter is shared makes the order worse, not wrong.
     """
-    every = sets.join(dealt.select("group", "node", "n"), "node").select("group", "node", (F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).alias("prefix"), F.explode("shingles").alias("shingle"))
-    often = every.groupBy("group", "shingle").agg(F.count("*").alias("often")).where("often > 1")
-    shared = every.join(often, ["group", "shingle"])
-    # shingles that only one node has are its rarest
-    alone = every.groupBy("group", "node").agg(F.count("*").alias("n")).join(shared.groupBy("group", "node").agg(F.count("*").alias("met")), ["group", "node"]).select("group", "node", (F.col("n") - F.col("met")).alias("alone"))
-    rank = F.row_number().over(Window.partitionBy("group", "node").orderBy("often", "shingle"))
-    rarest = shared.withColumn("rank", rank).join(alone, ["group", "node"]).where("rank + alone <= prefix").select("group", "node", "shingle")
+    every = dealt.select("group", "node").join(sets, "node").select("group", "node", "shingles")
+    found = every.mapInArrow(_counted(COUNTERS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << COUNTERS, np.int64)
+    often[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    rarest = every.mapInArrow(_prefixes(dealt.sparkSession.sparkContext.broadcast(often), COUNTERS, similarity), "group long, node long, shingle long")
     again = rarest.groupBy("group", "shingle").agg(F.count("*").alias("often")).where("often > 1").select("group", "shingle")
     return rarest.join(again, ["group", "shingle"], "left_semi").select("group", "node").distinct()
 
@@ -198,7 +243,7 @@ def _with_rare_shingle(dealt: DataFrame, sets: DataFrame, similarity: int) -> Da
 def _in_blocks(left: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, folder: str) -> DataFrame:
     """Links across components among nodes that share a large key. left: (key, node, label)."""
     group = components(_star_edges(left, folder), f"{folder}/groups").select("node", F.col("label").alias("group"))
-    group = written(group.join(nodes.select("node", "n"), "node"), folder, "group")
+    group = written(group, folder, "group")
     group = written(_with_rare_shingle(group, sets, similarity), folder, "rare")
     size = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = group.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
