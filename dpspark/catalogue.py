@@ -323,14 +323,35 @@ def noisy_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", "cell", support.alias("support"), F.round(F.least(F.lit(1.0), F.col("n_pos") / support), 5).alias("rate"))
 
 
-@query(
-    f"WITH l AS {sql_values(F6, 'epsilon, composition, partition, grp')}, p AS (SELECT grp, partition, sum(epsilon) AS own FROM l WHERE composition = 'parallel' GROUP BY ALL), "
-    "m AS (SELECT a.grp, a.partition, sum(b.own) AS cost FROM p a JOIN p b ON a.grp = b.grp AND (a.partition = b.partition OR starts_with(a.partition, b.partition || '/') OR b.partition = '') GROUP BY ALL) "
-    "SELECT round((SELECT sum(cost) FROM (SELECT grp, max(cost) AS cost FROM m GROUP BY grp)) + (SELECT sum(epsilon) FROM l WHERE composition = 'sequential'), 6)::DOUBLE AS total"
+#: A ledger of real cells: a count for each flag and status, below it one for each quantity, and one query on every ship date's month.
+_LEDGER = (
+    "(SELECT 0.01 * (1 + count(*) % 7) AS epsilon, 'parallel' AS composition, l_returnflag || '/' || l_linestatus AS partition, 'marginals' AS grp FROM lineitem GROUP BY l_returnflag, l_linestatus "
+    "UNION ALL SELECT 0.001 * (1 + count(*) % 5), 'parallel', l_returnflag || '/' || l_linestatus || '/' || CAST(CAST(l_quantity AS INT) AS {text}), 'marginals' FROM lineitem GROUP BY l_returnflag, l_linestatus, CAST(l_quantity AS INT) "
+    "UNION ALL SELECT 0.002, 'parallel', l_returnflag, 'marginals' FROM lineitem GROUP BY l_returnflag "
+    "UNION ALL SELECT 0.003, 'parallel', '', 'marginals' FROM (SELECT count(*) FROM lineitem) "
+    "UNION ALL SELECT 0.0001 * (1 + count(*) % 3), 'parallel', 'q' || CAST(CAST(l_quantity AS INT) AS {text}), 'counts' FROM lineitem GROUP BY CAST(l_quantity AS INT) "
+    "UNION ALL SELECT 0.0005, 'sequential', '', 'discounts' FROM lineitem GROUP BY l_discount UNION ALL SELECT 0.0007, 'sequential', '', 'marginals' FROM lineitem GROUP BY l_tax)"
+)
+_LINEAGE = (
+    f"WITH l AS {_LEDGER.format(text='VARCHAR')}, p AS (SELECT grp, partition, sum(epsilon) AS own FROM l WHERE composition = 'parallel' GROUP BY ALL), "
+    "m AS (SELECT a.grp, a.partition, sum(b.own) AS cost FROM p a JOIN p b ON a.grp = b.grp AND (a.partition = b.partition OR starts_with(a.partition, b.partition || '/') OR b.partition = '') GROUP BY ALL), "
+    "g AS (SELECT grp, round(coalesce(sum(epsilon) FILTER (composition = 'sequential'), 0), 6)::DOUBLE AS sequential_sum, round(coalesce((SELECT max(cost) FROM m WHERE m.grp = l.grp), 0), 6)::DOUBLE AS parallel_cost, "
+    "(SELECT count(*) FROM p WHERE p.grp = l.grp)::BIGINT AS n_partitions, count(*)::BIGINT AS n_queries FROM l GROUP BY grp) "
 )
+
+
+def _ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_LEDGER.format(text="STRING").replace("lineitem", "{lines}")[1:-1], lines=fixtures.f1(spark, sf_dir))
+
+
+@query(f"{_LINEAGE} SELECT round(sum(sequential_sum + parallel_cost), 6)::DOUBLE AS total FROM g")
 def ledger_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = domains.frame(spark, F6, "epsilon double, composition string, partition string, grp string")
-    return ledger.ledger_total(rows).select(r6(F.col("total")).alias("total"))
+    return ledger.ledger_total(_ledger_rows(spark, sf_dir)).select(r6(F.col("total")).alias("total"))
+
+
+@query(f"{_LINEAGE} SELECT *, round(sequential_sum + parallel_cost, 6)::DOUBLE AS group_total FROM g")
+def ledger_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.audit_rollup(_ledger_rows(spark, sf_dir)).select("grp", *(r6(F.col(c)).alias(c) for c in ("sequential_sum", "parallel_cost", "group_total")), "n_partitions", "n_queries")
 
 
 # -- quotas -----------------------------------------------------------------------------
@@ -532,6 +553,32 @@ def select_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, True)
 
 
+#: A level of 10.7 million cells, of which few have rows.
+WIDE = PublicSchema(
+    "lineitem, wide",
+    {"l_quantity": (1, 50), "l_extendedprice": (900, 105000), "l_discount": (0, 0.1), "l_tax": (0, 0.08), "l_linenumber": (1, 8)},
+    {"l_returnflag": ["A", "N", "R"]},
+    "l_linestatus", "O", "F",
+    bins={"l_linenumber": list(range(1, 9)), "l_quantity": list(range(1, 51)), "l_extendedprice": [*(900 + 801 * i for i in range(130)), 105000], "l_discount": [round(0.01 * i, 2) for i in range(11)], "l_tax": [round(0.01 * i, 2) for i in range(9)]},
+    conditional=[("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_returnflag")],
+)
+
+
+def _sql_wide() -> str:
+    at = "0"
+    for c in WIDE.conditional[0]:
+        if c in WIDE.numerical:
+            at = f"({at} * {len(WIDE.edges(c)) - 1} + {SQL_BIN['cell'](c, WIDE.edges(c))})"
+        else:
+            at = f"({at} * 3 + CASE {c} WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)"
+    return f"SELECT {at}::BIGINT AS at, count(*)::BIGINT AS n, count_if(l_linestatus = 'O')::BIGINT AS n_pos FROM lineitem GROUP BY 1"
+
+
+@query(_sql_wide())
+def occupied_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.occupied(WIDE, WIDE.coerce(fixtures.f1(spark, sf_dir)), WIDE.conditional[0])
+
+
 @query(f"SELECT o_orderkey FROM orders ORDER BY {sql_uniform('o_orderkey', '11')}, o_orderkey LIMIT 300")
 def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.simple_sample(fixtures.read(spark, sf_dir, "orders"), "o_orderkey", 300, 11).select("o_orderkey")

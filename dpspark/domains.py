@@ -11,7 +11,7 @@ from dpspark.errors import DomainTooLargeError
 from dpspark.functions import binning
 from dpspark.schema import PublicSchema
 
-#: Cells of a level; a larger one has to be coarsened.
+#: Cells of a level that are listed; of a larger one only the occupied and the released ones are.
 MOST_CELLS = 1_000_000
 ALL, JOIN, EVERY = "all", " & ", "*"
 
@@ -75,17 +75,54 @@ def cells(schema: PublicSchema, level: tuple[str, ...]) -> list[str]:
     return sorted(JOIN.join(x) for x in product(*parts))
 
 
+def level_size(schema: PublicSchema, level: tuple[str, ...]) -> int:
+    """Cells of a level."""
+    n = 1
+    for c in level:
+        n *= len(schema.edges(c)) - 1 if c in schema.numerical else len(schema.levels(c, coarse=True))
+    return n
+
+
+def cell_at(schema: PublicSchema, level: tuple[str, ...]) -> Column:
+    """A row's cell as a whole number below ``level_size``; null outside the public domain."""
+    at = F.lit(0).cast("long")
+    for c in level:
+        if c in schema.numerical:
+            edges = schema.edges(c)
+            n, place = len(edges) - 1, binning.cell(F.col(c), edges)
+        else:
+            values = schema.levels(c, coarse=True)
+            n, place = len(values), F.array_position(F.array(*map(F.lit, values)), _coarse(schema, c)) - 1
+        at = at * n + F.when(place >= 0, place)
+    return at
+
+
+def cell_name(schema: PublicSchema, level: tuple[str, ...], at: int) -> str:
+    """The name of a cell by its number."""
+    names = []
+    for c in reversed(level):
+        parts = cell_parts(schema, c)
+        at, k = divmod(at, len(parts))
+        names.append(parts[k])
+    return JOIN.join(reversed(names)) or EVERY
+
+
+def _coarse(schema: PublicSchema, column: str) -> Column:
+    """A category, or the group that it is coarsened to."""
+    value = F.col(column)
+    if groups := schema.coarsen.get(column):
+        table = F.create_map(*(F.lit(str(x)) for pair in groups.items() for x in pair))
+        value = F.coalesce(table[value], value)
+    return value
+
+
 def cell_part(schema: PublicSchema, column: str) -> Column:
     """A row's part of a cell's name for one column."""
     if column in schema.numerical:
         edges = schema.edges(column)
         labels = F.array(*(F.lit(binning.cell_label(column, edges, i)) for i in range(len(edges) - 1)))
         return F.get(labels, binning.cell(F.col(column), edges))
-    value = F.col(column)
-    if groups := schema.coarsen.get(column):
-        table = F.create_map(*(F.lit(str(x)) for pair in groups.items() for x in pair))
-        value = F.coalesce(table[value], value)
-    return F.concat(F.lit(f"{column}="), value)
+    return F.concat(F.lit(f"{column}="), _coarse(schema, column))
 
 
 def cell_key(schema: PublicSchema, level: tuple[str, ...]) -> Column:

@@ -19,9 +19,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OUTSIDE = -1
+#: Edges beyond which comparisons go over an array: as a sum they would be too long for one method.
+MANY = 32
 
 
 def _steps(value: Column, edges: Sequence[float], above) -> Column:
+    if len(edges) > MANY:
+        return F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: above(value, e)))
     total = F.lit(0)
     for e in edges:
         total = total + above(value, F.lit(float(e))).cast("int")

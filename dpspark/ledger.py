@@ -53,7 +53,7 @@ def _cost(queries: list[Query]) -> float:
     for q in queries:
         if q.composition == PARALLEL:
             own[q.partition] += q.epsilon
-    lineage = [sum(e for p, e in own.items() if key[: len(p)] == p) for key in own]
+    lineage = [sum(own.get(key[:k], 0.0) for k in range(len(key) + 1)) for key in own]
     return total + max(lineage, default=0.0)
 
 
@@ -133,15 +133,33 @@ class PrivacyLedger:
         return spark.createDataFrame(rows, "seq int, name string, kind string, epsilon double, sensitivity double, composition string, partition string, grp string, noise_scale double, ts string")
 
 
+def lineages(entries: DataFrame) -> DataFrame:
+    """(grp, partition, own, cost) of every parallel partition: its own epsilon, and that of its lineage.
+
+    A partition's parents are its prefixes up to a ``/``, and the empty one. Each
+    partition is sent to its parents' sums, so that no two partitions meet that
+    are not kin.
+    """
+    own = entries.where(F.col("composition") == PARALLEL).groupBy("grp", "partition").agg(F.sum("epsilon").alias("own"))
+    parts = F.split("partition", "/")
+    line = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+    asked = own.select("grp", "partition", "own", F.explode(line).alias("parent"))
+    above = own.select("grp", F.col("partition").alias("parent"), F.col("own").alias("part"))
+    return asked.join(above, ["grp", "parent"]).groupBy("grp", "partition").agg(F.first("own").alias("own"), F.sum("part").alias("cost"))
+
+
+def audit_rollup(entries: DataFrame) -> DataFrame:
+    """(grp, sequential_sum, parallel_cost, group_total, n_partitions, n_queries) of ledger rows (epsilon, composition, partition, grp)."""
+    most = lineages(entries).groupBy("grp").agg(F.max("cost").alias("parallel_cost"), F.count("*").alias("n_partitions"))
+    sequential = F.sum(F.when(F.col("composition") == SEQUENTIAL, F.col("epsilon")).otherwise(0.0))
+    rows = entries.groupBy("grp").agg(sequential.alias("sequential_sum"), F.count("*").alias("n_queries")).join(most, "grp", "left")
+    cost = F.coalesce("parallel_cost", F.lit(0.0))
+    return rows.select("grp", "sequential_sum", cost.alias("parallel_cost"), (F.col("sequential_sum") + cost).alias("group_total"), F.coalesce("n_partitions", F.lit(0).cast("long")).alias("n_partitions"), "n_queries")
+
+
 def ledger_total(entries: DataFrame) -> DataFrame:
-    """(total) of ledger rows (epsilon, composition, partition, grp); a partition's parents are its prefixes up to a ``/``."""
-    parallel = entries.where(F.col("composition") == PARALLEL).groupBy("grp", "partition").agg(F.sum("epsilon").alias("own"))
-    above = parallel.select("grp", F.col("partition").alias("parent"), F.col("own").alias("cost"))
-    part = F.col("partition")
-    lineage = parallel.join(above, "grp").where((part == F.col("parent")) | part.startswith(F.concat("parent", F.lit("/"))) | (F.col("parent") == ""))
-    most = lineage.groupBy("grp", "partition").agg(F.sum("cost").alias("cost")).groupBy("grp").agg(F.max("cost").alias("cost"))
-    added = entries.where(F.col("composition") == SEQUENTIAL).groupBy("grp").agg(F.sum("epsilon").alias("cost"))
-    return most.unionByName(added).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total"))
+    """(total) of ledger rows (epsilon, composition, partition, grp): what its groups cost together."""
+    return audit_rollup(entries).agg(F.coalesce(F.sum("group_total"), F.lit(0.0)).alias("total"))
 
 
 def per_person(most_rows: int, epsilon: float, acknowledged: bool) -> str | None:

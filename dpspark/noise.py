@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import secrets
+from collections.abc import Iterator
 
 _SECURE = secrets.SystemRandom()
 
@@ -29,6 +30,20 @@ class Noise:
             if u > -0.5:
                 return laplace(scale, u)
 
+    def above(self, gate: float, scale: float) -> float:
+        """Laplace noise that is known to be ``gate`` or more, which is 0 at least: beyond it, it is exponential."""
+        self.scales.append(scale)
+        return gate - scale * math.log1p(-self._random.random())
+
+    def places(self, total: int, gate: float, scale: float) -> Iterator[int]:
+        """The places from 0 to ``total`` at which Laplace noise is ``gate`` or more, each by itself; what lies between is skipped at once."""
+        chance, at = math.exp(-gate / scale) / 2, -1
+        while True:
+            at += 1 + int(min(total, math.log1p(-self._random.random()) / math.log1p(-chance))) if chance > 0 else total + 1
+            if at >= total:
+                return
+            yield at
+
     def discrete_laplace(self, scale: float) -> int:
         """The difference of two geometric numbers: whole, and free of the gaps of floating point."""
         self.scales.append(scale)

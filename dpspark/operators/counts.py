@@ -78,6 +78,12 @@ def level_counts(schema: PublicSchema, df: DataFrame) -> DataFrame:
     return F.broadcast(every).join(found, ["level", "cell"], "left").select("level", "cell", F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"))
 
 
+def occupied(schema: PublicSchema, df: DataFrame, level: tuple[str, ...]) -> DataFrame:
+    """(at, n, n_pos) of the cells of a level that have rows, by ``domains.cell_at``; the level is never listed."""
+    keyed = df.select(domains.cell_at(schema, level).alias("at"), schema.is_positive().alias("positive")).where("at IS NOT NULL")
+    return keyed.groupBy("at").agg(F.count("*").alias("n"), F.count_if("positive").alias("n_pos"))
+
+
 def contingency(schema: PublicSchema, df: DataFrame) -> DataFrame:
     """(col, bin, n_pos, n_neg) of every feature; numbers by intervals, -1 for values that are in none."""
     rows = df.select(schema.is_positive().alias("positive"), F.explode(_places(schema, binning.interval)).alias("p"))

@@ -40,9 +40,34 @@ def numbered(df: DataFrame, order: Column, name: str, by: Sequence[str] = (), ti
     return ranked.join(ahead, met).withColumns(out).select(*(c for c in df.columns if c not in out), *out)
 
 
+#: Ranges that a draw, which has 32 bits, is counted by at a time: its upper half, then the lower half within one range.
+HALF = 1 << 16
+
+
 def simple_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows (or all), the smallest by a hash of ``key``."""
-    return df.orderBy(uniform(F.col(key), seed), key).limit(n)
+    """Exactly ``n`` rows (or all), the smallest by a hash of ``key``.
+
+    Draws are counted by ranges; the rows below the range in which the n-th row
+    lies are taken by a filter, and only rows of that range are put in order. A
+    range of more than ``GROUP_ROWS`` rows is counted by narrower ranges first.
+    """
+    u = uniform(F.col(key), seed)
+    low, width, left = 0.0, 1.0, n
+    for _ in range(2):
+        width /= HALF
+        inside = df.where((u >= low) & (u < low + width * HALF))
+        sizes = dict(inside.groupBy(F.floor((u - low) / width).cast("int").alias("k")).count().collect())
+        for k in sorted(sizes):
+            if left <= sizes[k]:
+                low += k * width
+                break
+            left -= sizes[k]
+        else:
+            return df if n > 0 else df.where("false")
+        if sizes[k] <= GROUP_ROWS:
+            break
+    last = df.where((u >= low) & (u < low + width)).orderBy(u, key).limit(left)
+    return df.where(u < low).unionByName(last)
 
 
 def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:

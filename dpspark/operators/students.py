@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpspark.functions.draw import uniform
@@ -37,32 +41,44 @@ def pipeline(schema: PublicSchema, student) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="_x"), student])
 
 
-#: Ranges of scores that are ranked apart.
-PARTS = 64
-
-
 def labelled(schema: PublicSchema, df: DataFrame) -> DataFrame:
     return schema.coerce(df).withColumn("_y", schema.is_positive().cast("double"))
 
 
+def _by_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positives and negatives of each score of a batch."""
+    for batch in batches:
+        s, at = np.unique(batch["s"].to_numpy(zero_copy_only=False), return_inverse=True)
+        p = batch["p"].to_numpy(zero_copy_only=False).astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.bincount(at[p], minlength=len(s))), pa.array(np.bincount(at[~p], minlength=len(s)))], names=["s", "p", "n"])
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of scores: its least one, its positives and negatives, and the pairs within it that are in order (ties: half)."""
+    parts = [b for b in batches if len(b)]
+    if parts:
+        s, p, n = (np.concatenate([b[c].to_numpy() for b in parts]) for c in ("s", "p", "n"))
+        s, at = np.unique(s, return_inverse=True)
+        p, n = (np.bincount(at, x, len(s)) for x in (p, n))
+        yield pa.RecordBatch.from_arrays([pa.array(s[:1]), pa.array([p.sum()]), pa.array([n.sum()]), pa.array([float((p * (np.cumsum(n) - n / 2)).sum())])], names=["s", "p", "n", "u"])
+
+
 def auc(df: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """(auc) of a score for a boolean, by the ranks of the positives; equal scores share their mean rank. Null with one class.
+    """(auc) of a score for a boolean, by the pairs of a positive and a negative that are in order; ties count half. Null with one class.
 
-    Rows are first counted by score; what is then ranked are distinct scores, in
-    ``PARTS`` ranges between their quantiles, whose sizes alone are summed up in one place.
+    One pass: rows are counted by score where they are, so that a score that very
+    many rows have is a few; ranges of scores are sized by Spark, and each counts
+    its own pairs; what is put together are a few numbers of each range. A null
+    score is like minus infinity.
     """
-    by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    cuts = sorted(set(by.agg(F.percentile_approx("s", [i / PARTS for i in range(1, PARTS)], 1000)).first()[0] or []))
-    part = sum(((F.col("s") > c).cast("int") for c in cuts), F.lit(0))
-    by = by.withColumn("part", F.coalesce(part, F.lit(0)))
-    sizes = by.groupBy("part").agg(F.sum("n").alias("size"))
-    ahead = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
-    within = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = F.sum("n").over(within) - F.col("n") + F.col("ahead")
-    ranked = by.join(F.broadcast(ahead), "part").select("n", "p", (below + (F.col("n") + 1) / 2.0).alias("rank"))
-    total = ranked.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
-    negative = F.col("n") - F.col("p")
-    return total.select(F.when((F.col("p") > 0) & (negative > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * negative)).alias("auc"))
+    lowest = F.lit(float("-inf"))
+    rows = df.select(F.coalesce(F.col(score).cast("double"), lowest).alias("s"), F.coalesce(positive, F.lit(False)).alias("p"))
+    counted = rows.mapInArrow(_by_score, "s double, p long, n long").repartitionByRange("s")
+    ranges = counted.mapInArrow(_by_range, "s double, p double, n double, u double").agg(F.array_sort(F.collect_list(F.struct("s", "p", "n", "u"))).alias("r"))
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0.0).alias("u"))
+    add = lambda a, x: F.struct((a.p + x.p).alias("p"), (a.n + x.n).alias("n"), (a.u + x.u + x.p * a.n).alias("u"))
+    total = ranges.select(F.aggregate("r", zero, add).alias("t")).select("t.*")
+    return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
 def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:

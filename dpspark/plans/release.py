@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from dpspark import domains
-from dpspark.errors import ReleaseError
+from dpspark.errors import DomainTooLargeError, ReleaseError
 from dpspark.functions import binning
 from dpspark.ledger import PARALLEL, PrivacyLedger, per_person
 from dpspark.noise import Noise
@@ -29,6 +29,8 @@ N_MIN, N_MIN_FLOOR = 150, 50
 COUNTS_SHARE, SUPPRESSION_SHARE, SUPPRESSION_MOST = 0.05, 0.05, 0.25
 UNSPENT, DIGITS = 0.02, 5
 UNIFORM_SD = math.sqrt(2.0)
+#: Cells with rows of one level that the driver draws noise for.
+MOST_OCCUPIED = 5_000_000
 
 
 @dataclass
@@ -244,14 +246,58 @@ def release_statistics(
     return Release(schema.name, epsilon_total, n_min, cohorts, levels, schema.coarsen, stratify, audit, digest)
 
 
+def gated(exact: dict[int, int], size: int, n_min: int, scale: float, charge: bool, noise: Noise) -> dict[int, int]:
+    """Published counts of a level's cells by their number, as noise on every one of ``size`` cells would give them.
+
+    Noise is drawn for the occupied cells of ``exact``. An empty cell is released
+    if its noise alone reaches the gate: which ones do is drawn by skipping from
+    one to the next, so what is held are occupied and released cells.
+    """
+    out = {}
+    for at, n in exact.items():
+        noisy = n + noise.laplace(scale)
+        if (noisy if charge else n) >= n_min:
+            out[at] = published(noisy, n_min)
+    if charge:
+        if size * math.exp(-n_min / scale) / 2 > domains.MOST_CELLS:
+            raise DomainTooLargeError(f"of {size} cells more than {domains.MOST_CELLS} empty ones would be released; coarsen a column or raise n_min")
+        for at in noise.places(size, n_min, scale):
+            if at not in exact:
+                out[at] = published(noise.above(n_min, scale), n_min)
+    return out
+
+
+def _sparse(schema: PublicSchema, data: DataFrame, i: int, epsilon: float, n_min: int, charge: bool, ledger: PrivacyLedger, noise: Noise) -> tuple[dict[str, tuple[int, int]], dict[str, int]]:
+    """Of a level that is too large to list: exact counts of the released cells, and their published ones."""
+    level = schema.conditional[i]
+    size = domains.level_size(schema, level)
+    found = counts.occupied(schema, data, level).limit(MOST_OCCUPIED + 1).toPandas()
+    if len(found) > MOST_OCCUPIED:
+        raise DomainTooLargeError(f"level {i}: more than {MOST_OCCUPIED} cells have rows; coarsen a column")
+    # disjoint cells in parallel: one entry says that every one of them was asked for
+    scale = ledger.spend(f"count[cell][L{i}][each of {size}]", "count", epsilon, 1.0, PARALLEL, (f"L{i}",), f"published_counts_cells_L{i}")
+    exact = dict(zip(found["at"].tolist(), found["n"].tolist(), strict=True))
+    kept = gated(exact, size, n_min, scale, charge, noise)
+    positive = dict(zip(found["at"].tolist(), found["n_pos"].tolist(), strict=True))
+    names = {at: domains.cell_name(schema, level, at) for at in sorted(kept)}
+    return {names[at]: (exact.get(at, 0), positive.get(at, 0)) for at in names}, {names[at]: kept[at] for at in names}
+
+
 def _conditional(schema: PublicSchema, data: DataFrame, budget: Budget, n_min: int, charge: bool, ledger: PrivacyLedger, noise: Noise) -> list[dict]:
     exact: dict[int, dict[str, tuple[int, int]]] = {}
-    for r in counts.level_counts(schema, data).collect():
-        exact.setdefault(r["level"], {})[r["cell"]] = r["n"], r["n_pos"]
+    listed = [i for i, level in enumerate(schema.conditional) if domains.level_size(schema, level) <= domains.MOST_CELLS]
+    if listed:
+        for r in counts.level_counts(replace(schema, conditional=[schema.conditional[i] for i in listed]), data).collect():
+            exact.setdefault(listed[r["level"]], {})[r["cell"]] = r["n"], r["n_pos"]
     kept: list[dict[str, int]] = []
     for i in range(len(schema.conditional)):
+        epsilon = budget.cells / len(schema.conditional)
+        if i not in listed:
+            exact[i], found = _sparse(schema, data, i, epsilon, n_min, charge, ledger, noise)
+            kept.append(found)
+            continue
         cells = sorted(exact[i])
-        scale = ledger.spend_all([(f"count[cell][L{i}][{c}]", (c,)) for c in cells], "count", budget.cells / len(schema.conditional), 1.0, PARALLEL, f"published_counts_cells_L{i}")
+        scale = ledger.spend_all([(f"count[cell][L{i}][{c}]", (c,)) for c in cells], "count", epsilon, 1.0, PARALLEL, f"published_counts_cells_L{i}")
         noisy = {c: exact[i][c][0] + noise.laplace(scale) for c in cells}
         kept.append({c: published(v, n_min) for c, v in noisy.items() if (v if charge else exact[i][c][0]) >= n_min})
     viable = max(1, sum(bool(k) for k in kept))
