@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
+import runpy
 import sys
+from collections.abc import Callable
+from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dpspark import report
+from dpspark.errors import GenerationError
+from dpspark.models import ModelTable
 from dpspark.operators import sampling
 from dpspark.plans.bound import bound_with_controls
 from dpspark.plans.evaluate import evaluate
-from dpspark.plans.generate import generate_selected
+from dpspark.plans.generate import POOL_FACTOR, ROWS_PER_CALL, Answer, GenerationStats, Service, generate, generate_by_cell, generate_selected
 from dpspark.plans.hybrid import correct
 from dpspark.plans.release import Release, release_statistics
+from dpspark.plans.selection import SUB_BINS
 from dpspark.schema import PublicSchema
 from dpspark.sources.tables import read_table, write_table
 
@@ -45,6 +53,20 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--no-class-conditional", action="store_true")
     p.add_argument("--exact-gate", action="store_true", help="gate on exact counts, uncharged")
     p.add_argument("--level", type=int)
+    p.add_argument("--decoder", help="module:function or file.py:function that turns a prompt into CSV text or an Answer; without it rows are statistical")
+    p.add_argument("--how", choices=("selected", "cohort", "cell"), default="selected", help="choose from a pool, or take the rows of cohorts or of cells as they come")
+    p.add_argument("--pool-factor", type=int, default=POOL_FACTOR)
+    p.add_argument("--sub-bin", choices=SUB_BINS, default="release")
+    p.add_argument("--allow-low-coverage", action="store_true")
+    p.add_argument("--rows-per-call", type=int, default=ROWS_PER_CALL)
+    p.add_argument("--model", default="", help="of the decoder, as the table of models names it")
+    p.add_argument("--models", help="JSON: prefix of a name to [tier, dollars a million tokens in, out]")
+    p.add_argument("--allow", default="VALIDATED,ADEQUATE", help="tiers that may be asked")
+    p.add_argument("--budget-usd", type=float)
+    p.add_argument("--context", type=int)
+    p.add_argument("--output-tokens", type=int, default=4096)
+    p.add_argument("--reasoning", action="store_true", help="answers should report reasoning")
+    p.add_argument("--preserve-ranking", action="store_true", help="relabel in the order of cross-validated scores")
     p.add_argument("--reference-draws", type=int, default=5)
     p.add_argument("--students", default="LR,RF,GBM")
     return p.parse_args(argv)
@@ -55,6 +77,43 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn(KEY, F.xxhash64(*df.columns))
 
 
+def decoder_of(name: str) -> Callable[[str], str | Answer]:
+    """The function behind ``module:function`` or ``file.py:function``."""
+    place, _, function = name.rpartition(":")
+    if not place or not function:
+        raise GenerationError("a decoder is named module:function or file.py:function")
+    try:
+        found = runpy.run_path(place).get(function) if place.endswith(".py") else getattr(importlib.import_module(place), function, None)
+    except (ImportError, OSError) as e:
+        raise GenerationError(f"the decoder can't be loaded: {e}") from None
+    if not callable(found):
+        raise GenerationError(f"{place} has no function {function}")
+    return found
+
+
+def service_of(a: argparse.Namespace) -> Service:
+    """The model behind the decoder, and what may be spent on it."""
+    table = None
+    if a.models:
+        table = ModelTable()
+        for prefix, (tier, *usd) in json.loads(Path(a.models).read_text(encoding="utf-8")).items():
+            table.register(prefix, tier, *usd)
+    if a.budget_usd is not None and table is None:
+        raise GenerationError("a budget needs the prices of --models")
+    return Service(a.model, table, tuple(a.allow.split(",")), a.context, a.output_tokens, a.budget_usd, a.reasoning)
+
+
+def generated(a: argparse.Namespace, spark: SparkSession, schema: PublicSchema, release: Release) -> tuple[DataFrame, GenerationStats]:
+    decoder, service, seed = decoder_of(a.decoder) if a.decoder else None, service_of(a), a.seed or 0
+    if a.how == "selected":
+        return generate_selected(spark, schema, release, a.rows, decoder, a.pool_factor, seed, a.sub_bin, service)
+    if decoder is None:
+        raise GenerationError(f"rows by {a.how} are a model's: name a --decoder")
+    if a.how == "cell":
+        return generate_by_cell(spark, schema, release, a.rows, decoder, a.level or 0, a.allow_low_coverage, a.rows_per_call, seed, service)
+    return generate(spark, schema, release, a.rows, decoder, a.rows_per_call, seed, service)
+
+
 def work(a: argparse.Namespace, spark: SparkSession) -> None:
     schema, out = PublicSchema.load(a.schema), Path(a.out)
     out.mkdir(parents=True, exist_ok=True)
@@ -73,7 +132,8 @@ def work(a: argparse.Namespace, spark: SparkSession) -> None:
         release.to_json(out / "release.json")
         report.of_release(release).write(out)
     if "generate" in stages:
-        rows, _ = generate_selected(spark, schema, release, a.rows, seed=a.seed or 0)
+        rows, stats = generated(a, spark, schema, release)
+        (out / "generation.json").write_text(json.dumps(asdict(stats), indent=1), encoding="utf-8")
         write_table(rows.select(*schema.columns), str(out / "synthetic.csv"))
         synthetic = table(str(out / "synthetic.csv"))
     if "bound" in stages and release.conditional_levels:
@@ -84,7 +144,7 @@ def work(a: argparse.Namespace, spark: SparkSession) -> None:
         result = evaluate(schema, {"synthetic": synthetic}, private, holdout, KEY, reference_draws=a.reference_draws, only=tuple(a.students.split(",")))
         report.of_evaluation(result).write(out)
     if "correct" in stages:
-        done, released, gain = correct(schema, private, synthetic, tuple(a.columns.split(",")), a.epsilon, KEY, a.n_min, a.seed, a.max_rows_per_person, a.acknowledge_vacuous_privacy_unit)
+        done, released, gain = correct(schema, private, synthetic, tuple(a.columns.split(",")), a.epsilon, KEY, a.n_min, a.seed, a.max_rows_per_person, a.acknowledge_vacuous_privacy_unit, a.preserve_ranking)
         write_table(done.select(*schema.columns), str(out / "corrected.csv"))
         report.of_correction(released, gain).write(out)
 

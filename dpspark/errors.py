@@ -24,7 +24,9 @@ class ReleaseError(Refusal):
 
 
 class GenerationError(Refusal):
-    """Rows can't be generated from a release as asked."""
+    """Rows can't be generated from a release as asked. paid: tables of the rows that were made until then."""
+
+    paid: list[str] = []
 
 
 class ContextTruncationError(GenerationError):

@@ -116,23 +116,34 @@ def rates(schema: PublicSchema, df: DataFrame, level: int) -> DataFrame:
     return level_counts(one, df).select("cell", "n", F.when(F.col("n") > 0, F.col("n_pos") / F.col("n")).alias("rate"))
 
 
-def _labels(schema: PublicSchema, df: DataFrame, target: bool) -> DataFrame:
-    """(col, value, n): each column's interval or category as text."""
+def rates_of(schema: PublicSchema, df: DataFrame, columns: Sequence[str], cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cell, n, rate) of the cells of ``cells`` (cell) that have rows: one aggregate, for any number of cells that are not asked for."""
+    rows = df.select(*by, domains.cell_key(schema, tuple(columns)).alias("cell"), schema.is_positive().cast("double").alias("y"))
+    return rows.groupBy(*by, "cell").agg(F.count("*").alias("n"), F.avg("y").alias("rate")).join(F.broadcast(cells.select("cell").distinct()), "cell", "left_semi").select(*by, "cell", "n", "rate")
+
+
+def _labels(schema: PublicSchema, df: DataFrame, target: bool, by: Sequence[str] = ()) -> DataFrame:
+    """(by, col, value, n): each column's interval or category as text."""
     parts = [F.struct(F.lit(c).alias("col"), binning.interval(F.col(c), schema.edges(c)).cast("string").alias("value")) for c in schema.numerical]
     parts += [F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in [*schema.categorical, *([schema.target] if target else [])]]
-    return df.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.col", "p.value").agg(F.count("*").alias("n"))
+    return df.select(*by, F.explode(F.array(*parts)).alias("p")).groupBy(*by, "p.col", "p.value").agg(F.count("*").alias("n"))
 
 
-def variation(p: DataFrame, q: DataFrame) -> DataFrame:
-    """(col, tv): half the sum of the differences of two tables (col, value, n) of counts."""
-    share = lambda d, name: d.select("col", "value", (F.col("n") / F.sum("n").over(Window.partitionBy("col"))).alias(name))
+def variation(p: DataFrame, q: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, col, tv): half the sum of the differences of two tables (col, value, n) of counts; ``by`` are columns of ``p``, each value of which is held against ``q``."""
+    share = lambda d, name, by=(): d.select(*by, "col", "value", (F.col("n") / F.sum("n").over(Window.partitionBy(*by, "col"))).alias(name))
+    if by:
+        # values that only q has differ by their whole share: what is left of 1
+        both = share(p, "p", by).join(share(q, "q"), ["col", "value"], "left").join(q.select("col", F.lit(1.0).alias("all")).distinct(), "col", "left")
+        met = F.coalesce("q", F.lit(0.0))
+        return both.groupBy(*by, "col").agg(((F.sum(F.abs(F.col("p") - met)) + F.coalesce(F.max("all"), F.lit(0.0)) - F.sum(met)) / 2).alias("tv"))
     both = share(p, "p").join(share(q, "q"), ["col", "value"], "full")
     return both.groupBy("col").agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tv"))
 
 
-def marginal_tv(schema: PublicSchema, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(col, tv) of every column, the target too."""
-    return variation(_labels(schema, a, True), _labels(schema, b, True))
+def marginal_tv(schema: PublicSchema, a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, col, tv) of every column, the target too; of each part of ``a`` if it has parts."""
+    return variation(_labels(schema, a, True, by), _labels(schema, b, True), by)
 
 
 def feature_shift(schema: PublicSchema, a: DataFrame, b: DataFrame) -> DataFrame:

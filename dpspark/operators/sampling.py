@@ -42,40 +42,65 @@ def numbered(df: DataFrame, order: Column, name: str, by: Sequence[str] = (), ti
 
 #: Ranges that a draw, which has 32 bits, is counted by at a time: its upper half, then the lower half within one range.
 HALF = 1 << 16
+DRAW = "_draw"
 
 
-def simple_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows (or all), the smallest by a hash of ``key``.
+def samples(df: DataFrame, key: str, n: int, seeds: Sequence[int]) -> DataFrame:
+    """For each seed (``_draw``) exactly ``n`` rows of ``df`` (or all), the smallest by a hash of ``key``: all samples together.
 
-    Draws are counted by ranges; the rows below the range in which the n-th row
-    lies are taken by a filter, and only rows of that range are put in order. A
-    range of more than ``GROUP_ROWS`` rows is counted by narrower ranges first.
+    Draws are counted by ranges, for all seeds in one scan. The rows below the
+    range in which the n-th row lies are taken by a filter, and only rows of
+    that range are put in order. Where a range has more than ``GROUP_ROWS``
+    rows, its narrower ranges are counted in a second scan.
     """
-    u = uniform(F.col(key), seed)
-    low, width, left = 0.0, 1.0, n
+    if n <= 0 or not seeds:
+        return df.select(F.lit(0).alias(DRAW), "*").where("false")
+    u = {s: uniform(F.col(key), s) for s in seeds}
+    low, width, left, open_ = dict.fromkeys(seeds, 0.0), dict.fromkeys(seeds, 1.0), dict.fromkeys(seeds, n), list(dict.fromkeys(seeds))
+    whole = []
     for _ in range(2):
-        width /= HALF
-        inside = df.where((u >= low) & (u < low + width * HALF))
-        sizes = dict(inside.groupBy(F.floor((u - low) / width).cast("int").alias("k")).count().collect())
-        for k in sorted(sizes):
-            if left <= sizes[k]:
-                low += k * width
-                break
-            left -= sizes[k]
-        else:
-            return df if n > 0 else df.where("false")
-        if sizes[k] <= GROUP_ROWS:
+        step = {s: width[s] / HALF for s in open_}
+        at = F.array(*(F.struct(F.lit(s).alias("s"), F.when((u[s] >= low[s]) & (u[s] < low[s] + width[s]), F.floor((u[s] - low[s]) / step[s]).cast("int")).alias("k")) for s in open_))
+        sizes: dict[int, list[tuple[int, int]]] = {s: [] for s in open_}
+        for r in df.select(F.explode(at).alias("x")).select("x.*").where("k IS NOT NULL").groupBy("s", "k").count().collect():
+            sizes[r["s"]].append((r["k"], r["count"]))
+        again = []
+        for s in open_:
+            width[s] = step[s]
+            for k, size in sorted(sizes[s]):
+                if left[s] <= size:
+                    low[s] += k * width[s]
+                    if size > GROUP_ROWS:
+                        again.append(s)
+                    break
+                left[s] -= size
+            else:
+                whole.append(s)
+        open_ = again
+        if not open_:
             break
-    last = df.where((u >= low) & (u < low + width)).orderBy(u, key).limit(left)
-    return df.where(u < low).unionByName(last)
+    below = {s: F.lit(True) if s in whole else u[s] < low[s] for s in low}
+    inside = {s: F.lit(False) if s in whole else (u[s] >= low[s]) & (u[s] < low[s] + width[s]) for s in low}
+    met = F.array_compact(F.array(*(F.when(below[s] | inside[s], F.struct(F.lit(s).alias("s"), below[s].alias("sure"), u[s].alias("u"))) for s in low)))
+    rows = df.withColumn("_met", F.explode(met)).select("*", F.col("_met.s").alias(DRAW), F.col("_met.sure").alias("_sure"), F.col("_met.u").alias("_u")).drop("_met")
+    rank = F.row_number().over(Window.partitionBy(DRAW).orderBy("_u", key))
+    room = F.create_map(*(x for s in low for x in (F.lit(s), F.lit(0 if s in whole else left[s]))))
+    last = rows.where("NOT _sure").withColumn("_rank", rank).where(F.col("_rank") <= room[F.col(DRAW)])
+    return rows.where("_sure").select(DRAW, *df.columns).unionByName(last.select(DRAW, *df.columns))
+
+
+def simple_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """Exactly ``n`` rows (or all), the smallest by a hash of ``key``."""
+    return samples(df, key, n, [seed]).drop(DRAW)
 
 
-def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """``df`` with one column's values dealt out anew."""
-    groups = groups_of(df)
-    rows = numbered(df, uniform(F.col(key), f"{seed} rows"), "_rank", groups=groups)
-    values = numbered(df.select(key, column), uniform(F.col(key), f"{seed} values"), "_rank", groups=groups).select("_rank", F.col(column).alias("_value"))
-    return rows.drop(column).join(values, "_rank").withColumnRenamed("_value", column).select(df.columns)
+def permuted(df: DataFrame, key: str, column: str, seed: int, by: str | None = None) -> DataFrame:
+    """``df`` with one column's values dealt out anew; with ``by``, a whole number, within each of its values, by ``seed`` plus that number."""
+    groups, parts = groups_of(df), [] if by is None else [by]
+    text = F.lit(str(seed)) if by is None else (F.col(by) + seed).cast("string")
+    rows = numbered(df, uniform(F.col(key), F.concat(text, F.lit(" rows"))), "_rank", parts, df.columns, groups)
+    values = numbered(df.select(key, column, *parts), uniform(F.col(key), F.concat(text, F.lit(" values"))), "_rank", parts, [key, column], groups).select("_rank", *parts, F.col(column).alias("_value"))
+    return rows.drop(column).join(values, ["_rank", *parts]).withColumnRenamed("_value", column).select(df.columns)
 
 
 def largest_remainder(df: DataFrame, by: list[str], exact: str, total: Column, ties: Column, name: str) -> DataFrame:

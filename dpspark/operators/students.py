@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpspark.functions.draw import uniform
+from dpspark.operators.sampling import numbered
 from dpspark.schema import PublicSchema
+from dpspark.sources.tables import kept
 
 INFORMATIVE = 0.55
 
@@ -98,15 +101,31 @@ def tstr(schema: PublicSchema, train: DataFrame, holdout: DataFrame, seed: int =
     return out
 
 
-def ranking_scores(schema: PublicSchema, df: DataFrame, key: str, seed: int) -> DataFrame | None:
-    """(key, _score): each row's score by a model of the other half; None where the halves can't tell the target."""
-    half = uniform(F.col(key), f"{seed} half") < 0.5
-    data = df.select(key, *schema.columns).withColumn("_y", schema.is_positive().cast("double"))
+#: Folds of the scores that a table's own rows are ranked by.
+RANK_FOLDS = 5
+
+
+def folds(df: DataFrame, key: str, stratum: str, k: int, seed: int) -> DataFrame:
+    """``df`` with ``_fold`` from 0 to ``k``: every stratum's rows are dealt out in turn, in the order of a hash of ``key``."""
+    return numbered(df, uniform(F.col(key), f"{seed} fold"), "_rank", [stratum], [key]).withColumn("_fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+
+
+def out_of_fold(schema: PublicSchema, df: DataFrame, key: str, seed: int, k: int = RANK_FOLDS, student: str = "RF") -> DataFrame:
+    """(key, _y, _score): each row's score by a model of the folds that it is not in; one fit for each fold."""
+    data = kept(folds(df.select(key, *schema.columns).withColumn("_y", schema.is_positive().cast("double")), key, "_y", k, seed))
     parts = []
-    for own in (half, ~half):
-        model = pipeline(schema, students(seed)["RF"]).fit(data.where(~own))
-        parts.append(predicted(model, data.where(own)).select(key, F.col("score").alias("_score"), "_y"))
-    found = parts[0].unionByName(parts[1])
+    for f in range(k):
+        model = pipeline(schema, students(seed)[student]).fit(data.where(F.col("_fold") != f))
+        parts.append(predicted(model, data.where(F.col("_fold") == f)).select(key, "_y", F.col("score").alias("_score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ranking_scores(schema: PublicSchema, df: DataFrame, key: str, seed: int, k: int = RANK_FOLDS) -> DataFrame | None:
+    """(key, _score): each row's cross-validated score; None where a class has fewer rows than folds, or the scores can't tell the target."""
+    least = df.groupBy(schema.is_positive()).count().agg(F.min("count"), F.count("*")).first()
+    if least[1] < 2 or least[0] < k:
+        return None
+    found = kept(out_of_fold(schema, df, key, seed, k))
     quality = auc(found.select(F.col("_score").alias("score"), (F.col("_y") == 1).alias("positive"))).first()[0]
     return found.select(key, "_score") if quality is not None and quality >= INFORMATIVE else None
 

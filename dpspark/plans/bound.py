@@ -5,17 +5,20 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import asdict, dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dpspark import domains
 from dpspark.errors import BoundError
 from dpspark.ledger import PARALLEL, VACUOUS, WHAT_THIS_IS, PrivacyLedger
 from dpspark.noise import Noise
 from dpspark.operators import counts, sampling
 from dpspark.plans.release import Release
 from dpspark.schema import PublicSchema
+from dpspark.sources.tables import kept
 
 THIN = 20
 LABEL = "stage_c_transmission_bound"
@@ -100,16 +103,29 @@ def tolerance(release: Release, level: dict, positive: str, half: float) -> floa
     return half + 0.5 * max(abs(c["rate"] - base) for c in level["cells"].values())
 
 
-def scored(spark_rates: DataFrame, p_hat: DataFrame, half: float) -> DataFrame:
+def scored(rates: DataFrame, p_hat: DataFrame, half: float) -> DataFrame:
     """(cell, p_hat, rate, n, bound) of rates (cell, n, rate) against noisy private ones (cell, p_hat); without rows the bound is 1."""
     rate = F.when(F.col("n") > 0, F.col("rate"))
-    met = p_hat.join(spark_rates, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    met = p_hat.join(rates, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return met.select("cell", "p_hat", rate.alias("rate"), "n", F.when(F.col("n") > 0, F.abs(F.col("p_hat") - rate) + half).otherwise(F.lit(1.0)).alias("bound"))
 
 
-def _rates(schema: PublicSchema, df: DataFrame, columns: tuple[str, ...]) -> dict[str, tuple[int, float]]:
-    level = schema.conditional.index(columns)
-    return {r["cell"]: (r["n"], r["rate"]) for r in counts.rates(schema, schema.coerce(df), level).collect()}
+CONDITION = "condition"
+
+
+def conditions(schema: PublicSchema, tables: dict[str, DataFrame], columns: tuple[str, ...], cells: DataFrame) -> DataFrame:
+    """(condition, cell, n, rate) of several tables in one aggregate over their tagged union; only of ``cells`` (cell)."""
+    tagged = [schema.coerce(d.withColumn(CONDITION, F.lit(k)), [CONDITION]) for k, d in tables.items()]
+    return counts.rates_of(schema, reduce(DataFrame.unionByName, tagged), columns, cells, [CONDITION])
+
+
+def _rates(schema: PublicSchema, tables: dict[str, DataFrame], level: dict) -> dict[str, dict[str, tuple[int, float]]]:
+    spark = next(iter(tables.values())).sparkSession
+    asked = domains.frame(spark, [(c,) for c in level["cells"]], "cell string")
+    out: dict = {k: {} for k in tables}
+    for r in conditions(schema, tables, tuple(level["columns"]), asked).collect():
+        out[r[CONDITION]][r["cell"]] = r["n"], r["rate"]
+    return out
 
 
 def _result(condition: str, level: dict, p_hat: dict[str, float], found: dict, half: float) -> BoundResult:
@@ -122,7 +138,7 @@ def _result(condition: str, level: dict, p_hat: dict[str, float], found: dict, h
 
 def _private(schema: PublicSchema, release: Release, private: DataFrame, level: dict, epsilon: float, ledger: PrivacyLedger, noise: Noise) -> dict[str, float]:
     """The noisy private rate of every released cell: one draw each, over max(rows, n_min), so one row moves it by 1 / n_min at most."""
-    found = _rates(schema, private, tuple(level["columns"]))
+    found = _rates(schema, {"private": private}, level)["private"]
     scale = ledger.spend_all([(f"stage_c_rate[{c}]", (c,)) for c in level["cells"]], "rate", epsilon, 1.0 / release.n_min, PARALLEL, LABEL)
     out = {}
     for cell in level["cells"]:
@@ -144,7 +160,7 @@ def _ready(schema: PublicSchema, release: Release, level: int | None, epsilon: f
 def transmission_bound(schema: PublicSchema, release: Release, private: DataFrame, synthetic: DataFrame, epsilon: float = 0.5, alpha: float = 0.05, level: int | None = None, ledger: PrivacyLedger | None = None, noise: Noise | None = None) -> BoundResult:
     effective, chosen = _ready(schema, release, level, epsilon, alpha)
     p_hat = _private(effective, release, private, chosen, epsilon, ledger or PrivacyLedger(epsilon), noise or Noise())
-    return _result("synthetic", chosen, p_hat, _rates(effective, synthetic, tuple(chosen["columns"])), halfwidth(release.n_min, epsilon, len(p_hat), alpha))
+    return _result("synthetic", chosen, p_hat, _rates(effective, {"synthetic": synthetic}, chosen)["synthetic"], halfwidth(release.n_min, epsilon, len(p_hat), alpha))
 
 
 def bound_with_controls(schema: PublicSchema, release: Release, private: DataFrame, holdout: DataFrame, synthetic: DataFrame, key: str, epsilon: float = 0.5, alpha: float = 0.05, tolerance_: float | str = "auto", level: int | None = None, max_rows_per_person: int | None = None, seed: int = 0, noise: Noise | None = None) -> BoundReport:
@@ -159,14 +175,14 @@ def bound_with_controls(schema: PublicSchema, release: Release, private: DataFra
         raise BoundError("an empty table can't be bounded")
     if max_rows_per_person is not None and max_rows_per_person < 1:
         raise BoundError("max_rows_per_person has to be 1 or more")
-    columns, half = tuple(chosen["columns"]), halfwidth(release.n_min, epsilon, len(chosen["cells"]), alpha)
+    half = halfwidth(release.n_min, epsilon, len(chosen["cells"]), alpha)
     limit = tolerance(release, chosen, str(schema.positive), half) if tolerance_ == "auto" else float(tolerance_)
     ledger, noise = PrivacyLedger(epsilon, max_rows_per_person=max_rows_per_person), noise or Noise()
     p_hat = _private(effective, release, private, chosen, epsilon, ledger, noise)
     ledger.seal()
-    sample = sampling.simple_sample(holdout, key, min(n_syn, n_hold), seed)
+    sample = kept(sampling.simple_sample(holdout, key, min(n_syn, n_hold), seed))
     tables = {"synthetic": synthetic, "ceiling": sample, "floor": sampling.permuted(sample, key, schema.target, seed)}
-    results = {k: _result(k, chosen, p_hat, _rates(effective, d, columns), half) for k, d in tables.items()}
+    results = {k: _result(k, chosen, p_hat, found, half) for k, found in _rates(effective, tables, chosen).items()}
     syn, top, low = results.values()
     if syn.thin:
         verdict, reason = None, f"a cell has fewer than {THIN} synthetic rows"

@@ -6,6 +6,7 @@ into rows; columns are put together at random within a cohort and class.
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import random
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,12 @@ from dpspark.functions import binning
 from dpspark.functions.draw import uniform
 from dpspark.models import ADEQUATE, VALIDATED, ModelTable, SpendMeter, fits_context
 from dpspark.operators import counts, quota
-from dpspark.operators.parsing import parsed, validated
+from dpspark.operators.parsing import LEAST_HEADER, parsed, validated
 from dpspark.operators.sampling import GROUP_ROWS, numbered
 from dpspark.plans.release import Release
 from dpspark.plans.selection import SUB_BINS, select_to_release, sub_bin_redraw
 from dpspark.schema import PublicSchema
-from dpspark.sources.tables import kept
+from dpspark.sources.tables import kept, kept_while, shared_path
 
 # Fixed values of generation.
 ROWS_PER_CALL, ATTEMPTS, POOL_FACTOR = 25, 3, 3
@@ -36,6 +38,8 @@ NUMERIC_SHOWN, CATEGORY_SHOWN, CHARS_PER_TOKEN = 0.005, 0.001, 3.5
 BACKOFF_FIRST, BACKOFF_MOST, BACKOFF_TIMES = 15, 240, 6
 #: Calls of one round at most; the first round has CHECKED_EVERY, each later one twice as many.
 ROUND_MOST = 4096
+#: A running round is ended when so few of its last RECENT calls gave a row that can be used.
+RECENT = 32
 
 TEMPLATE = """You write rows of a table that does not exist. Columns: {columns}.
 Group: {cohort}. Write {n} rows as CSV with a header line and nothing else.
@@ -247,8 +251,44 @@ FATAL = {e.__name__: e for e in (ModelRefusalError, FatalAPIError, EmptyContentE
 ANSWERS = "response_id long, _group string, response string, tokens_in long, tokens_out long, reasoning long, failure string, said string"
 
 
-def answered(calls: DataFrame, decoder: Callable[[str], str | Answer]) -> DataFrame:
-    """One answer of the decoder for each call; what goes wrong is a row too, so that Spark doesn't repeat paid calls. Evaluated once."""
+def usable(schema: PublicSchema) -> Callable[[str], bool]:
+    """Whether an answer has a header and a line of its width with a label; a first look, which rows are valid is seen later."""
+    names, labels = set(schema.columns), {str(schema.positive), str(schema.negative)}
+
+    def look(text: str) -> bool:
+        head: list[str] = []
+        for row in csv.reader(text.splitlines()):
+            row = [x.strip() for x in row]
+            if not head and len(names.intersection(row)) >= LEAST_HEADER * len(names):
+                head = row
+            elif head and len(row) == len(head) and schema.target in head and row[head.index(schema.target)] in labels:
+                return True
+        return False
+
+    return look
+
+
+class _Flags(AccumulatorParam):
+    """Of the calls that ended, in that order: was the answer usable? One list, as long as a round has calls at most."""
+
+    def zero(self, value: list) -> list:
+        return []
+
+    def addInPlace(self, a: list, b: list) -> list:  # noqa: N802
+        a.extend(b)
+        return a
+
+
+def answered(calls: DataFrame, decoder: Callable[[str], str | Answer], look: Callable[[str], bool] | None = None) -> tuple[DataFrame, bool]:
+    """One answer of the decoder for each call; what goes wrong is a row too, so that Spark doesn't repeat paid calls. Evaluated once.
+
+    A task has CHECKED_EVERY calls. When it ends its answers are in shared
+    storage, and the driver sees how many were usable: if of the last RECENT
+    calls fewer than PARSE_LEAST were, the job is cancelled. The second value
+    says so; calls without an answer were not made, or not paid for twice.
+    """
+    spark, n = calls.sparkSession, calls.count()
+    flags = spark.sparkContext.accumulator([], _Flags())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
@@ -262,20 +302,24 @@ def answered(calls: DataFrame, decoder: Callable[[str], str | Answer]) -> DataFr
                     rows.append((number, group, a.text, a.tokens_in, a.tokens_out, a.reasoning, None, None))
                 except Exception as e:  # whatever a client library raises: the call failed, and is counted as such
                     rows.append((number, group, None, None, None, None, type(e).__name__, str(e)))
+                flags.add([rows[-1][2] is not None and (look is None or look(rows[-1][2]))])
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = [x.split()[0] for x in ANSWERS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
 
-    return kept(calls.mapInArrow(each, ANSWERS))
+    def going_on() -> bool:
+        last = flags.value[-RECENT:]
+        return len(last) < RECENT or sum(last) >= PARSE_LEAST * RECENT
+
+    dealt = calls.repartitionByRange(max(1, -(-n // CHECKED_EVERY)), "response_id")
+    return kept_while(dealt.mapInArrow(each, ANSWERS), shared_path(spark), going_on)
 
 
-def _made(schema: PublicSchema, group: str, found: list, edges: dict[str, list[float]], by_class: bool) -> dict:
-    """Counts of valid rows in the form of quotas. found: rows (cls, col, bin, n); a null column counts rows."""
+def _made(schema: PublicSchema, found: list, edges: dict[str, list[float]], by_class: bool) -> dict:
+    """Counts of a group's valid rows in the form of quotas. found: rows (cls, col, bin, n); a null column counts rows."""
     label = {counts.POSITIVE: str(schema.positive), counts.NEGATIVE: str(schema.negative)}
     out: dict = {"outcome": {}, "columns": {}}
     for r in found:
-        if r["_group"] != group:
-            continue
         if r["col"] is None:
             out["outcome"][label[r["cls"]]] = r["n"]
             continue
@@ -292,6 +336,13 @@ def _guard(stats: GenerationStats) -> None:
         raise GenerationError(f"only {stats.rows_kept} of {stats.rows_asked} rows asked for were valid: {stats.turned_down}")
 
 
+def _with_paid(error: GenerationError, paid: list[str]) -> GenerationError:
+    """The error, with the paths of the rows of all rounds, in its text too."""
+    out = type(error)(f"{error} (rows until then: {', '.join(paid)})")
+    out.paid = list(paid)
+    return out
+
+
 def _warn(stats: GenerationStats, service: Service) -> None:
     if stats.budget_capped:
         stats.warnings.append(f"the budget of ${service.budget_usd:.2f} is used up after {stats.calls} calls: {stats.rows_kept} rows of {stats.requested}")
@@ -308,12 +359,14 @@ def _rounds(spark: SparkSession, schema: PublicSchema, groups: list[Group], deco
 
     A round is one Spark job over its calls. It starts with as many as are made
     between two checks and doubles, so that little is paid for before the first
-    ones. What comes to the driver are counts by call and by public bin.
+    ones; a round that goes bad is ended while it runs. What comes to the driver
+    are counts by call and by public bin. An error names the tables of the rows
+    that were paid for until then (``paid``).
     """
     if service.table is not None:
         service.table.check(service.model, service.allow)
     meter = SpendMeter(service.table or ModelTable(), service.model, service.budget_usd)
-    stats, found, number, width = GenerationStats(sum(g.want for g in groups)), [], 0, CHECKED_EVERY
+    stats, found, number, width, paid = GenerationStats(sum(g.want for g in groups)), [], 0, CHECKED_EVERY, []
     while True:
         calls, bound = [], 0.0
         for g in groups:
@@ -332,13 +385,14 @@ def _rounds(spark: SparkSession, schema: PublicSchema, groups: list[Group], deco
             stats.budget_capped = any(g.got < g.want for g in groups) and not meter.affords(0.0)
             break
         asked = spark.createDataFrame([c[:4] for c in calls], "response_id long, _group string, size long, prompt string")
-        answers = answered(asked, decoder)
+        answers, ended = answered(asked, decoder, usable(schema))
         back = {r["response_id"]: r for r in answers.drop("response").collect()}
-        if fatal := next((r for r in back.values() if r["failure"] in FATAL), None):
-            raise FATAL[fatal["failure"]](fatal["said"])
         texts = answers.where("response IS NOT NULL")
         rows = validated(parsed(texts, schema), schema).join(texts.select("response_id", "_group"), "response_id")
-        rows = kept(rows.select(F.concat_ws("|", "response_id", "line").alias("row_id"), "response_id", "_group", "reason", *schema.columns))
+        paid.append(shared_path(spark))
+        rows = kept(rows.select(F.concat_ws("|", "response_id", "line").alias("row_id"), "response_id", "_group", "reason", *schema.columns), paid[-1])
+        if fatal := next((r for r in back.values() if r["failure"] in FATAL), None):
+            raise _with_paid(FATAL[fatal["failure"]](fatal["said"]), paid)
         valid = rows.where("reason IS NULL").drop("reason")
         found.append(valid)
         tally = rows.groupBy("response_id", "reason").agg(F.count("*").alias("n"), F.count_if(schema.is_positive()).alias("p")).collect()
@@ -347,6 +401,8 @@ def _rounds(spark: SparkSession, schema: PublicSchema, groups: list[Group], deco
         lengths = {r["response_id"]: r["n"] for r in answers.select("response_id", F.coalesce(F.length("response"), F.lit(0)).alias("n")).collect()}
         useful = {r["response_id"]: r for r in tally if r["reason"] is None}
         for number_, _, size, text, positives in calls:
+            if number_ not in back:  # the round was ended before
+                continue
             r = back[number_]
             stats.calls, stats.rows_asked, stats.failed_calls = stats.calls + 1, stats.rows_asked + size, stats.failed_calls + (r["failure"] is not None)
             tokens_in, tokens_out = r["tokens_in"], r["tokens_out"]
@@ -362,11 +418,21 @@ def _rounds(spark: SparkSession, schema: PublicSchema, groups: list[Group], deco
             stats.rows_parsed += r["n"]
             if r["reason"] is not None:
                 stats.turned_down[r["reason"]] = stats.turned_down.get(r["reason"], 0) + r["n"]
+        of: dict[str, list] = {}
+        for r in made:
+            of.setdefault(r["_group"], []).append(r)
         for g in groups:
-            new = _made(schema, g.name, made, edges[g.name], by_class[g.name])
+            if g.name not in of:
+                continue
+            new = _made(schema, of[g.name], edges[g.name], by_class[g.name])
             g.got, g.done = g.got + sum(new["outcome"].values()), quota.absorb(g.done, new)
         stats.cost_usd = meter.usd
-        _guard(stats)
+        try:
+            _guard(stats)
+            if ended:
+                raise GenerationError(f"too few of the last {RECENT} calls gave a row that can be used: a round of {len(calls)} calls was ended after {len(back)}")
+        except GenerationError as e:
+            raise _with_paid(e, paid) from None
         width = min(ROUND_MOST, 2 * width)
     if not stats.rows_kept:
         raise GenerationError("the budget was used up before there was a row" if stats.budget_capped else "no row could be used")

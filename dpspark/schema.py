@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -144,12 +145,12 @@ class PublicSchema:
     def is_positive(self) -> Column:
         return self.text(self.target) == str(self.positive)
 
-    def coerce(self, df: DataFrame) -> DataFrame:
-        """``df``'s declared columns: numbers clipped to their bounds, text trimmed; rows without a number are left out."""
+    def coerce(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``df``'s declared columns: numbers clipped to their bounds, text trimmed; rows without a number are left out. Those of ``keep`` stay as they are, in front."""
         numbers = [F.least(F.greatest(self.number(c), F.lit(float(lo))), F.lit(float(hi))).alias(c) for c, (lo, hi) in self.numerical.items()]
         # least and greatest skip nulls, so rows are filtered before they are clipped
         usable = df.where(" AND ".join(f"NOT isnan(try_cast(`{c}` AS double)) AND try_cast(`{c}` AS double) IS NOT NULL" for c in self.numerical) or "true")
-        return usable.select(*numbers, *(self.text(c).alias(c) for c in self.categorical), self.text(self.target).alias(self.target))
+        return usable.select(*keep, *numbers, *(self.text(c).alias(c) for c in self.categorical), self.text(self.target).alias(self.target))
 
     def _counts(self, df: DataFrame) -> dict:
         """All that validation asks of a table, in one job."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import InheritableThread
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,18 +44,56 @@ def write_table(df: DataFrame, path: str, kind: str | None = None) -> None:
         writer.format(kind).save(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once and written to the shared folder of ``spark.checkpoint.dir``: a lost executor repeats nothing of it.
-
-    A temporary folder stands in where the setting is missing, for a local master only.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary folder where the setting is missing, for a local master only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="dpspark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` evaluated once and written to shared storage: a lost executor repeats nothing of it."""
+    path = path or shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Seconds between two looks at a job that is watched.
+LOOK = 0.05
+
+
+def kept_while(df: DataFrame, path: str, going_on: Callable[[], bool]) -> tuple[DataFrame, bool]:
+    """``df`` written to ``path`` by a job that ends early if it is not ``going_on``; what its finished tasks wrote stays. The second value: was it ended?
+
+    A task's file is put in place when the task ends, not when the job does, so
+    that ending the job's group loses only tasks that are under way.
+    """
+    spark, failed = df.sparkSession, []
+    group = f"dpspark-{uuid.uuid4().hex}"
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(group, "answers of a decoder", True)
+        try:
+            df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+        except Exception as e:
+            failed.append(e)
+
+    job, ended = InheritableThread(target=run), False
+    job.start()
+    while job.is_alive():
+        job.join(LOOK)
+        if not ended and not going_on():
+            ended = True
+        if ended:  # again, in case the job had not begun
+            spark.sparkContext.cancelJobGroup(group)
+    if failed and not ended:
+        raise failed[0]
+    try:
+        found = spark.read.schema(df.schema).parquet(path)
+    except AnalysisException:  # no task had ended
+        found = spark.createDataFrame([], df.schema)
+    return found, ended

@@ -131,3 +131,50 @@ def test_a_stratified_part_is_exact(spark):
     first, rest = sampling.stratified_split(df, "id", 0.8, F.col("y"), 1)
     assert {r["y"]: r["count"] for r in first.groupBy("y").count().collect()} == {"a": 80, "b": 719, None: 1}
     assert first.join(rest, "id").isEmpty() and rest.count() == 200
+
+
+def test_a_round_ends_while_it_runs(spark, tmp_path):
+    """A decoder that turns bad at call 100 of a round of 1,000 is not asked 150 times, and what was paid for is there."""
+    import os
+    import time
+
+    from dpspark.plans.generate import answered, usable
+
+    log = str(tmp_path / "calls")
+
+    def decoder(text: str) -> str:
+        with open(log, "a") as f:
+            f.write("x")
+        time.sleep(0.02)
+        return csv(2, 1) if int(text) < 100 else "I would rather not"
+
+    calls = spark.createDataFrame([(i, "all", str(i)) for i in range(1000)], "response_id long, _group string, prompt string")
+    answers, ended = answered(calls, decoder, usable(demo()))
+    got = {r["response_id"] for r in answers.collect()}
+    assert ended and 100 < os.path.getsize(log) < 150 and set(range(100)) <= got and len(got) <= os.path.getsize(log)
+    # a good decoder is asked all of them
+    answers, ended = answered(calls.where("response_id < 64"), lambda text: csv(2, 1), usable(demo()))
+    assert not ended and answers.count() == 64
+
+
+def test_usable_answers():
+    from dpspark.plans.generate import usable
+
+    look = usable(demo())
+    assert look(csv(1, 1)) and look("Here:\n```csv\nage,edu,result,y\n\"30\",Grad,None, NO \n```")
+    assert not any(map(look, ["", "sorry", "age,edu,result,y", "age,edu,result,y\n30,Grad,None,MAYBE", "30,Grad,None,YES", "age,edu,result,y\n30,Grad,YES"]))
+
+
+def test_errors_name_what_was_paid_for(spark, release):
+    def refuses(text: str) -> str:
+        raise FatalAPIError("no credit")
+
+    with pytest.raises(FatalAPIError) as e:
+        generate(spark, demo(), release, 200, refuses, rows_per_call=10)
+    assert len(e.value.paid) == 1 and e.value.paid[0] in str(e.value)
+    made = spark.read.parquet(e.value.paid[0])
+    assert made.columns[:2] == ["row_id", "response_id"] and made.isEmpty()
+    # rows of the rounds before an end that comes later
+    with pytest.raises(GenerationError) as e:
+        generate(spark, demo(), release, 400, lambda text: csv(10, 5) if "YES x 5" in text else "sorry", rows_per_call=10)
+    assert e.value.paid and all(p in str(e.value) for p in e.value.paid)
