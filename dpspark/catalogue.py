@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dpspark import domains, fixtures, ledger
-from dpspark.fixtures import F1, F2, F4, F5, F6, F7
+from dpspark.fixtures import F1, F2, F4, F5
 from dpspark.functions import binning
 from dpspark.functions.draw import uniform
 from dpspark.operators import counts, parsing, quota, sampling
@@ -378,22 +378,25 @@ def batch_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- rows of generated text ---------------------------------------------------------------
 
-_PARSED = sql_values(
-    [
-        (1, "2000", "1-URGENT", "YES"), (1, "3000.5", "5-LOW", "NO"), (2, "900", "2-HIGH", "YES"), (2, "5000", "9-NONE", "NO"),
-        (2, "7000", "3-MEDIUM", None), (2, "x", "4-NOT SPECIFIED", "NO"), (2, "450000", "5-LOW", "NO"),
-    ],
-    "response_id, o_totalprice, o_orderpriority, y",
-)
+#: Orders as a model would write them, 50 ids to an answer: some lines of another width, some cells quoted, some values that the schema doesn't know.
+_PRICE = "CASE o_orderkey % 13 WHEN 3 THEN 'x' WHEN 4 THEN '999999999' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS {text}) END"
+_PRIORITY = "CASE o_orderkey % 17 WHEN 5 THEN '9-NONE' ELSE o_orderpriority END"
+_LABEL = "CASE o_orderkey % 19 WHEN 6 THEN '' WHEN 7 THEN 'MAYBE' ELSE y END"
+_LINE = f"CASE WHEN o_orderkey % 11 = 0 THEN 'a line of another width' WHEN o_orderkey % 7 = 0 THEN concat({_LABEL}, ', \"', {_PRIORITY}, '\", ', {_PRICE}) ELSE concat_ws(',', {_LABEL}, {_PRIORITY}, {_PRICE}) END"
+_PARSED = (
+    f"(SELECT CAST(o_orderkey // 50 AS BIGINT) AS response_id, {_PRICE.format(text='VARCHAR')} AS o_totalprice, {_PRIORITY} AS o_orderpriority, nullif({_LABEL}, '') AS y FROM {F5_SQL} WHERE o_orderkey % 11 <> 0)"
+)
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return domains.frame(spark, F7, "response_id int, response string")
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fixtures.f5(spark, sf_dir).select("o_orderkey", F.expr(_LINE.format(text="STRING")).alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x.line), "\n")
+    return orders.groupBy(F.expr("o_orderkey DIV 50").alias("response_id")).agg(F.concat(F.lit("Here they are\n```csv\ny,o_orderpriority,o_totalprice\n"), body, F.lit("\n```")).alias("response"))
 
 
 @query(f"SELECT * FROM {_PARSED}")
 def csv_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parsed(_answers(spark), F5).drop("line")
+    return parsing.parsed(_answers(spark, sf_dir), F5).drop("line")
 
 
 @query(
@@ -401,7 +404,7 @@ def csv_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') THEN 'category' WHEN try_cast(o_totalprice AS DOUBLE) NOT BETWEEN 1000 AND 500000 THEN 'bounds' END AS reason FROM {_PARSED}) GROUP BY reason"
 )
 def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.validated(parsing.parsed(_answers(spark), F5), F5).groupBy("reason").agg(F.count("*").alias("n"))
+    return parsing.validated(parsing.parsed(_answers(spark, sf_dir), F5), F5).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -432,6 +435,36 @@ def small_release(schema: PublicSchema = F5) -> Release:
     return Release(schema.name, 2.0, 150, cohorts, [{"level": 0, "columns": ["o_orderpriority"], "cells": cells}], {}, stratify)
 
 
+#: A cell of the table's own release has this share of the rows at least.
+CELL_SHARE = 0.2
+
+
+def table_release(spark: SparkSession, sf_dir: str) -> Release:
+    """The orders' own counts in the form of a release: no noise, for comparison only."""
+    data = F5.coerce(fixtures.f5(spark, sf_dir))
+    labels = {counts.POSITIVE: "YES", counts.NEGATIVE: "NO"}
+    hist: dict = {}
+    for r in counts.histograms(F5, data).collect():
+        hist.setdefault((r["cohort"], labels[r["cls"]]), {}).setdefault(r["col"], []).append((r["bin"], r["label"], r["n"]))
+    cohorts = []
+    for i, r in enumerate(counts.cohort_counts(F5, data).orderBy("cohort").collect()):
+        if r["n"]:
+            size = {"YES": r["n_pos"], "NO": r["n"] - r["n_pos"]}
+            blocks = {}
+            for v, n in size.items():
+                shares = {c: [(label, k / max(n, 1)) for _, label, k in sorted(x)] for c, x in hist[r["cohort"], v].items()}
+                blocks[v] = {"numerical": {c: {"bin_edges": F5.edges(c), "proportions": [p for _, p in shares[c]]} for c in F5.numerical}, "categorical": {c: dict(shares[c]) for c in F5.categorical}}
+            pooled = {
+                "numerical": {c: {"bin_edges": F5.edges(c), "proportions": [sum(size[v] * blocks[v]["numerical"][c]["proportions"][k] for v in size) / r["n"] for k in range(len(F5.edges(c)) - 1)]} for c in F5.numerical},
+                "categorical": {c: {x: sum(size[v] * blocks[v]["categorical"][c][x] for v in size) / r["n"] for x in F5.levels(c)} for c in F5.categorical},
+            }
+            cohorts.append({"cohort_id": i, "cohort_name": r["cohort"], "cohort_size": r["n"], "class_balance": {v: n / r["n"] for v, n in size.items()}, "by_class": blocks, **pooled})
+    total = sum(c["cohort_size"] for c in cohorts)
+    cells = {r["cell"]: {"rate": r["n_pos"] / r["n"], "support": r["n"]} for r in counts.level_counts(F5, data).orderBy("cell").collect() if r["n"] >= CELL_SHARE * total}
+    stratify = [["o_totalprice", [b.__dict__ for b in F5.bands["o_totalprice"]]]]
+    return Release(F5.name, 2.0, 150, cohorts, [{"level": 0, "columns": ["o_orderpriority"], "cells": cells}], {}, stratify)
+
+
 TAKEN = 500
 
 
@@ -626,15 +659,36 @@ def cell_bound_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir)
 
 
+_CONDITIONS = (
+    f"WITH o AS (SELECT o_orderkey, o_orderpriority, y FROM {F5_SQL}), h AS (SELECT * FROM o WHERE o_orderkey % 3 = 0 ORDER BY {sql_uniform('o_orderkey', '6')}, o_orderkey LIMIT 400), "
+    f"p AS (SELECT a.o_orderkey, a.o_orderpriority, b.y FROM (SELECT *, row_number() OVER (ORDER BY {sql_uniform('o_orderkey', '6 rows')}, o_orderkey) AS r FROM h) a JOIN (SELECT y, row_number() OVER (ORDER BY {sql_uniform('o_orderkey', '6 values')}, o_orderkey) AS r FROM h) b USING (r)), "
+    "t AS (SELECT 'synthetic' AS condition, o_orderpriority, y FROM o WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 'ceiling', o_orderpriority, y FROM h UNION ALL SELECT 'floor', o_orderpriority, y FROM p) "
+    f"SELECT condition, 'o_orderpriority=' || o_orderpriority AS cell, count(*)::BIGINT AS n, round(avg(CAST(y = 'YES' AS INT)), 6) AS rate, round(abs(p_hat - avg(CAST(y = 'YES' AS INT))) + {HALF!r}, 6)::DOUBLE AS bound FROM t JOIN {sql_values(list(P_HAT.items()), 'cell, p_hat')} q ON q.cell = 'o_orderpriority=' || o_orderpriority GROUP BY condition, o_orderpriority, p_hat"
+)
+
+
+@query(_CONDITIONS)
+def bound_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fixtures.f5(spark, sf_dir).select("o_orderkey", *F5.columns)
+    sample = sampling.simple_sample(orders.where("o_orderkey % 3 = 0"), "o_orderkey", 400, 6)
+    tables = {"synthetic": orders.where("o_orderkey % 3 <> 0"), "ceiling": sample, "floor": sampling.permuted(sample, "o_orderkey", "y", 6)}
+    p_hat = domains.frame(spark, list(P_HAT.items()), "cell string, p_hat double")
+    found = bound.conditions(F5, tables, ("o_orderpriority",), p_hat).join(F.broadcast(p_hat), "cell")
+    return found.select("condition", "cell", "n", r6(F.col("rate")).alias("rate"), r6(F.abs(F.col("p_hat") - F.col("rate")) + HALF).alias("bound"))
+
+
 @query(f"SELECT count_if(n > 0)::BIGINT AS covered, count_if(n = 0)::BIGINT AS uncovered, count_if(n > 0 AND n < 20)::BIGINT AS thin, max(bound) AS worst, round(avg(bound), 6) AS mean FROM ({_SCORES})")
 def bound_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     return _scores(spark, sf_dir).agg(F.count_if(n > 0).alias("covered"), F.count_if(n == 0).alias("uncovered"), F.count_if((n > 0) & (n < bound.THIN)).alias("thin"), F.max("bound").alias("worst"), r6(F.avg("bound")).alias("mean"))
 
 
-@query(f"SELECT round({HALF!r} + 0.5 * max(abs(rate - 0.46)), 6)::DOUBLE AS tolerance FROM {sql_values([(0.7,), (0.4,), (0.3,), (0.25,)], 'rate')}")
+_OWN_CELLS = f"(SELECT o_orderpriority, count(*) AS n, avg(CAST(y = 'YES' AS INT)) AS rate FROM {F5_SQL} GROUP BY 1 HAVING count(*) >= {CELL_SHARE} * (SELECT count(*) FROM orders))"
+
+
+@query(f"SELECT round({HALF!r} + 0.5 * max(abs(rate - (SELECT avg(CAST(y = 'YES' AS INT)) FROM {F5_SQL}))), 6)::DOUBLE AS tolerance FROM {_OWN_CELLS}")
 def derived_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = small_release()
+    r = table_release(spark, sf_dir)
     return domains.frame(spark, [(round(bound.tolerance(r, r.conditional_levels[0], "YES", HALF), 6),)], "tolerance double")
 
 
@@ -682,6 +736,19 @@ def _relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.relabelled(F5, _f5_keyed(spark, sf_dir), ("o_orderpriority",), domains.frame(spark, RATES, "cell string, rate double"), "o_orderkey", 4)
 
 
+_RANKED = (
+    f"WITH s AS (SELECT o_orderkey, y, o_totalprice, {sql_cell(F5, ('o_orderpriority',))} AS cell FROM {F5_SQL}), k AS (SELECT s.*, rate, rate * count(*) OVER (PARTITION BY s.cell) AS exact, "
+    f"row_number() OVER (PARTITION BY s.cell ORDER BY 1 - o_totalprice / 600000, {sql_uniform('o_orderkey', '4 row')}, o_orderkey) AS place FROM s LEFT JOIN {sql_values(RATES, 'cell, rate')} r ON r.cell = s.cell) "
+    f"SELECT o_orderkey, CASE WHEN rate IS NULL THEN y WHEN place <= floor(exact) + CAST({sql_uniform('cell', '4 cell')} < exact - floor(exact) AS INT) THEN 'YES' ELSE 'NO' END AS y FROM k"
+)
+
+
+@query(_RANKED)
+def relabel_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _f5_keyed(spark, sf_dir).withColumn("score", F.col("o_totalprice") / 600000)
+    return hybrid.relabelled(F5, scored, ("o_orderpriority",), domains.frame(spark, RATES, "cell string, rate double"), "o_orderkey", 4, "score").select("o_orderkey", "y")
+
+
 @query(f"SELECT o_orderkey, y FROM ({_RELABELLED})")
 def relabel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relabelled(spark, sf_dir).select("o_orderkey", "y")
@@ -725,6 +792,36 @@ def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("o_orderpriority").alias("stratum"), "part").agg(F.count("*").alias("n"))
 
 
+DRAW_SEEDS = (1000, 1001, 1002)
+
+
+def _sql_draws() -> str:
+    """Total variation of three samples of 500 rows, and of the same with permuted targets, from every third order."""
+    train = f"(SELECT o_orderkey, o_totalprice, o_orderpriority, y FROM {F5_SQL} WHERE o_orderkey % 3 <> 0)"
+    real = [f"(SELECT {s} AS draw, * FROM {train} ORDER BY {sql_uniform('o_orderkey', str(s))}, o_orderkey LIMIT 500)" for s in DRAW_SEEDS]
+    out = f"WITH real AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {r}' for r in real)}), "
+    order = lambda what: f"row_number() OVER (PARTITION BY draw ORDER BY {sql_uniform('o_orderkey', 'SEED').replace(chr(39) + 'SEED' + chr(39), f'CAST(draw AS VARCHAR) || {chr(39)} {what}{chr(39)}')}, o_orderkey)"
+    out += f"permuted AS (SELECT a.draw, a.o_orderkey, a.o_totalprice, a.o_orderpriority, b.y FROM (SELECT *, {order('rows')} AS r FROM real) a JOIN (SELECT draw, y, {order('values')} AS r FROM real) b USING (draw, r)), "
+    labels = lambda t, keys: " UNION ALL ".join(f"SELECT {keys}'{c}' AS col, CAST({v} AS VARCHAR) AS value FROM {t}" for c, v in (("o_totalprice", SQL_BIN["interval"]("o_totalprice", F5.edges("o_totalprice"))), ("o_orderpriority", "o_orderpriority"), ("y", "y")))
+    out += f"q AS (SELECT col, value, count(*) / sum(count(*)) OVER (PARTITION BY col) AS q FROM ({labels(f'(SELECT * FROM {F5_SQL} WHERE o_orderkey % 3 = 0)', '')}) GROUP BY col, value), "
+    kinds = " UNION ALL ".join(f"SELECT '{k}' AS kind, draw, col, value, count(*) AS n FROM ({labels(k, 'draw, ')}) GROUP BY ALL" for k in ("real", "permuted"))
+    out += f"p AS (SELECT *, n / sum(n) OVER (PARTITION BY kind, draw, col) AS p FROM ({kinds})), k AS (SELECT DISTINCT kind, draw FROM p), "
+    out += "both_ AS (SELECT x.kind, x.draw, x.col, x.value, x.q, coalesce(p.p, 0) AS p FROM (SELECT kind, draw, col, value, q FROM k, q) x LEFT JOIN p USING (kind, draw, col, value) UNION ALL SELECT kind, draw, col, value, 0, p FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.col = p.col AND q.value = p.value)) "
+    return out + "SELECT kind, draw, round(avg(tv), 6)::DOUBLE AS tv FROM (SELECT kind, draw, col, sum(abs(p - q)) / 2 AS tv FROM both_ GROUP BY ALL) GROUP BY ALL"
+
+
+@query(_sql_draws())
+def reference_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fixtures.f5(spark, sf_dir).select("o_orderkey", *F5.columns)
+    real = sampling.samples(orders.where("o_orderkey % 3 <> 0"), "o_orderkey", 500, DRAW_SEEDS)
+    holdout = F5.coerce(orders.where("o_orderkey % 3 = 0"))
+    parts = []
+    for kind, drawn in (("real", real), ("permuted", sampling.permuted(real, "o_orderkey", "y", 0, sampling.DRAW))):
+        gaps = counts.marginal_tv(F5, F5.coerce(drawn, [sampling.DRAW]), holdout, [sampling.DRAW])
+        parts.append(gaps.groupBy(sampling.DRAW).agg(r6(F.avg("tv")).alias("tv")).select(F.lit(kind).alias("kind"), F.col(sampling.DRAW).alias("draw"), "tv"))
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def tstr_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dpspark.operators.students import tstr
@@ -733,13 +830,17 @@ def tstr_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.frame(spark, list(tstr(F5, train, test, only=("LR",)).items()), "student string, auc double")
 
 
-@query()
+@query(
+    f"SELECT cohort, cls, col, bin, count(*)::BIGINT AS n FROM (SELECT {sql_cohort(F5)} AS cohort, CASE WHEN y = 'YES' THEN 'pos' ELSE 'neg' END AS cls, col, bin FROM {sql_melt(F5, F5_SQL, 'histogram', 'o_orderkey, y, o_totalprice')}) GROUP BY ALL"
+)
 def statistical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows as the table has, from its own counts: every bin of every cohort and class is met exactly."""
     from dpspark.plans.generate import statistical
 
-    return statistical(spark, F5, small_release(), 1000, seed=2)
+    rows = statistical(spark, F5, table_release(spark, sf_dir), fixtures.f5(spark, sf_dir).count(), seed=2)
+    return counts.histograms(F5, F5.coerce(rows)).where("n > 0").select("cohort", "cls", "col", "bin", "n")
 
 
-@query()
+@query(f"SELECT 'o_orderpriority' AS col, round(sum(n) / (SELECT count(*) FROM orders), 6)::DOUBLE AS covered FROM {_OWN_CELLS}")
 def band_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domains.frame(spark, list(quota.band_coverage(F5, small_release()).items()), "col string, covered double")
+    return domains.frame(spark, [(c, round(x, 6)) for c, x in quota.band_coverage(F5, table_release(spark, sf_dir)).items()], "col string, covered double")

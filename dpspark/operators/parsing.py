@@ -27,8 +27,9 @@ def parsed(responses: DataFrame, schema: PublicSchema, text: str = "response", k
     """
     names = schema.columns
     lines = responses.select(key, F.posexplode(F.split(F.regexp_replace(text, r"(?m)^\s*```.*$", ""), r"\r?\n")).alias("line", "raw")).where("trim(raw) <> ''")
-    field = r'(?:^|,)(?:\s*"((?:[^"]|"")*)"\s*|([^,]*))'
-    plain = F.transform(F.regexp_extract_all("raw", F.lit(field), F.lit(0)), lambda f: F.regexp_replace(f, "^,", ""))
+    # a comma goes before each field, the first one too, which may be empty
+    field = r',(?:\s*"((?:[^"]|"")*)"\s*|([^,]*))'
+    plain = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "raw"), F.lit(field), F.lit(0)), lambda f: F.regexp_replace(f, "^,", ""))
     fields = F.transform(plain, lambda f: F.when(f.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_extract(f, r'^\s*"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))).otherwise(f))
     split = lines.select(key, "line", fields.alias("fields"))
     trimmed = F.transform("fields", lambda f: F.trim(f))

@@ -190,6 +190,21 @@ def test_quoted_fields(spark):
     assert (row["age"], row["edu"], row["y"]) == ("30", "HS", "NO")
 
 
+def test_answers_of_every_kind(spark):
+    """Fences, a bad line, a whole float, an empty cell first, in the middle and last, an unknown category, a number out of bounds, no table."""
+    from dpspark.fixtures import F7
+
+    more = [(4, "y,o_totalprice,o_orderpriority\n,2000,1-URGENT\nYES,,5-LOW\nNO,3000,\n,,")]
+    answers = spark.createDataFrame([*F7, *more], "response_id int, response string")
+    got = sorted(tuple(r) for r in parsing.parsed(answers, F5).drop("line").fillna("").collect())
+    assert got == sorted([
+        (1, "2000", "1-URGENT", "YES"), (1, "3000.5", "5-LOW", "NO"), (2, "900", "2-HIGH", "YES"), (2, "5000", "9-NONE", "NO"), (2, "7000", "3-MEDIUM", ""), (2, "x", "4-NOT SPECIFIED", "NO"), (2, "450000", "5-LOW", "NO"),
+        (4, "2000", "1-URGENT", ""), (4, "", "5-LOW", "YES"), (4, "3000", "", "NO"), (4, "", "", ""),
+    ])
+    reasons = sorted(r["reason"] or "" for r in parsing.validated(parsing.parsed(answers, F5), F5).collect())
+    assert reasons == sorted(["", "", "bounds", "category", "label", "number", "", "label", "number", "category", "label"])
+
+
 def test_rake_is_the_sequential_rule():
     """Batched by family and compressed to tuples, against one constraint after the other over rows."""
     from dpspark.catalogue import small_release

@@ -91,3 +91,38 @@ def test_waiting():
     with pytest.raises(ModelRefusalError):
         generate.ask(refuse, "", waits.append)
     assert waits == [15, 30]
+
+
+DECODER = '''
+import re
+
+def rows(text):
+    n = int(re.search(r"Write (\\d+) rows", text)[1])
+    found = re.search(r"(?:outcome: .*?YES x (\\d+))|(?:exactly (\\d+) x YES)", text)
+    p = int(found[1] or found[2])
+    group = text.split("roup:")[1].splitlines()[0]
+    edu = next((e for e in ("College", "HS", "Grad") if e in group), "Grad")
+    return "age,edu,result,y\\n" + "\\n".join(f"{20 + i % 60},{edu},None,{'YES' if i < p else 'NO'}" for i in range(n))
+'''
+
+
+def test_a_decoder_on_the_command_line(spark, files, capsys):
+    """Rows of a pool, of cohorts and of cells by a function in a file, within a budget; and what is refused."""
+    (files / "decoder.py").write_text(DECODER)
+    (files / "models.json").write_text(json.dumps({"mine": ["VALIDATED", 1.0, 1.0], "weak": ["INSUFFICIENT"]}))
+    given = ["--schema", str(files / "schema.json"), "--private", str(files / "private.csv")]
+    first = files / "first"
+    assert main(["release", *given, "--out", str(first), "--epsilon", "8", "--seed", "1"]) == 0
+    common = ["generate", "--schema", str(files / "schema.json"), "--release", str(first / "release.json"), "--rows", "60"]
+    decoder = ["--decoder", f"{files / 'decoder.py'}:rows", "--model", "mine-1", "--models", str(files / "models.json")]
+    for how in ("selected", "cohort", "cell"):
+        out = files / how
+        assert main([*common, *decoder, "--how", how, "--out", str(out), "--allow-low-coverage", "--sub-bin", "generator", "--budget-usd", "5"]) == 0, capsys.readouterr().err
+        rows = read_table(spark, str(out / "synthetic.csv"), demo().columns).toPandas()
+        stats = json.loads((out / "generation.json").read_text())
+        assert set(rows["edu"]) <= {"College", "HS", "Grad"} and stats["calls"] > 0 and stats["cost_usd"] > 0 and abs(len(rows) - 60) <= 1
+    for bad, said in (
+        (["--decoder", "nowhere"], "module:function"), (["--decoder", "no.such.module:f"], "can't be loaded"), (["--decoder", f"{files / 'decoder.py'}:other"], "no function"),
+        (["--how", "cell"], "name a --decoder"), ([*decoder, "--model", "weak-2"], "INSUFFICIENT"), (["--decoder", f"{files / 'decoder.py'}:rows", "--budget-usd", "1"], "prices"),
+    ):
+        assert main([*common, *bad, "--out", str(files / "bad")]) == 2 and said in capsys.readouterr().err
