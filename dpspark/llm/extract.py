@@ -1,22 +1,26 @@
 """Main text of web pages by template deduction.
 
-Over all pages of a host, tokens (tags with the path that leads to them, and
-whole blocks of text with theirs) are grouped by their occurrence vector: how
-often each page has them. The vector is a checksum that is summed up in any
-order, so no page's tokens are brought together with another page's. Classes
-that nearly every page of the host has are its template; by their paths they
-nest, and what is between them are slots. Text of the template goes; of the
-slots, those that are navigation, adverts, forms or comments by their element
-or name go too; the article is what remains, or, on pages that mark none, the
-deepest slot with most of the host's remaining text.
+Over all pages of a host, tokens (elements by the path of tags and names that
+leads to them, elements by their place below that, and whole blocks of text)
+are grouped by their occurrence vector: how often each page has them. The vector
+is a checksum that is summed up in any order, so no page's tokens are brought
+together with another page's. Classes that nearly every page of the host has are
+valid; their elements nest by their places into the template, whose texts go.
+
+What the texts left over are in are slots. The main slot is the innermost
+element of the template, with elements of its own, that holds most of what is
+left over on the host's pages, with the headings beside the elements that lead
+to it. An article that a page marks is taken as it is marked; elements and names
+of navigation, adverts, forms or comments go on any page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -45,7 +49,10 @@ _SHAPES = frozenset("area bar block body bottom box btn button buttons card cont
 _LAYOUT = frozenset("has with no without".split())
 _CLOSED_BY = {"p": _BLOCK - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "head": {"body"}}
 
-_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S | re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What a tag holds up to its end. A tag that another one, or the page's end, cuts short ends there, so that no character is looked at twice.
+_INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})(?=[\s/>]){_INSIDE}>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-z][^\s<>/]*)({_INSIDE})(?:>|(?=[<\"'])|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -68,10 +75,49 @@ def _named(attributes: str) -> tuple[set[str], bool, str, bool]:
     return parts, plain, role, hidden
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str]]:
-    """The blocks of a page (path, text, dropped, in an article, mostly links), and the paths of its elements."""
-    out, paths, text = [], [], []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+@dataclass
+class Tree:
+    """The block elements of a page in page order, the page itself first: by element its parent, tag, path and place as hashes, depth, and whether it has elements."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    path: list[int] = field(default_factory=lambda: [0])
+    place: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    holds: list[bool] = field(default_factory=lambda: [False])
+    _often: Counter = field(default_factory=Counter)
+
+    def add(self, above: int, tag: str, names: set[str]) -> int:
+        """A new element; of those with one name below one element, its place has the number too."""
+        name = ".".join((tag, *sorted(names)))
+        self._often[above, name] += 1
+        self.holds[above] = True
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.path.append(_hash(f"{self.path[above]} {name}"))
+        self.place.append(_hash(f"{self.place[above]} {name} {self._often[above, name]}"))
+        self.depth.append(self.depth[above] + 1)
+        self.holds.append(False)
+        return len(self.parent) - 1
+
+
+@dataclass
+class Block:
+    """A block of text, and the element that it is in; links: mostly links."""
+
+    element: int
+    text: str
+    dropped: bool
+    article: bool
+    links: bool
+
+
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """The blocks of a page, and its elements. Takes as long as the page, however its elements nest or end."""
+    out, tree, text = [], Tree(), []
+    # tag, element, dropped, in an article
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    opened: Counter = Counter()
     linked, in_link, at = 0, 0, 0
 
     def flush() -> None:
@@ -79,8 +125,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                _, path, dropped, article = stack[-1]
-                out.append((path, joined, dropped, article, linked * 2 > len(joined)))
+                _, element, dropped, article = stack[-1]
+                out.append(Block(element, joined, dropped, article, linked * 2 > len(joined)))
             text, linked = [], 0
 
     def add(raw: str) -> None:
@@ -104,34 +150,35 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
         if tag == "a":
             in_link = max(0, in_link + (-1 if m[2] else 1))
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                flush()
+                while True:
+                    ended = stack.pop()[0]
+                    opened[ended] -= 1
+                    if ended == tag:
+                        break
             continue
         if tag in _VOID:
             continue
         parts, plain, role, hidden = _named(m[4]) if m[4] else (set(), False, "", False)
-        bad = tag in _DROPPED or role in _ROLES or hidden or (plain if stack[-1][3] else bool(parts & _NAMES))
+        bad = tag in _DROPPED or role in _ROLES or hidden or plain
         if tag in ("html", "body", "main"):
             bad = hidden
         if block:
             while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
         elif not bad:
             continue
         above = stack[-1]
         article = above[3] or tag in ("article", "main") or role in ("article", "main")
         if tag == "header" or parts & {"header", "masthead"}:
             bad |= not article
-        path = f"{above[1]}/{tag}{'.' + '.'.join(sorted(parts)) if parts else ''}"
         flush()
-        paths.append(path)
-        stack.append((tag, path, above[2] or bad, article))
+        stack.append((tag, tree.add(above[1], tag, parts), above[2] or bad, article))
+        opened[tag] += 1
     add(page[at:])
     flush()
-    return out, paths
+    return out, tree
 
 
 def host_of(url: Column) -> Column:
@@ -142,34 +189,30 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def text_token(path: str, text: str) -> int:
+def text_token(path: int, text: str) -> int:
     return _hash(f"{path}\n{text}")
 
 
-def _page_tokens(page: str) -> Iterator[tuple[int, int, bool, int, str | None]]:
-    """Of each token: its hash, how often it is there, whether it is text; of paths the characters of slots below them, and the path."""
-    found, paths = blocks(page)
-    counts, chars, whole = defaultdict(int), defaultdict(int), 0
-    for path in paths:
-        counts[path, False] += 1
-    for path, text, dropped, _, links in found:
-        counts[path, text] += 1
-        if not dropped and not links:
-            whole += len(text)
-            while path:
-                chars[path] += len(text)
-                path = path.rpartition("/")[0]
-    for (path, text), n in counts.items():
-        if text is False:
-            yield _hash(path), n, False, chars.get(path, 0), path
-        else:
-            yield text_token(path, text), n, True, 0, None
-    yield 0, 1, False, whole, ""
+#: Kinds of tokens: paths of elements, texts, places of elements that hold others; and a page's own.
+PATH, TEXT, PLACE, PAGE = range(4)
+
+
+def _page_tokens(page: str) -> Iterator[tuple[int, int, int]]:
+    """Of each token: its hash, how often the page has it, its kind."""
+    found, tree = blocks(page)
+    for path, n in Counter(tree.path[1:]).items():
+        yield path, n, PATH
+    for token, n in Counter(text_token(tree.path[b.element], b.text) for b in found).items():
+        yield token, n, TEXT
+    for place, holds in zip(tree.place, tree.holds, strict=True):
+        if holds:
+            yield place, 1, PLACE
+    yield 0, 1, PAGE
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of each page with its host and a number that no other page has, in batches of about ROWS."""
-    types = {"host": pa.string(), "page": pa.int64(), "token": pa.int64(), "n": pa.int64(), "is_text": pa.bool_(), "chars": pa.int64(), "path": pa.string()}
+    types = {"host": pa.string(), "page": pa.int64(), "token": pa.int64(), "n": pa.int64(), "kind": pa.int64()}
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types.values(), strict=True)], names=list(types))
@@ -196,41 +239,114 @@ def different(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def templates(pages: DataFrame, folder: str) -> DataFrame:
-    """(host, drop, main): the text tokens of each host's template, and the path of its main slot. Copies of a page count as one. pages: (page_id, host, html)."""
-    hashed = different(pages, folder).mapInArrow(_tokens, "host string, page long, token long, n long, is_text boolean, chars long, path string")
+    """(host, drop, frame): the text tokens of each host's template, and the places of its elements. Copies of a page count as one. pages: (host, html)."""
+    hashed = different(pages, folder).mapInArrow(_tokens, "host string, page long, token long, n long, kind long")
     vector = F.bit_xor(F.xxhash64("page", "n")).alias("vector")
-    seen = written(hashed.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), vector, F.sum("chars").alias("chars"), F.first("path").alias("path"), F.max("n").alias("most")), folder, "tokens")
-    size = seen.where("token = 0 AND NOT is_text").select("host", F.col("pages").alias("of"), F.col("chars").alias("whole")).where(f"of >= {LEAST_PAGES}")
-    size = size.where("host <> ''")
+    seen = written(hashed.groupBy("host", "token", "kind").agg(F.count("*").alias("pages"), vector), folder, "tokens")
+    size = seen.where(f"kind = {PAGE}").select("host", F.col("pages").alias("of")).where(f"of >= {LEAST_PAGES} AND host <> ''")
     # few hosts go to the tokens, of which a large host has very many; beyond that bound the join is shuffled
-    known = seen.where("token <> 0 OR is_text").join(F.broadcast(size) if size.count() <= BROADCAST_HOSTS else size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))
-    # an equivalence class: tokens that the same pages have as often; of use are those with a tag or two texts
-    classes = known.groupBy("host", "vector").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.count("*").alias("size"), F.max(F.when(~F.col("is_text") & (F.col("chars") >= MAIN_SHARE * F.col("whole")), F.struct(F.size(F.split("path", "/")).alias("depth"), F.col("path")))).alias("deepest"))
-    return written(classes.where("size >= 2 OR deepest IS NOT NULL").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("drop"), F.max("deepest").alias("deepest")).select("host", "drop", F.col("deepest.path").alias("main")), folder, "templates")
+    known = seen.where(f"kind <> {PAGE}").join(F.broadcast(size) if size.count() <= BROADCAST_HOSTS else size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))
+    # an equivalence class: tokens that the same pages have as often; a text needs another token in its class
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("token")))
+    classes = known.groupBy("host", "vector").agg(of(TEXT).alias("texts"), of(PLACE).alias("places"), F.count("*").alias("size")).where("size >= 2")
+    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return written(classes.groupBy("host").agg(together("texts").alias("drop"), together("places").alias("frame")), folder, "templates")
+
+
+def with_template(pages: DataFrame, model: DataFrame) -> DataFrame:
+    """``pages`` with what is known of their host: broadcast if it is small, else shuffled."""
+    size = model.agg(F.sum(sum((F.size(c) * 8 for c, t in model.dtypes if t.startswith("array")), F.length("host") + 100))).first()[0] or 0
+    return pages.join(F.broadcast(model) if size <= BROADCAST_BYTES else model, "host", "left")
+
+
+def left_over(found: list[Block], tree: Tree, drop: frozenset) -> list[Block]:
+    """Blocks that are neither the template's nor dropped by their elements and names."""
+    return [b for b in found if not b.dropped and text_token(tree.path[b.element], b.text) not in drop]
+
+
+def slot_sizes(page: str, drop: frozenset, frame: frozenset) -> Iterator[tuple[int, int, int]]:
+    """(place, depth, characters left over) of the template's elements on a page; of the page itself at depth 0."""
+    found, tree = blocks(page)
+    chars = [0] * len(tree.parent)
+    for b in left_over(found, tree, drop):
+        if not b.links:
+            chars[b.element] += len(b.text)
+    # elements come after their parents
+    for k in range(len(chars) - 1, 0, -1):
+        chars[tree.parent[k]] += chars[k]
+    yield 0, 0, chars[0]
+    for k in range(1, len(chars)):
+        if chars[k] and tree.holds[k] and tree.place[k] in frame:
+            yield tree.place[k], tree.depth[k], chars[k]
+
+
+class _Sets:
+    """The arrays of a host as sets, made once for a host of a task."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[frozenset, ...]] = {}
 
-def main_text(page: str, drop: frozenset, main: str | None) -> str:
+    def of(self, host: str, *arrays: pa.Scalar) -> tuple[frozenset, ...]:
+        if host not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[host] = tuple(frozenset(a.as_py() or ()) for a in arrays)
+        return self.known[host]
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Characters by host and place, added up over a task's pages."""
+    sets, total = _Sets(), Counter()
+
+    def table() -> pa.RecordBatch:
+        rows = [(*k, n) for k, n in total.items()]
+        total.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "place", "depth", "chars"])
+
+    for batch in batches:
+        for host, page, drop, frame in zip(batch["host"], batch["html"], batch["drop"], batch["frame"], strict=True):
+            host = host.as_py()
+            for place, depth, chars in slot_sizes(page.as_py(), *sets.of(host, drop, frame)):
+                total[host, place, depth] += chars
+        if len(total) >= ROWS:
+            yield table()
+    yield table()
+
+
+def main_slots(pages: DataFrame, model: DataFrame, folder: str) -> DataFrame:
+    """(host, drop, main): of each host's template the innermost element that holds most of what is left over."""
+    rows = with_template(pages.select("host", "html"), model).where("frame IS NOT NULL")
+    sizes = rows.select("host", "html", "drop", "frame").mapInArrow(_slots, "host string, place long, depth long, chars long").groupBy("host", "place", "depth").agg(F.sum("chars").alias("chars"))
+    sizes = written(sizes, folder, "slots")
+    most = sizes.where("depth > 0").join(sizes.where("depth = 0").select("host", F.col("chars").alias("whole")), "host").where(F.col("chars") >= MAIN_SHARE * F.col("whole"))
+    inner = most.groupBy("host").agg(F.max(F.struct("depth", "place")).alias("inner")).select("host", F.col("inner.place").alias("main"))
+    return written(model.select("host", "drop").join(inner, "host", "left"), folder, "main")
+
+
+def main_text(page: str, drop: frozenset, main: int | None) -> str:
     """What is left of a page without its host's template and what is no article."""
-    found, _ = blocks(page)
-    kept = [b for b in found if not b[2] and text_token(b[0], b[1]) not in drop]
-    article = [b for b in kept if b[3]]
+    found, tree = blocks(page)
+    kept = left_over(found, tree, drop)
+    article = [b for b in kept if b.article]
     if article:
-        return " ".join(b[1] for b in article)
-    slot = [b for b in kept if main and (b[0] == main or b[0].startswith(main + "/"))]
-    return " ".join(b[1] for b in slot or kept if not b[4])
+        return " ".join(b.text for b in article)
+    kept = [b for b in kept if not b.links]
+    inside, leads = [False] * len(tree.parent), [False] * len(tree.parent)
+    if main is not None:
+        for k in range(1, len(inside)):
+            inside[k] = inside[tree.parent[k]] or tree.place[k] == main
+        for k in range(len(inside) - 1, 0, -1):
+            leads[tree.parent[k]] |= leads[k] or inside[k]
+    slot = [b for b in kept if inside[b.element] or tree.tag[b.element] in _HEADINGS and leads[tree.parent[b.element]]]
+    return " ".join(b.text for b in (slot if any(inside[b.element] for b in slot) else kept))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[str, frozenset] = {}
+    sets = _Sets()
     for batch in batches:
         texts = []
         for host, page, drop, main in zip(batch["host"], batch["html"], batch["drop"], batch["main"], strict=True):
-            host = host.as_py()
-            if host not in sets:
-                if len(sets) > 1000:
-                    sets.clear()
-                sets[host] = frozenset(drop.as_py() or ())
-            texts.append(main_text(page.as_py(), sets[host], main.as_py()))
+            texts.append(main_text(page.as_py(), *sets.of(host.as_py(), drop), main.as_py()))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -249,7 +365,5 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     folder = shared_dir(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url").cast("string")).alias("host"))
-    model = templates(rows, folder)
-    size = model.agg(F.sum(F.size("drop") * 8 + F.length("host") + 100)).first()[0] or 0
-    met = rows.join(F.broadcast(model) if size <= BROADCAST_BYTES else model, "host", "left")
-    return met.select("page_id", "url", "host", "html", "drop", "main").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    model = main_slots(rows, templates(rows, folder), folder)
+    return with_template(rows, model).select("page_id", "url", "host", "html", "drop", "main").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
