@@ -20,6 +20,7 @@ from dpspark.operators import counts, parsing, quota, sampling
 from dpspark.plans import bound, hybrid, selection
 from dpspark.plans.release import Release, mixture, numeric_block
 from dpspark.schema import PublicSchema
+from dpspark.sources import etl
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -417,6 +418,31 @@ def normalise_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.f1(spark, sf_dir).select(F.explode(raw).alias("x")).groupBy(parsing.normalised(F.col("x")).alias("value")).agg(F.count("*").alias("n"))
 
 
+# -- a table out of raw ones -----------------------------------------------------------------
+
+SEGMENTS = {"BUILDING": "works", "MACHINERY": "works", "AUTOMOBILE": "cars", "HOUSEHOLD": "home"}
+OUTCOMES = {"F": "YES", "O": "NO"}
+BALANCES = ([-0.01, 1000.0, 4000.0, 7000.0, 9000.0], ["low", "fair", "good", "high"])
+LIMITS = {"price": (5000.0, 300000.0)}
+
+
+def _sql_map(column: str, values: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+@query(
+    f"SELECT * FROM (SELECT o_orderkey, least(greatest(o_totalprice, 5000), 300000)::DOUBLE AS price, {_sql_map('c_mktsegment', SEGMENTS)} AS segment, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 3 THEN 'north' END AS area, "
+    "CASE WHEN c_acctbal <= -0.01 THEN NULL WHEN c_acctbal <= 1000 THEN 'low' WHEN c_acctbal <= 4000 THEN 'fair' WHEN c_acctbal <= 7000 THEN 'good' WHEN c_acctbal <= 9000 THEN 'high' END AS balance, "
+    f"{_sql_map('o_orderstatus', OUTCOMES)} AS outcome FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_totalprice BETWEEN 2000 AND 450000) "
+    "WHERE segment IS NOT NULL AND area IS NOT NULL AND balance IS NOT NULL AND outcome IS NOT NULL"
+)
+def demo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation, region = (fixtures.read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    raw = etl.joined([orders.withColumnRenamed("o_custkey", "c_custkey"), customer.withColumnRenamed("c_nationkey", "n_nationkey"), nation.withColumnRenamed("n_regionkey", "r_regionkey"), region], ["c_custkey", "n_nationkey", "r_regionkey"])
+    columns = {"price": etl.number("o_totalprice"), "segment": etl.value_map("c_mktsegment", SEGMENTS), "area": etl.value_map("r_regionkey", {0: "south", 1: "west", 3: "north"}), "balance": etl.cut("c_acctbal", *BALANCES), "outcome": etl.value_map("o_orderstatus", OUTCOMES)}
+    return etl.pulled_up(raw, columns, {"price": (2000, 450000)}, LIMITS, ["o_orderkey"])
+
+
 # -- selection ----------------------------------------------------------------------------
 
 
@@ -437,6 +463,8 @@ def small_release(schema: PublicSchema = F5) -> Release:
 
 #: A cell of the table's own release has this share of the rows at least.
 CELL_SHARE = 0.2
+#: Rows that a rate is over at least; what a positive row of the line items is.
+FLOORED, IS_YES = 2500, "y = 'YES'"
 
 
 def table_release(spark: SparkSession, sf_dir: str) -> Release:
@@ -783,13 +811,28 @@ def group_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY 1) "
-    "SELECT stratum, 'train' AS part, round(0.8 * n)::BIGINT AS n FROM s UNION ALL SELECT stratum, 'holdout', (n - round(0.8 * n))::BIGINT FROM s"
+    f"SELECT o_orderkey, o_orderpriority AS stratum, CASE WHEN row_number() OVER (PARTITION BY o_orderpriority ORDER BY {sql_uniform('o_orderkey', '1')}, o_orderkey) <= round(0.8 * count(*) OVER (PARTITION BY o_orderpriority)) THEN 'train' ELSE 'holdout' END AS part FROM orders"
 )
 def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = sampling.stratified_split(fixtures.read(spark, sf_dir, "orders"), "o_orderkey", 0.8, F.col("o_orderpriority"), 1)
     both = reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(name)) for p, name in zip(parts, ("train", "holdout"), strict=True)))
-    return both.groupBy(F.col("o_orderpriority").alias("stratum"), "part").agg(F.count("*").alias("n"))
+    return both.select("o_orderkey", F.col("o_orderpriority").alias("stratum"), "part")
+
+
+_LABELS = [(c, i, binning.quota_label(F5.edges(c), i)) for c in F5.numerical for i in range(len(F5.edges(c)) - 1)] + [(c, i, v) for c in F5.categorical for i, v in enumerate(F5.levels(c))]
+
+
+@query(f"SELECT col, label, round(count(*) / sum(count(*)) OVER (PARTITION BY col), 6)::DOUBLE AS share FROM (SELECT col, bin FROM {sql_melt(F5, F5_SQL, 'histogram')}) JOIN {sql_values(_LABELS, 'col, bin, label')} USING (col, bin) GROUP BY col, label")
+def mixture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quota.mixture(F5, table_release(spark, sf_dir))
+    return domains.frame(spark, [(c, k, round(p, 6)) for c, x in found.items() for k, p in x.items() if p > 0], "col string, label string, share double")
+
+
+@query(f"WITH l AS ({_sql_levels(F2, F2_SQL, IS_YES)}) SELECT level, cell, round(n_pos / greatest(n, {FLOORED}), 6)::DOUBLE AS rate FROM l")
+def floored_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives over the rows of a cell, or over a floor: what one row can move is bounded by it."""
+    found = counts.level_counts(F2, F2.coerce(fixtures.f2(spark, sf_dir)))
+    return found.select("level", "cell", r6(F.col("n_pos") / F.greatest(F.col("n"), F.lit(FLOORED))).alias("rate"))
 
 
 DRAW_SEEDS = (1000, 1001, 1002)
@@ -830,6 +873,17 @@ def tstr_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.frame(spark, list(tstr(F5, train, test, only=("LR",)).items()), "student string, auc double")
 
 
+@query(f"SELECT kind, round(avg(tv), 6) AS mean, min(tv) AS least, max(tv) AS most FROM ({_sql_draws()}) GROUP BY kind")
+def reference_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dpspark.plans.evaluate import spread
+
+    draws: dict[str, list[float]] = {}
+    for r in reference_draws(spark, sf_dir).collect():
+        draws.setdefault(r["kind"], []).append(r["tv"])
+    found = {k: spread(v) for k, v in draws.items()}
+    return domains.frame(spark, [(k, round(x["mean"], 6), x["min"], x["max"]) for k, x in found.items()], "kind string, mean double, least double, most double")
+
+
 @query(
     f"SELECT cohort, cls, col, bin, count(*)::BIGINT AS n FROM (SELECT {sql_cohort(F5)} AS cohort, CASE WHEN y = 'YES' THEN 'pos' ELSE 'neg' END AS cls, col, bin FROM {sql_melt(F5, F5_SQL, 'histogram', 'o_orderkey, y, o_totalprice')}) GROUP BY ALL"
 )

@@ -39,7 +39,7 @@ def cohort_counts(schema: PublicSchema, df: DataFrame) -> DataFrame:
     seen = df.groupBy(domains.cohort_key(schema).alias("cohort")).agg(F.count("*").alias("n"), F.count_if(schema.is_positive()).alias("n_pos"))
     every = domains.cohort_frame(df.sparkSession, schema)
     zero = F.lit(0).cast("long")
-    return F.broadcast(every).join(seen, "cohort", "left").select("cohort", F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"))
+    return every.join(seen, "cohort", "left").select("cohort", F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"))
 
 
 def histograms(schema: PublicSchema, df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def histograms(schema: PublicSchema, df: DataFrame) -> DataFrame:
     seen = rows.select("cohort", "cls", "p.col", "p.bin").where("bin >= 0").groupBy("cohort", "cls", "col", "bin").agg(F.count("*").alias("n"))
     classes = domains.frame(spark, [(POSITIVE,), (NEGATIVE,)], "cls string")
     every = domains.cohort_frame(spark, schema).crossJoin(classes).crossJoin(domains.value_frame(spark, schema))
-    return F.broadcast(every).join(seen, ["cohort", "cls", "col", "bin"], "left").select("cohort", "cls", "col", "kind", "bin", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return every.join(seen, ["cohort", "cls", "col", "bin"], "left").select("cohort", "cls", "col", "kind", "bin", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def pooled(hist: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def level_counts(schema: PublicSchema, df: DataFrame) -> DataFrame:
     else:
         found = keyed.agg(F.count("*").alias("n"), F.count_if("positive").alias("n_pos")).select(F.lit(0).alias("level"), F.lit(domains.EVERY).alias("cell"), "n", "n_pos")
     zero = F.lit(0).cast("long")
-    return F.broadcast(every).join(found, ["level", "cell"], "left").select("level", "cell", F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"))
+    return every.join(found, ["level", "cell"], "left").select("level", "cell", F.coalesce("n", zero).alias("n"), F.coalesce("n_pos", zero).alias("n_pos"))
 
 
 def occupied(schema: PublicSchema, df: DataFrame, level: tuple[str, ...]) -> DataFrame:

@@ -240,7 +240,7 @@ def pool_coverage(release: Release, schema: PublicSchema, pool: DataFrame, n: in
     owed = domains.frame(pool.sparkSession, [(c["cohort_name"], round(n * c["cohort_size"] / total, 1)) for c in release.cohorts], "cohort string, owed double")
     seen = pool.groupBy(domains.cohort_key(schema).alias("cohort")).agg(F.count("*").alias("have"))
     have = F.coalesce("have", F.lit(0).cast("long"))
-    return F.broadcast(owed).join(seen, "cohort", "left").select("cohort", "owed", have.alias("have"), (have / F.col("owed")).alias("ratio"))
+    return owed.join(seen, "cohort", "left").select("cohort", "owed", have.alias("have"), (have / F.col("owed")).alias("ratio"))
 
 
 def sub_bin_redraw(schema: PublicSchema, release: Release, df: DataFrame, key: str, seed: int) -> DataFrame:
