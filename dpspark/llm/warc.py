@@ -21,6 +21,8 @@ from dpspark.llm.common import shared_dir, written
 
 #: Payloads of fewer bytes are always stored; so many records make up an archive.
 LEAST_BYTES, RECORDS = 1000, 4000
+#: Index entries that one task merges, about.
+RANGE = 10_000
 END = "\r\n\r\n"
 #: Digests of 40 characters with an id: 100 MB at most.
 BROADCAST_DIGESTS = 1_000_000
@@ -159,13 +161,13 @@ def _key(row: tuple) -> tuple:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the runs of one range; each run's rows come in their own order."""
+    """Merges the runs of one range: they come one after the other, each in its own order."""
     runs: dict[str, list] = {}
     for batch in batches:
         for row in zip(*(batch[n].to_pylist() for n in _ENTRY.names), strict=True):
             runs.setdefault(row[8], []).append(row)
     out = []
-    for row in LoserTree([sorted(r, key=_key) for r in runs.values()], _key):
+    for row in LoserTree(list(runs.values()), _key):
         out.append(row)
         if len(out) == 10_000:
             yield _table(out)
@@ -176,14 +178,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged_index(archives: str, folder: str, spark) -> DataFrame:
     """The index of all ``archives``: partitions follow one another by URL key and time, and each is sorted.
 
-    Every archive's entries are first written as a run. Ranges are cut by URL
-    key, time and id together, so one much captured URL is spread over several.
+    Every archive's entries are first written as a run. Ranges of about RANGE
+    entries are cut by URL key, time and id together, so one much captured URL is
+    spread over several. What a range has of a run is put in order by Spark,
+    which spills; the tree only merges.
     """
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
     entries = files.mapInArrow(_read, INDEX).withColumn("urlkey", url_key(F.col("url")))
-    runs = written(entries.sortWithinPartitions("archive", "urlkey", "captured", "page_id", "offset"), folder, "runs")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return runs.repartitionByRange(n, "urlkey", "captured", "page_id", "archive", "offset").mapInArrow(_merged, INDEX)
+    runs = written(entries.sortWithinPartitions("archive", "urlkey", "captured", F.col("page_id").asc_nulls_last(), "offset"), folder, "runs")
+    ranges = runs.repartitionByRange(max(1, -(-runs.count() // RANGE)), "urlkey", "captured", F.col("page_id").asc_nulls_last(), "archive", "offset")
+    return ranges.sortWithinPartitions("archive", "urlkey", "captured", F.col("page_id").asc_nulls_last(), "offset").mapInArrow(_merged, INDEX)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
