@@ -26,12 +26,18 @@ def numbered(df: DataFrame, order: Column, name: str, by: Sequence[str] = (), ti
     by all columns. ``total``, if named, is the number of rows of the same ``by``.
     """
     groups = groups or groups_of(df)
+    ties = df.columns if ties is None else ties
+    if groups == 1:
+        whole = Window.partitionBy(*by)
+        ranked = df.withColumn("_order", order)
+        out = {name: F.row_number().over(whole.orderBy("_order", *ties))} | ({total: F.count("*").over(whole)} if total else {})
+        return ranked.withColumns(out).select(*(c for c in df.columns if c not in out), *out)
     place = F.greatest(F.lit(0), F.least(F.lit(groups - 1), F.floor(F.col("_order") * groups))).cast("int")
     grouped = df.withColumn("_order", order).withColumn("_group", place)
     sizes = grouped.groupBy(*by, "_group").agg(F.count("*").alias("_size"))
     whole = Window.partitionBy(*by)
     ahead = sizes.select("_group", *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), (F.sum("_size").over(whole.orderBy("_group")) - F.col("_size")).alias("_ahead"), F.sum("_size").over(whole).alias("_total"))
-    own = F.row_number().over(Window.partitionBy(*by, "_group").orderBy("_order", *(df.columns if ties is None else ties)))
+    own = F.row_number().over(Window.partitionBy(*by, "_group").orderBy("_order", *ties))
     ranked = grouped.withColumn("_own", own).withColumnRenamed("_group", "_at")
     met = F.col("_at") == F.col("_group")
     for i, c in enumerate(by):

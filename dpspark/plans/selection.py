@@ -22,7 +22,7 @@ from dpspark.errors import GenerationError
 from dpspark.functions import binning
 from dpspark.functions.draw import uniform
 from dpspark.operators import counts
-from dpspark.operators.sampling import numbered
+from dpspark.operators.sampling import GROUP_ROWS, numbered
 from dpspark.plans import spread, swaps
 from dpspark.plans.release import Release
 from dpspark.schema import PublicSchema
@@ -165,7 +165,7 @@ def _with_tuples(cells: DataFrame, small: DataFrame, by: list[str], number: int)
     return cells.join(F.broadcast(small) if number <= BROADCAST_TUPLES else small, by)
 
 
-def systematic(cells: DataFrame, weighed: pd.DataFrame | DataFrame, n: int, key: str, start: float, seed: int) -> DataFrame:
+def systematic(cells: DataFrame, weighed: pd.DataFrame | DataFrame, n: int, key: str, start: float, seed: int, groups: int | None = None) -> DataFrame:
     """Rows that a systematic sample takes: one wherever the running sum of weights passes another whole number.
 
     Rows of one tuple follow one another, so only the tuples' prefix sums are
@@ -184,7 +184,7 @@ def systematic(cells: DataFrame, weighed: pd.DataFrame | DataFrame, n: int, key:
         ahead = weighed.assign(_ahead=(weighed["_w"] * weighed["_n"]).cumsum() - weighed["_w"] * weighed["_n"])
         rows = _with_tuples(cells, cells.sparkSession.createDataFrame(ahead[[*by, "_w", "_ahead"]]), by, len(ahead))
     upto = F.col("_ahead") + F.col("_rank") * F.col("_w") - start
-    ranked = numbered(rows.withColumnRenamed("_ahead", "_before"), uniform(F.col(key), seed), "_rank", by, [key]).withColumnRenamed("_before", "_ahead")
+    ranked = numbered(rows.withColumnRenamed("_ahead", "_before"), uniform(F.col(key), seed), "_rank", by, [key], groups).withColumnRenamed("_before", "_ahead")
     return ranked.withColumn("_upto", upto).where(F.floor("_upto") > F.floor(F.col("_upto") - F.col("_w"))).drop("_upto", "_w", "_ahead", "_rank")
 
 
@@ -294,7 +294,8 @@ def select_to_release(schema: PublicSchema, release: Release, pool: DataFrame, n
     cells = pool_cells(effective, pool)
     weighed = _weighed(effective, release, cells, n, rounds)
     start = ((seed * 0x9E3779B9 + 1) % (1 << 32) + 0.5) / (1 << 32)
-    taken, by = systematic(cells, weighed, n, key, start, seed), keys(effective)
+    groups, by = max(1, held // GROUP_ROWS), keys(effective)
+    taken = systematic(cells, weighed, n, key, start, seed, groups)
     if refined:
         if isinstance(weighed, DataFrame):
             rows = cells.join(refined_tuples(effective, release, weighed, taken, n).where("_taken > 0").select(*by, "_taken"), by)
@@ -304,7 +305,7 @@ def select_to_release(schema: PublicSchema, release: Release, pool: DataFrame, n
             t = weighed.assign(_taken=refine(weighed, objective(effective, release, weighed, n), number, n=n))
             small = pool.sparkSession.createDataFrame(t.loc[t["_taken"] > 0, [*by, "_taken"]])
             rows = _with_tuples(cells, small, by, len(t))
-        taken = numbered(rows, uniform(F.col(key), seed), "_rank", by, [key]).where("_rank <= _taken").drop("_rank", "_taken")
+        taken = numbered(rows, uniform(F.col(key), seed), "_rank", by, [key], groups).where("_rank <= _taken").drop("_rank", "_taken")
     out = taken.select(pool.columns)
     return sub_bin_redraw(effective, release, out, key, seed) if sub_bin == "release" else out
 
