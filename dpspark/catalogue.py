@@ -20,7 +20,7 @@ from dpspark.operators import counts, parsing, quota, sampling
 from dpspark.plans import bound, hybrid, selection
 from dpspark.plans.release import Release, mixture, numeric_block
 from dpspark.schema import PublicSchema
-from dpspark.sources import etl
+from dpspark.sources import etl, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -443,6 +443,16 @@ def demo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.pulled_up(raw, columns, {"price": (2000, 450000)}, LIMITS, ["o_orderkey"])
 
 
+@query("SELECT o_orderkey, o_orderpriority, round(o_totalprice, 6)::DOUBLE AS o_totalprice, CASE o_orderkey % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'a, \"b\"' ELSE '' END AS note FROM orders")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV to shared storage and read again: words for nothing, quotes and empty cells stay what they are."""
+    note = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'a, \"b\"' ELSE '' END")
+    path = f"{tables.shared_path(spark)}.csv"
+    tables.write_table(fixtures.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", note.alias("note")), path)
+    back = tables.read_table(spark, path, ["note", "o_totalprice", "o_orderpriority", "o_orderkey"])
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority", r6(F.col("o_totalprice").cast("double")).alias("o_totalprice"), "note")
+
+
 # -- selection ----------------------------------------------------------------------------
 
 
@@ -822,6 +832,25 @@ def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = [(c, i, binning.quota_label(F5.edges(c), i)) for c in F5.numerical for i in range(len(F5.edges(c)) - 1)] + [(c, i, v) for c in F5.categorical for i, v in enumerate(F5.levels(c))]
 
 
+@query(
+    f"WITH m AS (SELECT cohort, cls, col, bin, count(*) AS n FROM (SELECT {sql_cohort(F5)} AS cohort, y AS cls, col, bin FROM {sql_melt(F5, F5_SQL, 'histogram', 'o_orderkey, y, o_totalprice')}) GROUP BY ALL), "
+    "b AS (SELECT cohort, cls, col, bin, n FROM m UNION ALL SELECT cohort, NULL, col, bin, sum(n) FROM m GROUP BY cohort, col, bin) "
+    f"SELECT cohort, cls, col, label, round(n / sum(n) OVER (PARTITION BY cohort, cls, col), 6)::DOUBLE AS share FROM b JOIN {sql_values(_LABELS, 'col, bin, label')} USING (col, bin)"
+)
+def release_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histograms of a release that went through JSON, as a flat table."""
+    frames = Release.from_json(table_release(spark, sf_dir).to_json()).frames(spark)
+    found = frames["release_histogram"].join(frames["release_cohort"].select("cohort_id", "cohort"), "cohort_id")
+    return found.where("share > 0").select("cohort", "cls", "col", "label", r6(F.col("share")).alias("share"))
+
+
+@query(f"SELECT cell, round(rate, 6)::DOUBLE AS rate, n::BIGINT AS support FROM (SELECT 'o_orderpriority=' || o_orderpriority AS cell, rate, n FROM {_OWN_CELLS})")
+def release_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its conditional cells, read back from JSON too."""
+    cells = Release.from_json(table_release(spark, sf_dir).to_json()).frames(spark)["release_cell"]
+    return cells.select("cell", r6(F.col("rate")).alias("rate"), "support")
+
+
 @query(f"SELECT col, label, round(count(*) / sum(count(*)) OVER (PARTITION BY col), 6)::DOUBLE AS share FROM (SELECT col, bin FROM {sql_melt(F5, F5_SQL, 'histogram')}) JOIN {sql_values(_LABELS, 'col, bin, label')} USING (col, bin) GROUP BY col, label")
 def mixture_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quota.mixture(F5, table_release(spark, sf_dir))

@@ -22,7 +22,7 @@ def kind_of(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str], kind: str | None = None) -> DataFrame:
-    """The named columns of a table. In CSV, ``None``, ``NA`` and the like are values, and all columns are text."""
+    """The named columns of a table. In CSV, ``None``, ``NA``, the empty cell and the like are values, and all columns are text."""
     kind = kind or kind_of(path)
     if kind == "csv":
         head = spark.read.option("header", True).csv(path).columns
@@ -32,7 +32,7 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str], kind: str
         df = spark.read.format(kind).load(path)
     if missing := [c for c in columns if c not in df.columns]:
         raise DataValidationError(f"missing columns: {', '.join(missing)}")
-    return df.select(*columns)
+    return df.select(*columns).fillna("") if kind == "csv" else df.select(*columns)
 
 
 def write_table(df: DataFrame, path: str, kind: str | None = None) -> None:
