@@ -29,6 +29,8 @@ from dpspark.llm.words import chunks, mix, powers, runs, words
 LINE, LEAST = 10, 50
 #: Words on either side of a line that runs of LEAST words with it can hold.
 SIDE = LEAST - LINE
+#: Classes of so many places are sent to them, if they are no more than FREQUENT_MOST.
+FREQUENT, FREQUENT_MOST = 500, 100_000
 _U = np.uint64
 _inverse = np.ones(1, _U)
 _LOW = _U((1 << 24) - 1)
@@ -165,6 +167,15 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["kept"], part["text"], pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64))], names=["kept", "text", "n_words", "removed_words"])
 
 
+def _at_places(met: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """Places with what is known of their class. Classes of very many places go to these; places of the others are shuffled to their class."""
+    many = found.where(f"n >= {FREQUENT}")
+    if not 0 < many.count() <= FREQUENT_MOST:
+        return met.join(found, group)
+    others = met.join(F.broadcast(many.select(*group)), group, "left_anti").join(found.where(f"n < {FREQUENT}"), group)
+    return others.unionByName(met.join(F.broadcast(many), group), allowMissingColumns=True)
+
+
 def matches(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, matches): which runs of each text repeat an earlier place, with their hashes."""
     rows, group, place = docs.where("doc_id IS NOT NULL"), ["around", "left"], F.struct("doc_id", "at")
@@ -173,7 +184,7 @@ def matches(docs: DataFrame, folder: str) -> DataFrame:
     lines = written(lines.select("line", F.expr("low < high OR least < most").alias("several")), folder, "lines")
     # few lines go to their places, of which a frequent line has very many
     met = written(marks.join(F.broadcast(lines) if lines.count() <= BROADCAST_IDS else lines, "line"), folder, "met")
-    classes = written(met.groupBy(*group).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"), F.max("several").alias("several")).where(f"size >= {LEAST}"), folder, "classes")
+    classes = written(met.groupBy(*group).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"), F.max("several").alias("several"), F.count("*").alias("n")).where(f"size >= {LEAST}"), folder, "classes")
     firsts = classes.where("several").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.at", "left", F.col("size"), "around")).alias("places"))
     firsts = written(firsts, folder, "firsts")
     texts = among(rows, firsts.select("doc_id"), "doc_id", "doc_id").join(firsts, "doc_id").select("doc_id", "text", "places")
@@ -183,11 +194,11 @@ def matches(docs: DataFrame, folder: str) -> DataFrame:
     # every run holds the line, so the outermost two cover those between them
     run = F.struct("d", "gram")
     later = held.join(known, "gram").where(start > F.col("first")).groupBy(*group).agg(F.max(run).alias("from"), F.min(run).alias("to"))
-    found = classes.join(later, group, "left").where("first < last OR from IS NOT NULL").select(*group, "first", "from", "to")
+    found = written(classes.join(later, group, "left").where("first < last OR from IS NOT NULL").select(*group, "first", "from", "to", "n"), folder, "found")
     span = lambda at, size, gram: F.struct(at.cast("int").alias("start"), size.cast("int").alias("size"), gram.alias("gram"))
     at, left, least = F.col("at"), F.col("left"), F.lit(LEAST)
     spans = F.array(F.when(place > F.col("first"), span(at - left, F.col("size"), F.col("around"))), *(F.when(F.col(c).isNotNull(), span(at - F.col(f"{c}.d"), least, F.col(f"{c}.gram"))) for c in ("from", "to")))
-    each = met.join(found, group).select("doc_id", F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("span"))
+    each = _at_places(met, found, group).select("doc_id", F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("span"))
     return written(each.groupBy("doc_id").agg(F.collect_list("span").alias("matches")), folder, "matches")
 
 

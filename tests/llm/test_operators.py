@@ -481,6 +481,16 @@ def test_repeats_are_whole(spark):
         assert r["text"].split() == [x for x, gone in zip(source[i].split(), want[i], strict=True) if not gone]
 
 
+@pytest.mark.parametrize("frequent, most", [(2, 10**5), (3, 10**5), (2, 1)])
+def test_frequent_classes(spark, docs, monkeypatch, frequent, most):
+    """Classes that are sent to their places give what a shuffled join gives."""
+    some = docs.where("doc_id < 120")
+    want = sorted(tuple(r) for r in linededup.remove_repeats(some).collect())
+    monkeypatch.setattr(linededup, "FREQUENT", frequent)
+    monkeypatch.setattr(linededup, "FREQUENT_MOST", most)
+    assert sorted(tuple(r) for r in linededup.remove_repeats(some).collect()) == want and any(r[3] for r in want)
+
+
 def test_repeats_leave_one_copy(spark, docs, texts):
     got = {r["doc_id"]: r for r in linededup.remove_repeats(docs).collect()}
     grams = lambda t: {tuple(w[j : j + 50]) for w in [WORD.findall(t.translate(ASCII_LOWER))] for j in range(len(w) - 49)}
