@@ -7,6 +7,8 @@ columns of ``docs``; rows with a null doc_id can't be judged and stay.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ from dpspark.llm import decontaminate, linededup, neardup, packing, toxicity
 from dpspark.llm.common import shared_dir, table, written
 
 
+#: Documents that a task hands to Python at once: with several stages' workers alive, what they hold adds up.
+BATCH = 1000
+
+
+def _in_small_batches(stage):
+    """``stage`` with Arrow batches of BATCH rows."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids``: broadcast if few, else shuffled."""
     ids = written(ids.select("doc_id").distinct(), shared_dir(docs.sparkSession), "ids")
@@ -51,7 +68,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs))
 
 
-STAGES = [("toxicity", toxic_out), ("line_dedup", repeats_out), ("near_dedup", copies_out), ("decontamination", leaks_out), ("packing", packed)]
+STAGES = [(name, _in_small_batches(stage)) for name, stage in (("toxicity", toxic_out), ("line_dedup", repeats_out), ("near_dedup", copies_out), ("decontamination", leaks_out), ("packing", packed))]
 
 #: Fitted scores, winnowing, MinHash and tokenizers have no SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
