@@ -87,6 +87,8 @@ def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    # a worker lives on after its task: what it doesn't use goes back
+    pa.default_memory_pool().release_unused()
 
 
 def runs(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
