@@ -84,7 +84,7 @@ def level_size(schema: PublicSchema, level: tuple[str, ...]) -> int:
 
 
 def cell_at(schema: PublicSchema, level: tuple[str, ...]) -> Column:
-    """A row's cell as a whole number below ``level_size``; null outside the public domain."""
+    """A row's cell as a whole number below ``level_size``; null where it is not ``in_domain``."""
     at = F.lit(0).cast("long")
     for c in level:
         if c in schema.numerical:
@@ -93,10 +93,20 @@ def cell_at(schema: PublicSchema, level: tuple[str, ...]) -> Column:
         else:
             values = schema.levels(c, coarse=True)
             n, place = len(values), F.array_position(F.array(*map(F.lit, values)), _coarse(schema, c)) - 1
-        at = at * n + F.when(place >= 0, place)
+            place = F.when(place >= 0, place)
+        at = at * n + place
     return at
 
 
+def in_domain(schema: PublicSchema, level: tuple[str, ...]) -> Column:
+    """Whether a row has a cell: each category is a public one. Numbers always are in a bin."""
+    inside = F.lit(True)
+    for c in level:
+        if c not in schema.numerical:
+            inside = inside & _coarse(schema, c).isin(schema.levels(c, coarse=True))
+    return inside
+
+
 def cell_name(schema: PublicSchema, level: tuple[str, ...], at: int) -> str:
     """The name of a cell by its number."""
     names = []

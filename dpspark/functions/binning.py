@@ -8,7 +8,8 @@
     band      [a, b), top closed  none        last        none        none
 
 Bins are counted from 0; none is -1. All are sums of comparisons, so they stay
-in generated code. A NaN is above everything to Spark: hence the guards.
+in generated code; of many edges only a logarithm is compared with. A NaN is
+above everything to Spark: hence the guards.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OUTSIDE = -1
-#: Edges beyond which comparisons go over an array: as a sum they would be too long for one method.
+#: Edges beyond which a value's place is found by halving their array: a sum of all comparisons would be too long for one method.
 MANY = 32
 
 
 def _steps(value: Column, edges: Sequence[float], above) -> Column:
     if len(edges) > MANY:
-        return F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: above(value, e)))
+        ordered = F.array(*(F.lit(e) for e in sorted(map(float, edges))))
+        halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))))
+        # beyond the last edge ``get`` is null, and so is the comparison
+        return F.aggregate(halves, F.lit(0), lambda n, half: F.when(above(value, F.get(ordered, n + half - 1)), n + half).otherwise(n))
     total = F.lit(0)
     for e in edges:
         total = total + above(value, F.lit(float(e))).cast("int")

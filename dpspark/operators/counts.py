@@ -80,7 +80,8 @@ def level_counts(schema: PublicSchema, df: DataFrame) -> DataFrame:
 
 def occupied(schema: PublicSchema, df: DataFrame, level: tuple[str, ...]) -> DataFrame:
     """(at, n, n_pos) of the cells of a level that have rows, by ``domains.cell_at``; the level is never listed."""
-    keyed = df.select(domains.cell_at(schema, level).alias("at"), schema.is_positive().alias("positive")).where("at IS NOT NULL")
+    # a filter on ``at`` would be pushed down and find every row's bins a second time
+    keyed = df.where(domains.in_domain(schema, level)).select(domains.cell_at(schema, level).alias("at"), schema.is_positive().alias("positive"))
     return keyed.groupBy("at").agg(F.count("*").alias("n"), F.count_if("positive").alias("n_pos"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dpspark import domains, fixtures, ledger
 from dpspark.catalogue import WIDE
 from dpspark.errors import DomainTooLargeError
+from dpspark.functions import binning
 from dpspark.functions.draw import uniform
 from dpspark.noise import Noise
 from dpspark.operators import counts, sampling, students
@@ -135,3 +136,21 @@ def test_auc_of_ties_and_hot_scores(spark):
     odd = spark.createDataFrame([(None, True), (None, False), (float("-inf"), False), (1.0, True), (0.5, None)], "score double, positive boolean")
     low = np.array([-np.inf, -np.inf, -np.inf, 1.0, 0.5])
     assert students.auc(odd).first()[0] == pytest.approx(brute_auc(low, np.array([True, False, False, True, False])))
+
+
+def test_many_edges_are_searched_once(spark):
+    """Places among many edges are those of comparisons with each, and a row's bins are found once, not in a filter as well."""
+    edges = [900.0 + 801 * i for i in range(130)] + [105000.0]
+    values = [None, math.nan, math.inf, -math.inf, 0.0, 1e9, *edges, *(e - 1e-6 for e in edges), *(e + 1e-6 for e in edges)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (33, 64, 65, 131):
+        cut = edges[:n]
+        found = rows.select("v", binning.cell(F.col("v"), cut), binning.interval(F.col("v"), cut)).collect()
+        for v, cell, interval in found:
+            number = v is not None and not math.isnan(v)
+            assert cell == (sum(v >= e for e in cut[1:-1]) if number else n - 2)
+            assert interval == (sum(v > e for e in cut[1:-1]) if number and cut[0] <= v <= cut[-1] else -1)
+    columns = [*WIDE.numerical, *WIDE.categorical, WIDE.target]
+    table = spark.createDataFrame([(1.0, 900.0, 0.0, 0.0, 1.0, "A", "O")], ", ".join(f"{c} {'double' if c in WIDE.numerical else 'string'}" for c in columns))
+    plan = counts.occupied(WIDE, WIDE.coerce(table), WIDE.conditional[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "(filter(" not in plan and plan.count("104229.0") == 1
