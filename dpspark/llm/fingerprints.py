@@ -2,7 +2,7 @@
 
 The grams of a text are all its runs of 16 characters. Their hashes are those of
 a rolling polynomial, which is carried along for all places at once: that of
-four times as many characters follows from four of its values. Of every 32
+twice as many characters follows from two of its values. Of every 32
 successive grams the one with the smallest hash is chosen, the rightmost of
 equal ones, and its place is kept. So any 47 characters that two texts share
 give them a common fingerprint. A hash and its place are one long integer, whose
@@ -21,8 +21,10 @@ from dpspark.llm.common import text_rows
 from dpspark.llm.native import let
 from dpspark.llm.neardup import BROADCAST_IDS
 
-#: Characters of a gram (a power of four) and grams of a window (a power of two); together they span REACH characters.
+#: Characters of a gram and grams of a window (powers of two); together they span REACH characters.
 GRAM, WINDOW = 16, 32
+#: Grams of a block, half a window, and the neighbours of a candidate that are looked at one by one.
+BLOCK, NEAR = WINDOW // 2, 8
 REACH = GRAM + WINDOW - 1
 #: The largest prime below 2**30: four products of two remainders are less than 2**63.
 PRIME, BASE = (1 << 30) - 35, 1_000_003
@@ -32,35 +34,68 @@ BUCKET, CROWDED = 4000, 4
 _NONE = "array<long>"
 
 
-def winnowed(text: Column) -> Column:
-    """The chosen grams of a text by place, as array of long: hash * 2**32 + 2**32 - 1 - place. A text shorter than a gram is one."""
+def _hashes(h: Column, n: int) -> Column:
+    """Of hashes of all runs of ``n`` characters those of GRAM, by doubling; null where the text ends before the gram does."""
+    twice = F.transform(h, lambda x, i: (x * pow(BASE, n, PRIME) + F.get(h, i + n)) % PRIME)
+    return let(twice, lambda k: _hashes(k, 2 * n)) if 2 * n < GRAM else twice
+
 
-    def rolled(h: Column, n: int) -> Column:
-        """Of hashes of all runs of n characters those of 4 n; of GRAM with their places."""
-        many, last = 4 * n < GRAM, n * 4 == GRAM
+def _key(x: Column, i: Column) -> Column:
+    return x * _PLACE + (_PLACE - 1 - i)
 
-        def joined(x: Column, i: Column) -> Column:
-            parts = (F.get(h, i + j * n) * pow(BASE, (3 - j) * n, PRIME) for j in range(1, 4))
-            whole = sum(parts, x * pow(BASE, 3 * n, PRIME)) % PRIME
-            return whole * _PLACE + (_PLACE - 1 - i) if last else whole
 
-        out = F.transform(F.slice(h, F.lit(1), F.size(h) - 3 * n), joined)
-        return let(out, lambda k: rolled(k, 4 * n)) if many else out
+def _candidates(h: Column, n: Column) -> Column:
+    """Keys of the ``n`` grams of which one may be chosen.
+
+    Grams are cut into blocks of half a window. A window spans one of them, the
+    gram's own or one next to it, so a gram above the minima of all three has no window.
+    """
+    least = F.transform(F.sequence(F.lit(1), n - BLOCK + 1, F.lit(BLOCK)), lambda a: F.array_min(F.slice(h, a, F.lit(BLOCK))))
+    most = lambda m: F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.greatest(F.get(m, i - 1), F.get(m, i), F.get(m, i + 1)))
+    # keys differ, so taking away null is all that array_except does, and with no call for each gram
+    kept = lambda c: F.array_except(F.transform(h, lambda x, i: F.when(x <= F.get(c, F.shiftright(i, BLOCK.bit_length() - 1)), _key(x, i))), F.array(F.lit(None).cast("long")))
+    return let(let(least, most), kept)
+
+
+def _least_of_windows(c: Column, n: Column) -> Column:
+    """Those of the candidates between whose next smaller ones to the left and to the right, or the ends, there is room for a window."""
+    missing, below = F.lit(-1).cast("long"), lambda x: lambda y: y < x
+    low = lambda k: k.bitwiseAND(F.lit(_PLACE - 1))
+    far = WINDOW - 1  # as many larger candidates on one side leave room for a window
+
+    def smaller(x: Column, i: Column, step: int) -> Column:
+        """The next smaller candidate; null if there is none, or so far off that there is room on this side alone."""
+        found = F
+        for t in range(1, NEAR + 1):
+            y = F.get(c, i + step * t)
+            found = found.when(F.coalesce(y, missing) < x, y)
+            if t % 3 == 0:
+                found = found.when(step * (low(x) - low(y)) > far, F.lit(None).cast("long"))
+        if step < 0:
+            return found.otherwise(let(F.filter(F.slice(c, F.greatest(i - far + 1, F.lit(1)), F.least(i, F.lit(far))), below(x)), lambda f: F.get(f, F.size(f) - 1)))
+        return found.otherwise(F.get(F.filter(F.slice(c, i + 2, F.lit(far)), below(x)), F.lit(0)))
+
+    def room(x: Column, i: Column) -> Column:
+        # null stands for the ends of the text
+        return F.coalesce(low(smaller(x, i, -1)), F.lit(_PLACE)) - F.coalesce(low(smaller(x, i, 1)), _PLACE - 1 - n) > WINDOW
+
+    return F.filter(c, room)
+
+
+def winnowed(text: Column) -> Column:
+    """The chosen grams of a text by place, as array of long: hash * 2**32 + 2**32 - 1 - place. A text shorter than a gram is one."""
+
+    def chosen(h: Column) -> Column:
+        n = F.size(h) - (GRAM - 1)
+        many = let(_candidates(h, n), lambda c: _least_of_windows(c, n.cast("long")))
+        return F.when(n > WINDOW, many).otherwise(F.array(F.array_min(F.transform(h, _key))))
 
     def grams(codes: Column) -> Column:
         one = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * BASE + c) % PRIME)
-        return F.when(F.size(codes) >= GRAM, rolled(codes, 1)).otherwise(F.array(one * _PLACE + (_PLACE - 1)))
-
-    def wider(least: Column, n: int) -> Column:
-        """Minima of windows of two or four times ``n`` grams, from those of ``n``, up to WINDOW."""
-        if n == WINDOW:
-            return F.array_distinct(least)
-        times = 4 if 4 * n <= WINDOW else 2
-        return let(F.transform(F.slice(least, F.lit(1), F.size(least) - (times - 1) * n), lambda x, i: F.least(x, *(F.get(least, i + j * n) for j in range(1, times)))), lambda m: wider(m, times * n))
+        return F.when(F.size(codes) >= GRAM, let(_hashes(codes, 1), chosen)).otherwise(F.array(one * _PLACE + (_PLACE - 1)))
 
-    chosen = lambda k: F.when(F.size(k) > WINDOW, wider(k, 1)).otherwise(F.array(F.array_min(k)))
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    return F.when(F.length(text) > 0, let(codes, lambda c: let(grams(c), chosen))).otherwise(F.array().cast(_NONE))
+    return F.when(F.length(text) > 0, let(codes, grams)).otherwise(F.array().cast(_NONE))
 
 
 def place(key: Column) -> Column:

@@ -357,6 +357,19 @@ def test_fingerprint_ties_go_right(spark):
     assert [int(x[-8:], 16) for x in r["f"].split()] == list(range(31, 385))
 
 
+def test_choice_among_few_candidates(spark):
+    """Few of a text's grams are looked at closely, and of repeated ones too the right ones are chosen."""
+    rng = random.Random(5)
+    plain = "".join(rng.choice("abcdefghij klmnop") for _ in range(5000))
+    texts = [plain[:n] for n in (*range(12, 66), 79, 80, 95, 96, 400)]
+    texts += [(x * 300)[:n] + y for x in ("a", "ab", "abcdefghijklmnopq", "\u6f22\u5b57", "\U0001d54f-") for n in (40, 47, 48, 63, 200, 297) for y in ("", "zq 1", plain[:70])]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", fingerprints.shown(fingerprints.winnowed(F.col("text"))).alias("f")).collect()
+    assert all(r["f"] == brute_fingerprint(r["text"]) for r in rows)
+    grams = spark.createDataFrame([(plain,)], "text string").select(fingerprints._hashes(F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long")), 1).alias("h"))
+    n = len(plain) - fingerprints.GRAM + 1
+    assert grams.select(F.size(fingerprints._candidates(F.col("h"), F.lit(n))).alias("n")).first()["n"] < n / 6
+
+
 def test_crowded_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET", 5)
     ids = [*range(40), *range(10**15, 10**15 + 300), *[10**15 + 7] * 4, *range(-(10**12), -(10**12) + 60), 10**17, -3]
